@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.columns import strip
+from wardlight.session import checkpointed
 
 # Column -> (category, order within a row).
 NODE_COLUMNS = {
@@ -113,14 +114,15 @@ def graph_khop(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
     """(name, hop): nodes within ``hops`` undirected steps of one entity.
 
     Works on distinct edges.  Each step joins the edges with the newly reached
-    nodes only and drops nodes already reached.
+    nodes only and drops nodes already reached.  Edges and steps are
+    checkpointed, so the plan stays flat however many hops there are.
     """
     links = edges.select("src", "dst").distinct()
-    both = links.union(links.select("dst", "src")).toDF("src", "dst").distinct()
+    both = checkpointed(links.union(links.select("dst", "src")).toDF("src", "dst").distinct())
     reached = both.filter(F.col("src") == start).select(F.col("src").alias("name"), F.lit(0).alias("hop")).limit(1)
     frontier = reached
     for hop in range(1, hops + 1):
-        step = (
+        step = checkpointed(
             both.join(frontier.select(F.col("name").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("name"))
             .distinct()
