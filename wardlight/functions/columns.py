@@ -71,7 +71,7 @@ def canonical_json(json_text: Column) -> Column:
     """
     compact = F.to_json(F.try_parse_json(json_text))
     return F.regexp_replace(
-        compact, r'((?:"(?:[^"\\]|\\.)*"|[^":,])*)([:,])', "$1$2 "
+        compact, r'\G((?:"(?:[^"\\]|\\.)*"|[^":,])*)([:,])', "$1$2 "
     )
 
 

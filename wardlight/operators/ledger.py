@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight import schema as s
 from wardlight.functions import columns as c
@@ -326,7 +327,7 @@ def pack_batches_greedy(
             numbers.append(batch)
         return rows.assign(batch_no=numbers)
 
-    schema = segmented.schema.add("batch_no", "bigint")
+    schema = T.StructType([*segmented.schema.fields, T.StructField("batch_no", T.LongType())])
     return (
         segmented.groupBy(stream, "segment").applyInPandas(pack, schema).drop("_position")
     )

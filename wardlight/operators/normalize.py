@@ -461,12 +461,13 @@ def promote_fields(events: DataFrame, names: list[str] = PROMOTED) -> DataFrame:
 
 
 def decode_base64(df: DataFrame, column: str = "CommandLine", into: str = "DecodedText") -> DataFrame:
-    """The longest-left base64 run of 16+ characters as text, else empty.
+    """The first base64 run of 16 or more characters as text, else empty.
 
-    Text that was encoded as UTF-16LE (the usual form on a command line) is
-    recognised by its zero bytes.
+    The run may be wrapped over lines.  Text that was encoded as UTF-16LE (the
+    usual form on a command line) is recognised by its zero bytes.
     """
-    run = F.regexp_extract(F.col(column), r"([A-Za-z0-9+/]{16,}={0,2})", 1)
+    found = F.regexp_extract(F.col(column), r"([A-Za-z0-9+/]{16,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2})", 1)
+    run = F.regexp_replace(found, r"[\r\n]", "")
     raw = F.try_to_binary(F.when(F.length(run) % 4 == 0, run), F.lit("base64"))
     wide = F.substring(F.hex(raw), 3, 2) == "00"
     narrow_text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))

@@ -354,8 +354,8 @@ def promote_fields(spark, folder):
 
 @query
 def decode_base64(spark, folder):
-    line = F.concat(F.lit("run -enc "), F.base64(F.encode(F.concat(F.col("text"), F.lit("....")), "UTF-8")))
-    docs = t.table(spark, folder, "documents").select("doc_id", F.regexp_replace(line, r"\s", "").alias("CommandLine"))
+    line = F.concat(F.lit("run -enc "), F.base64(F.encode(F.concat(F.col("text"), F.lit(" -- end of line --")), "UTF-8")))
+    docs = t.table(spark, folder, "documents").select("doc_id", line.alias("CommandLine"))
     return normalize.decode_base64(docs).select("doc_id", F.sha2("DecodedText", 256).alias("decoded_sha"))
 
 
@@ -779,9 +779,15 @@ def active_rules(spark, folder):
 
 @query
 def forwardable_hits(spark, folder):
-    """Hits of rules that are in production, by the rule states of the log."""
-    states = ledger.latest_rule_state(x.rule_changes(spark, folder)).withColumn(
-        "rule_id", F.concat(F.lit("windows-ad-00"), F.substring("rule_id", 5, 10))
+    """Hits of rules whose latest purchase or signup event is a purchase."""
+    states = ledger.latest_rule_state(
+        t.table(spark, folder, "events")
+        .filter(F.col("event_type").isin("purchase", "signup"))
+        .select(
+            F.concat(F.lit("windows-ad-00"), (F.col("user_id") % 6 + 1).cast("string")).alias("rule_id"),
+            F.when(F.col("event_type") == "purchase", "production").otherwise("disabled").alias("status"),
+            F.col("ts").cast("timestamp").alias("updated_at"),
+        )
     )
     return ledger.forwardable(x.hits(spark, folder), states).select("hit_id", "rule_id")
 

@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wardlight.functions import columns as c
 from wardlight.operators import ingest, normalize, rules
+from wardlight.operators.correlate import in_buckets
+from wardlight.operators.ordering import first_n
 from wardlight.session import scratch_path
 
 LATENESS = "5 minutes"
@@ -152,14 +155,27 @@ def stream_join(
     ).select("logon_id", "address", "logon_at", "flow_minute", "flows")
 
 
-_SEQUENCE_OUT = "entity string, first_at timestamp, first_id string, next_at timestamp, next_id string"
+_SEQUENCE_OUT = (
+    "entity string, first_at timestamp, first_events bigint, first_id string, next_at timestamp, next_id string"
+)
+_WAITING = "ms bigint, firsts bigint, first_id string, next_id string"
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per millisecond, in time order."""
+    return (
+        rows.groupby("ms", as_index=False)
+        .agg(firsts=("firsts", "sum"), first_id=("first_id", "min"), next_id=("next_id", "min"))
+        .sort_values("ms")
+    )
 
 
 class _Sequence(StatefulProcessor):
-    """Per entity: first events still waiting for a second one, with expiry.
+    """State of one (entity, time bucket): its relevant milliseconds.
 
-    A batch of an entity arrives in pieces and unordered.  Its rows wait in a
-    list state until the watermark passes them, then are played in time order.
+    Rows arrive in pieces and unordered, so they wait in a list state.  Timers
+    sit on a grid one span wide; when one fires, every first event whose span
+    is over is answered and the state keeps only younger rows.
     """
 
     def __init__(self, span_ms: int):
@@ -167,34 +183,51 @@ class _Sequence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, kind string, id string")
+        self.waiting = handle.getListState("waiting", _WAITING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         for batch in rows:
-            for ms, kind, record in zip(batch["ms"], batch["kind"], batch["id"]):
-                self.waiting.appendValue((int(ms), kind, record))
-                self.handle.registerTimer(int(ms) + self.span_ms + 1)
+            if batch.empty:
+                continue
+            folded = _fold(batch).fillna({"first_id": "", "next_id": ""})
+            self.waiting.appendList([(int(m), int(n), f, g) for m, n, f, g in folded.itertuples(index=False)])
+            for slot in sorted(set(folded["ms"] // self.span_ms)):
+                self.handle.registerTimer(int(slot + 2) * self.span_ms)
         yield from ()
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        """A first event is due once every second event it may match arrived."""
-        due = expired_timer_info.getExpiryTimeInMs() - self.span_ms - 1
-        rows = sorted(self.waiting.get())
-        seconds = [(ms, record) for ms, kind, record in rows if kind == "second"]
-        found = []
-        for ms, kind, record in rows:
-            if kind != "first" or ms != due:
-                continue
-            follow = next(((t, r) for t, r in seconds if ms < t <= ms + self.span_ms), None)
-            if follow:
-                found.append((key[0], ms, record, *follow))
-        keep = [r for r in rows if r[0] > due]
-        self.waiting.put(keep) if keep else self.waiting.clear()
-        if found:
-            out = pd.DataFrame(found, columns=["entity", "first_at", "first_id", "next_at", "next_id"])
-            for name in ("first_at", "next_at"):
-                out[name] = pd.to_datetime(out[name], unit="ms")
-            yield out
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        over = expiredTimerInfo.getExpiryTimeInMs() - self.span_ms
+        held = pd.DataFrame(list(self.waiting.get()), columns=["ms", "firsts", "first_id", "next_id"])
+        if held.empty:
+            return
+        held = _fold(held.replace({"": None}))
+        follows = held[held["next_id"].notna()][["ms", "next_id"]]
+        due = held[(held["firsts"] > 0) & (held["ms"] < over)]
+        young = held[held["ms"] >= over].fillna({"first_id": "", "next_id": ""})
+        if young.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put(
+                [(int(m), int(n), f, g) for m, n, f, g in young.itertuples(index=False)]
+            )
+        spot = follows["ms"].searchsorted(due["ms"], side="right")
+        found = spot < len(follows)
+        due, spot = due[found], spot[found]
+        out = pd.DataFrame(
+            {
+                "entity": key[0],
+                "first_at": due["ms"].to_numpy(),
+                "first_events": due["firsts"].to_numpy(),
+                "first_id": due["first_id"].to_numpy(),
+                "next_at": follows["ms"].to_numpy()[spot],
+                "next_id": follows["next_id"].to_numpy()[spot],
+            }
+        )
+        out = out[out["next_at"] - out["first_at"] <= self.span_ms]
+        if len(out):
+            yield out.assign(
+                first_at=pd.to_datetime(out["first_at"], unit="ms"), next_at=pd.to_datetime(out["next_at"], unit="ms")
+            )
 
     def close(self) -> None:
         pass
@@ -210,8 +243,9 @@ def stream_sequence(
 ) -> DataFrame:
     """``first`` then ``second`` on one entity within the span, keyed state.
 
-    State holds the relevant events of the last span per entity and is removed
-    by event-time timers.
+    The stream form of :func:`correlate.sequence_next`.  The state key is the
+    entity and a time bucket, so a busy entity is spread over its history;
+    timers in event time remove what is older than the span.
     """
     relevant = (
         events.filter((first | second) & (F.col(entity) != ""))
@@ -220,11 +254,23 @@ def stream_sequence(
             F.col(entity).alias("entity"),
             "TimeGenerated",
             F.unix_millis("TimeGenerated").alias("ms"),
-            F.when(first, "first").otherwise("second").alias("kind"),
-            F.col("EventRecordID").alias("id"),
+            first.alias("_first"),
+            F.when(second, F.col("EventRecordID")).alias("next_id"),
+            "EventRecordID",
         )
     )
-    return relevant.groupBy("entity").transformWithStateInPandas(
+    placed = in_buckets(relevant, "ms", span_ms, before=False, after=True)
+    mine = F.col("_first") & F.col("_own")
+    keyed = placed.select(
+        "entity",
+        F.col("_bucket").alias("bucket"),
+        "TimeGenerated",
+        "ms",
+        mine.cast("bigint").alias("firsts"),
+        F.when(mine, F.col("EventRecordID")).alias("first_id"),
+        "next_id",
+    )
+    return keyed.groupBy("entity", "bucket").transformWithStateInPandas(
         _Sequence(span_ms), _SEQUENCE_OUT, "Append", "EventTime"
     )
 
@@ -271,8 +317,6 @@ def stream_rate_limit(raw: DataFrame, limit: int, window: str = "60 seconds") ->
     keys = ["_source", "_window"]
 
     def one(frame: DataFrame, batch_id: int) -> None:
-        from wardlight.operators.ordering import first_n
-
         keyed = frame.withColumns(
             {
                 "_source": c.source_type(F.col("provenance_tag")),
@@ -296,8 +340,6 @@ def stream_rate_limit(raw: DataFrame, limit: int, window: str = "60 seconds") ->
             limit,
             spread_by=F.col("id"),
         )
-        from pyspark.sql import Window as W
-
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("received_at", "id"))
         passed = passed.withColumn("_rn", rank).filter(F.col("_rn") <= F.lit(limit) - F.col("_used"))
         passed.select(*frame.columns, *keys).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
