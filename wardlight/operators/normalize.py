@@ -105,9 +105,20 @@ def parse_fields(payload: Column) -> Column:
     return F.try_parse_json(payload).try_cast("map<string,variant>")
 
 
-def field(name: str, fields: str = "fields") -> Column:
-    """One payload key as text; null when absent or JSON null."""
-    return F.try_element_at(F.col(fields), F.lit(name)).try_cast("string")
+def known_fields(payload: Column, names: list[str]) -> Column:
+    """The named payload keys as one struct of text, read in a single pass."""
+    return F.from_json(payload, ", ".join(f"`{n}` string" for n in names))
+
+
+# Keys that differ from another known key by case only; a struct holds one.
+_CASE_TWINS = {"channel", "protocol"}
+
+
+def field(name: str) -> Column:
+    """One known payload key as text; null when absent or JSON null."""
+    if name in _CASE_TWINS:
+        return F.try_element_at(F.col("fields"), F.lit(name)).try_cast("string")
+    return F.col(f"known.`{name}`")
 
 
 def _first_field(names: list[str]) -> Column:
@@ -123,14 +134,10 @@ def _by_source(source: Column, options: dict[str, Column], default: Column) -> C
     return default if chosen is None else chosen.otherwise(default)
 
 
-def _keys(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])
-
-
-def unmapped_json(fields: Column, mapped: Column) -> Column:
+def unmapped_json(fields: Column, mapped: list[str]) -> Column:
     """Keys outside ``mapped`` as JSON text, empty when there are none."""
-    rest = F.map_filter(fields, lambda k, _: ~F.array_contains(mapped, k))
-    return F.when(F.size(rest) > 0, F.to_json(rest)).otherwise("")
+    rest = F.to_json(F.map_filter(fields, lambda k, _: ~k.isin(*mapped)))
+    return F.when(rest == "{}", "").otherwise(rest)
 
 
 def _merge(base: Column, over: Column) -> Column:
@@ -212,6 +219,20 @@ def stable_record_id(tag: Column, source_id: Column, payload: Column) -> Column:
     return F.when(c.text(source_id) != "", F.concat(tag, F.lit(":"), source_id)).otherwise(digest)
 
 
+def _source_keys() -> list[str]:
+    """Every payload key that any source map reads."""
+    names = {"EventRecordID", "record_id", "Protocol", "proto", "protocol", "LogonType", "Hashes"}
+    for keys in [*TIME_KEYS.values(), *ID_KEYS.values()]:
+        names.update(keys)
+    for by_column in TEXT_MAPS.values():
+        for keys in by_column.values():
+            names.update(keys)
+    for by_source in PORT_KEYS.values():
+        for keys in by_source.values():
+            names.update(keys)
+    return sorted(names - _CASE_TWINS)
+
+
 def parsed_messages(raw: DataFrame) -> DataFrame:
     """Raw rows that hold a JSON object, with ``fields`` and ``source``.
 
@@ -245,8 +266,11 @@ def normalize_events(raw: DataFrame, nested: bool = False) -> DataFrame:
     protocol that is not a number keeps its own text.
     """
     work = parsed_messages(raw)
+    flat = F.col("payload")
     if nested:
         work = unwrap_nested(work)
+        flat = F.to_json("fields")
+    work = work.withColumn("known", known_fields(flat, _source_keys()))
     src = F.col("source")
 
     def text_column(name: str) -> Column:
@@ -309,9 +333,10 @@ def normalize_events(raw: DataFrame, nested: bool = False) -> DataFrame:
     )
     out["ProvenanceTag"] = F.col("provenance_tag")
     out["IngestTimestamp"] = F.date_trunc("millisecond", "received_at")
-    out["UnmappedFields"] = unmapped_json(
-        F.col("fields"),
-        _by_source(src, {k: _keys(v) for k, v in MAPPED_KEYS.items() if k != "wef"}, _keys(MAPPED_KEYS["wef"])),
+    out["UnmappedFields"] = _by_source(
+        src,
+        {k: unmapped_json(F.col("fields"), v) for k, v in MAPPED_KEYS.items() if k != "wef"},
+        unmapped_json(F.col("fields"), MAPPED_KEYS["wef"]),
     )
     return work.select(*[out[name].alias(name) for name in s.CANONICAL_COLUMNS])
 
@@ -341,13 +366,11 @@ def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
     back to 0, text is cut at 64 KB, the rest goes to UnmappedFields (256 KB).
     """
     work = parsed.withColumn("fields", F.col(fields)) if fields != "fields" else parsed
-    server = _keys(s.SERVER_COLUMNS)
     own = F.map_filter(
-        "fields",
-        lambda k, _: ~F.array_contains(server, k) & ~k.rlike(s.SERVER_KEY_PATTERN),
+        "fields", lambda k, _: ~k.isin(*s.SERVER_COLUMNS) & ~k.rlike(s.SERVER_KEY_PATTERN)
     )
-    work = work.withColumn("fields", own)
     typed = [n for n in s.CANONICAL_COLUMNS if n not in (*s.SERVER_COLUMNS, "UnmappedFields")]
+    work = work.withColumn("fields", own).withColumn("known", known_fields(F.to_json("fields"), typed))
     out = {}
     for name in typed:
         if name == "TimeGenerated":
@@ -364,11 +387,11 @@ def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
             out[name] = F.substring(c.text(field(name)), 1, s.HASH_WIDTHS[name])
         else:
             out[name] = c.truncate_bytes(c.text(field(name)), FIELD_BYTES)
-    rest = unmapped_json(F.col("fields"), _keys(typed))
+    rest = unmapped_json(F.col("fields"), typed)
     out["UnmappedFields"] = c.truncate_bytes(rest, UNMAPPED_BYTES)
     out["ProvenanceTag"] = F.col("ProvenanceTag")
     out["IngestTimestamp"] = F.col("IngestTimestamp")
-    keep = [x for x in work.columns if x not in ("fields", *s.SERVER_COLUMNS)]
+    keep = [x for x in work.columns if x not in ("fields", "known", *s.SERVER_COLUMNS)]
     return work.select(
         *keep, *[out[n].alias(n) for n in s.CANONICAL_COLUMNS], (rest != "").alias("had_unmapped")
     )

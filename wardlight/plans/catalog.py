@@ -222,7 +222,7 @@ def parse_hashes(spark, folder):
 def extract_unmapped(spark, folder):
     rest = normalize.unmapped_json(
         normalize.parse_fields(F.col("payload")),
-        F.array(*[F.lit(n) for n in normalize.MAPPED_KEYS["wef"] + ["record_id"]]),
+        normalize.MAPPED_KEYS["wef"] + ["record_id"],
     )
     parsed = x.raw(spark, folder).select("id", rest.alias("rest"))
     return parsed.select(
@@ -1050,7 +1050,7 @@ def graph_edges(spark, folder):
 
 @query
 def graph_khop(spark, folder):
-    return graph.graph_khop(graph.graph_edges(_graph_rows(spark, folder)), "user15", hops=2)
+    return graph.graph_khop(graph.graph_edges(_graph_rows(spark, folder)), "user8", hops=2)
 
 
 # -- streams ------------------------------------------------------------------

@@ -1287,12 +1287,12 @@ sql(
     "graph_khop",
     GRAPH
     + """, paths AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-one AS (SELECT DISTINCT dst AS name FROM paths WHERE src = 'user15'),
+one AS (SELECT DISTINCT dst AS name FROM paths WHERE src = 'user8'),
 two AS (SELECT DISTINCT dst AS name FROM paths JOIN one ON src = name)""",
     """
-SELECT 'user15' AS name, 0 AS hop
-UNION ALL SELECT name, 1 FROM one WHERE name <> 'user15'
-UNION ALL SELECT name, 2 FROM two WHERE name <> 'user15' AND name NOT IN (SELECT name FROM one)
+SELECT 'user8' AS name, 0 AS hop
+UNION ALL SELECT name, 1 FROM one WHERE name <> 'user8'
+UNION ALL SELECT name, 2 FROM two WHERE name <> 'user8' AND name NOT IN (SELECT name FROM one)
 """,
 )
 
