@@ -32,10 +32,11 @@ def whole_number(col: Column) -> Column:
     Numbers of 19 and more digits saturate.
     """
     as_text = col.cast("string")
-    whole = F.split_part(strip(as_text), F.lit("."), F.lit(1)).try_cast("bigint")
+    cut = F.split_part(as_text, F.lit("."), F.lit(1))
     huge = F.lit(10**18)
     return (
-        F.when(as_text.rlike(r"^\s*[+-]?\d{1,18}(\.\d*)?\s*$"), whole)
+        F.when(as_text.rlike(r"^\s*[+-]?\d{1,18}\s*$"), as_text.try_cast("bigint"))
+        .when(as_text.rlike(r"^\s*[+-]?\d{1,18}\.\d*\s*$"), cut.try_cast("bigint"))
         .when(as_text.rlike(r"^\s*\+?\d{19,}(\.\d*)?\s*$"), huge)
         .when(as_text.rlike(r"^\s*-\d{19,}(\.\d*)?\s*$"), -huge)
     )

@@ -26,9 +26,12 @@ EDGE_COLUMNS = [
 CATEGORIES = ["Host", "User", "IP Address", "Process"]
 
 
-def _newest_first(column: Column) -> list[Column]:
-    """Order of appearance: newest row, then record id, then column order."""
-    return [-F.unix_millis("TimeGenerated"), F.col("EventRecordID"), column]
+def _appearance(order: int) -> Column:
+    """Rank of appearance as one number: newest row first, then column order.
+
+    A plain number keeps the fold in a hash aggregate.
+    """
+    return -F.unix_millis("TimeGenerated") * 8 + order
 
 
 def graph_slice(events: DataFrame, start, end, limit: int | None = None) -> DataFrame:
@@ -48,12 +51,8 @@ def graph_nodes(rows: DataFrame, cap: int | None = None) -> DataFrame:
     """
     items = F.array(
         *[
-            F.struct(
-                strip(F.col(n)).alias("name"),
-                F.lit(category).alias("category"),
-                F.struct(*[x.alias(f"o{i}") for i, x in enumerate(_newest_first(F.lit(order)))]).alias("seen"),
-            )
-            for n, (category, order) in NODE_COLUMNS.items()
+            F.struct(strip(F.col(n)).alias("name"), _appearance(order).alias("seen"))
+            for n, (_, order) in NODE_COLUMNS.items()
         ]
     )
     nodes = (
@@ -61,15 +60,13 @@ def graph_nodes(rows: DataFrame, cap: int | None = None) -> DataFrame:
         .select("n.*")
         .filter(F.col("name") != "")
         .groupBy("name")
-        .agg(
-            F.min(F.struct("seen", "category")).alias("first"),
-            F.count("*").alias("mentions"),
-        )
+        .agg(F.min("seen").alias("seen"), F.count("*").alias("mentions"))
     )
     if cap:
-        nodes = nodes.orderBy("first.seen").limit(cap)
+        nodes = nodes.orderBy("seen", "name").limit(cap)
+    category_of = F.array(*[F.lit(category) for category, _ in NODE_COLUMNS.values()])
     labels = F.array(*[F.lit(x) for x in CATEGORIES])
-    category = F.col("first.category")
+    category = F.element_at(category_of, F.pmod("seen", F.lit(8)).cast("int") + 1)
     return nodes.select(
         "name", category.alias("category"), F.element_at(labels, category + 1).alias("label"), "mentions"
     )
@@ -78,31 +75,29 @@ def graph_nodes(rows: DataFrame, cap: int | None = None) -> DataFrame:
 def graph_edges(rows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(src, dst, event_id, events, first_seen, last_seen), no self loops.
 
-    The event id is that of the newest row.  With ``nodes`` only edges between
-    listed nodes stay.
+    The event id is that of the newest row, the least one among equals.  Edges
+    are folded per event id first, which a hash aggregate can do; with
+    ``nodes`` only edges between listed nodes stay.
     """
     items = F.array(
-        *[
-            F.struct(
-                strip(F.col(a)).alias("src"),
-                strip(F.col(b)).alias("dst"),
-                F.struct(*[x.alias(f"o{i}") for i, x in enumerate(_newest_first(F.lit(order)))]).alias("seen"),
-            )
-            for order, (a, b) in enumerate(EDGE_COLUMNS)
-        ]
+        *[F.struct(strip(F.col(a)).alias("src"), strip(F.col(b)).alias("dst")) for a, b in EDGE_COLUMNS]
     )
-    edges = (
+    per_id = (
         rows.select(F.explode(items).alias("e"), "EventID", "TimeGenerated")
         .select("e.*", "EventID", "TimeGenerated")
         .filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
-        .groupBy("src", "dst")
+        .groupBy("src", "dst", "EventID")
         .agg(
-            F.min(F.struct("seen", "EventID")).alias("first"),
-            F.count("*").alias("events"),
-            F.min("TimeGenerated").alias("first_seen"),
-            F.max("TimeGenerated").alias("last_seen"),
+            F.count("*").alias("n"),
+            F.min("TimeGenerated").alias("first"),
+            F.max("TimeGenerated").alias("last"),
         )
-        .select("src", "dst", F.col("first.EventID").alias("event_id"), "events", "first_seen", "last_seen")
+    )
+    edges = per_id.groupBy("src", "dst").agg(
+        F.min_by("EventID", F.struct(-F.unix_millis("last"), F.col("EventID"))).alias("event_id"),
+        F.sum("n").alias("events"),
+        F.min("first").alias("first_seen"),
+        F.max("last").alias("last_seen"),
     )
     if nodes is not None:
         for side in ("src", "dst"):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions import columns as c
-from wardlight.operators.ordering import first_n
+from wardlight.operators.ordering import first_n, small_side
 
 MAX_EVENT_BYTES = 65536
 EVENTS_PER_MINUTE = 10000
@@ -95,7 +95,7 @@ def rate_limit(
     keyed = df.withColumns(
         {"_source": c.source_type(F.col(tag)), "_window": F.window(F.col(at), window).start}
     )
-    over = (
+    over = small_side(
         keyed.groupBy("_source", "_window")
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > limit)

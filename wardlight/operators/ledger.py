@@ -237,13 +237,13 @@ def reconcile_stages(
     Both sides are folded to one row per id first: copies of an id must not
     pile up in the join.
     """
-    want = accepted.groupBy(key).agg(
-        F.min(F.struct(F.col(at), c.source_type(F.col("provenance_tag")).alias("source"))).alias("_first")
+    want = accepted.groupBy(key, c.source_type(F.col("provenance_tag")).alias("source")).agg(
+        F.min(at).alias("_first")
     )
     have = stored.select(key).distinct().withColumn("_stored", F.lit(1))
     return (
         want.join(have, key, "left")
-        .groupBy(F.col("_first.source").alias("source"), F.date_trunc("hour", f"_first.{at}").alias("hour"))
+        .groupBy("source", F.date_trunc("hour", "_first").alias("hour"))
         .agg(
             F.count("*").alias("accepted"),
             F.count("_stored").alias("stored"),

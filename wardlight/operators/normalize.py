@@ -101,8 +101,17 @@ PROTOCOLS = {"6": "tcp", "17": "udp", "1": "icmp"}
 
 
 def parse_fields(payload: Column) -> Column:
-    """JSON object text to ``map<string,variant>``; anything else is null."""
-    return F.try_parse_json(payload).try_cast("map<string,variant>")
+    """JSON object text to ``map<string,variant>``; anything else is null.
+
+    Spark's parser stops after the first value, so what follows it has to be
+    checked: the text must end with the object, and a text that could hold two
+    objects is parsed inside brackets, where a second one shows.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).try_cast("array<variant>")
+    parsed = F.when(
+        payload.rlike(r"\}\s*,?\s*\{"), F.when(F.size(boxed) == 1, F.try_element_at(boxed, F.lit(1)))
+    ).otherwise(F.try_parse_json(payload))
+    return F.when(payload.rlike(r"\}\s*$"), parsed.try_cast("map<string,variant>"))
 
 
 def known_fields(payload: Column, names: list[str]) -> Column:

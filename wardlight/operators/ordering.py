@@ -33,10 +33,12 @@ def with_running(
     key), so its size follows the partition count and the keys, not the rows.
     """
     sums = sums or {}
-    spark = df.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = checkpointed(
-        df.repartitionByRange(count, *keys, *order).withColumn("_part", F.spark_partition_id())
+        (
+            df.repartitionByRange(partitions, *keys, *order)
+            if partitions
+            else df.repartitionByRange(*keys, *order)
+        ).withColumn("_part", F.spark_partition_id())
     )
     totals = cut.groupBy("_part", *keys).agg(
         F.count("*").alias("_n"),
@@ -67,6 +69,17 @@ def with_running(
     return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A narrow join side, broadcast if it has been counted to be small.
+
+    The side is written out first, so counting it and joining it read the same
+    rows and its own input is scanned once.  Beyond ``max_rows`` there is no
+    hint and Spark shuffles both sides.
+    """
+    fixed = checkpointed(df)
+    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+
+
 def first_n(
     df: DataFrame,
     keys: list[str],

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from wardlight import schema as s
 from wardlight.functions import columns as c
+from wardlight.operators.normalize import PROMOTED, promote_fields
+from wardlight.operators.ordering import small_side
 from wardlight.session import local_table
 
 # Rule field -> canonical column.
@@ -306,6 +308,12 @@ def _event_ids(rules: list[dict]) -> list[int] | None:
     return sorted(ids)
 
 
+def with_rule_fields(events: DataFrame) -> DataFrame:
+    """Events plus the promoted JSON fields the rules use, where missing."""
+    missing = [n for n in PROMOTED if n not in events.columns]
+    return promote_fields(events, missing) if missing and "UnmappedFields" in events.columns else events
+
+
 EVIDENCE = ["EventRecordID", "TimeGenerated", "SubjectUserName", "HostName", "SrcIpAddr"]
 
 
@@ -323,7 +331,7 @@ def detect_rules(
     One scan for all rules.  The time bounds are half-open, and the pinned
     event ids become an IN filter that reaches the Parquet scan.
     """
-    rows = events
+    rows = with_rule_fields(events)
     if start is not None:
         rows = rows.filter(F.col("TimeGenerated") >= F.lit(start).cast("timestamp"))
     if end is not None:
@@ -339,7 +347,7 @@ def detect_rules(
 
 def rule_matches(events: DataFrame, rule: dict, columns: list[str]) -> DataFrame:
     """The events one rule matches."""
-    return events.filter(rule_condition(rule)).select(*columns)
+    return with_rule_fields(events).filter(rule_condition(rule)).select(*columns)
 
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -379,7 +387,7 @@ def evidence_chunks(
         "rule_id", at.start.alias("batch_start"), at.end.alias("batch_end"), "EventRecordID"
     )
     keys = ["rule_id", "batch_start", "batch_end"]
-    sizes = (
+    sizes = small_side(
         keyed.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .select(*keys, F.ceil(F.col("_n") / chunk_ids).cast("int").alias("chunks"))

@@ -1253,8 +1253,8 @@ GRAPH = (
   UNION ALL SELECT DstIpAddr, 2, 4, ms, EventRecordID FROM sliced
   UNION ALL SELECT ProcessImagePath, 3, 5, ms, EventRecordID FROM sliced
 ), nodes AS (
-  SELECT name, arg_min(category, (-ms, EventRecordID, o)) AS category, count(*) AS mentions,
-         min((-ms, EventRecordID, o)) AS seen
+  SELECT name, arg_min(category, (-ms, o)) AS category, count(*) AS mentions,
+         min((-ms, o)) AS seen
   FROM mentions WHERE name <> '' GROUP BY name
 ), links AS (
   SELECT HostName AS src, SubjectUserName AS dst, 0 AS o, ms, EventRecordID, EventID, TimeGenerated FROM sliced
@@ -1262,7 +1262,7 @@ GRAPH = (
   UNION ALL SELECT SrcIpAddr, DstIpAddr, 2, ms, EventRecordID, EventID, TimeGenerated FROM sliced
   UNION ALL SELECT HostName, ProcessImagePath, 3, ms, EventRecordID, EventID, TimeGenerated FROM sliced
 ), edges AS (
-  SELECT src, dst, arg_min(EventID, (-ms, EventRecordID, o)) AS event_id, count(*) AS events,
+  SELECT src, dst, arg_min(EventID, (-ms, EventID)) AS event_id, count(*) AS events,
          min(TimeGenerated) AS first_seen, max(TimeGenerated) AS last_seen
   FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 )"""
@@ -1281,7 +1281,7 @@ SELECT name, category, CASE category WHEN 0 THEN 'Host' WHEN 1 THEN 'User' WHEN
 FROM nodes
 """,
 )
-sql("graph_nodes_capped", GRAPH, "SELECT name, category FROM nodes ORDER BY seen LIMIT 200")
+sql("graph_nodes_capped", GRAPH, "SELECT name, category FROM nodes ORDER BY seen, name LIMIT 200")
 sql("graph_edges", GRAPH, "SELECT src, dst, event_id, events, first_seen, last_seen FROM edges")
 sql(
     "graph_khop",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import columns as c
 from wardlight.operators.normalize import parse_fields
-from wardlight.operators.ordering import with_running
+from wardlight.operators.ordering import small_side, with_running
 
 DROP_PATTERN = "*.{json,jsonl,txt}"
 # Extensions an upload may have.
@@ -240,7 +240,7 @@ def parse_drop_lines(lines: DataFrame) -> DataFrame:
     """
     work = lines.select("file", "received_at", c.strip(F.col("line")).alias("line")).filter("line <> ''")
     work = work.withColumn("_object", _is_object(F.col("line")))
-    flags = work.groupBy("file").agg(F.max("_object").alias("_has_objects"))
+    flags = small_side(work.groupBy("file").agg(F.max("_object").alias("_has_objects")))
     loose = extension(F.col("file")).isin("log", "txt")
     return (
         work.join(flags, "file")
