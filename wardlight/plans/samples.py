@@ -29,12 +29,22 @@ def plain(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores.
+
+    A table of one or two files is one or two tasks, however costly its
+    parsing.  A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sec(spark: SparkSession, folder: str) -> DataFrame:
     return t.security_events(spark, folder)
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return t.raw_messages(t.table(spark, folder, "events"))
+    return t.raw_messages(spread(t.table(spark, folder, "events")))
 
 
 RULE_FIELDS = {"TargetImage": "TargetImage"}
@@ -136,7 +146,7 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, ext, content): documents as .txt, event properties as .jsonl."""
-    documents = t.table(spark, folder, "documents").select(
+    documents = spread(t.table(spark, folder, "documents")).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
         F.lit("txt").alias("ext"),
         F.col("text").alias("content"),
@@ -196,7 +206,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     )
     received = F.col("IngestTimestamp")
     return (
-        sec(spark, folder)
+        t.as_security_events(spread(t.table(spark, folder, "events")))
         .select(
             F.concat(F.col("HostName"), F.lit(".jsonl")).alias("file"),
             F.col("EventRecordID").alias("row_id"),
