@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import correlate, ingest, ledger
-from wardlight.operators.ordering import exact_percentiles, first_n, with_running
+from wardlight.operators.ordering import exact_percentiles, first_n, with_previous, with_running
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +35,15 @@ def test_running_numbers_and_sums(skewed):
     pd.testing.assert_frame_equal(got, want.reset_index(drop=True), check_dtype=False)
 
 
+def test_previous_value_over_a_hot_key(skewed):
+    frame, df = skewed
+    got = with_previous(df, ["key"], ["t", "id"], "size", "last").toPandas()
+    want = frame.sort_values(["key", "t", "id"])
+    want["last"] = want.groupby("key")["size"].shift()
+    got = got.sort_values(["key", "t", "id"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[list(want.columns)], want.reset_index(drop=True), check_dtype=False)
+
+
 def test_first_n_is_exact(skewed):
     frame, df = skewed
     got = first_n(df, ["key"], ["t", "id"], 50, spread_by=F.col("id"), spread=8).toPandas()

@@ -117,6 +117,13 @@ def ipv4_number(col: Column) -> Column:
     return F.when(col.rlike(_IPV4), number)
 
 
+def display_time(col: Column, zone: str) -> Column:
+    """``yyyy-MM-dd HH:mm:ss UTC (HH:mm:ss zone)``; a dash when absent."""
+    local = F.date_format(F.from_utc_timestamp(col, zone), "HH:mm:ss")
+    shown = F.concat(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC ("), local, F.lit(f" {zone})"))
+    return F.coalesce(shown, F.lit("—"))
+
+
 def ipv6_hex(col: Column) -> Column:
     """IPv6 text to 32 hex digits; an address that is not IPv6 is null."""
     halves = F.split(F.lower(col), "::", 2)

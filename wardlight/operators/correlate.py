@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from wardlight.operators.ordering import first_per_key
 
-BUCKET_SPANS = 24
+# Width of a time bucket in spans.  Narrow buckets split a busy entity further;
+# at most one row in this many is copied to a neighbour.
+BUCKET_SPANS = 4
 
 
 def _millis(at: str) -> Column:
@@ -26,8 +28,7 @@ def in_buckets(df: DataFrame, ms: str, span_ms: int, before: bool, after: bool)
     """Copy rows into the buckets that need them; adds ``_bucket``, ``_own``.
 
     ``before``: a bucket needs rows up to one span before its start;
-    ``after``: rows up to one span past its end.  Buckets are many spans wide,
-    so few rows are copied.
+    ``after``: rows up to one span past its end.
     """
     width = span_ms * BUCKET_SPANS
     at = F.col(ms)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +11,7 @@ from wardlight import schema as s
 from wardlight.functions import columns as c
 from wardlight.operators.correlate import latest_per_key
 from wardlight.operators.normalize import lookup
-from wardlight.operators.ordering import first_per_key, with_running
+from wardlight.operators.ordering import first_per_key, with_previous, with_running
 
 FORWARD_BATCH = 200
 PACK_ROWS = 500
@@ -454,10 +453,9 @@ def active_rules(changes: DataFrame, statuses: tuple = ("test", "review", "produ
 
 def rule_audit(changes: DataFrame) -> DataFrame:
     """An audit record for every change of status; repeats are not changes."""
-    history = W.partitionBy("rule_id").orderBy("updated_at", "status")
     high = F.col("old_status").isin(HIGH_STATUSES) | F.col("status").isin(HIGH_STATUSES)
     return (
-        changes.withColumn("old_status", F.lag("status").over(history))
+        with_previous(changes, ["rule_id"], ["updated_at", "status"], "status", "old_status")
         .filter(F.col("old_status").isNotNull() & (F.col("old_status") != F.col("status")))
         .select(
             F.col("updated_at").alias("TimeGenerated"),

@@ -69,6 +69,25 @@ def with_running(
     return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """Add the previous row's ``value`` per key, in ``order``; null at the first.
+
+    As :func:`with_running`: rows are range-partitioned, looked back inside a
+    partition, and the first row of a key in a partition takes the key's last
+    value from the partition before.
+    """
+    cut = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part", *keys).orderBy(*order)
+    ends = cut.groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    carried = ends.select(
+        "_part", *keys, F.lag("_end").over(W.partitionBy(*keys).orderBy("_part")).alias("_carried")
+    )
+    local = cut.withColumns({"_rn": F.row_number().over(inside), "_before": F.lag(value).over(inside)})
+    return local.join(carried, ["_part", *keys], "left").select(
+        *df.columns, F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_before")).alias(into)
+    )
+
+
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """A narrow join side, broadcast if it has been counted to be small.
 

@@ -380,7 +380,8 @@ def evidence_chunks(
 
     A rule and window with up to ``chunk_ids`` matches is one chunk holding
     its sorted record ids.  A larger one is split by a hash of the id, so no
-    task ever holds more than about one chunk of a flooding rule.
+    task ever holds more than about one chunk of a flooding rule.  Copies of a
+    record count in ``n`` but are listed once; they collapse before the shuffle.
     """
     at = F.window("TimeGenerated", window)
     keyed = matches.select(
@@ -398,7 +399,7 @@ def evidence_chunks(
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .withColumn("chunk", F.pmod(F.xxhash64("EventRecordID"), F.col("chunks")).cast("int"))
         .groupBy(*keys, "chunk", "chunks")
-        .agg(F.array_sort(F.collect_list("EventRecordID")).alias("ids"), F.count("*").alias("n"))
+        .agg(F.array_sort(F.collect_set("EventRecordID")).alias("ids"), F.count("*").alias("n"))
         .withColumn("ids_sha", F.sha2(F.array_join("ids", ","), 256))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ def search_condition(kind: str, value: str) -> Column:
 
 def check_range(start, end) -> None:
     """A search range is forward and at most 30 days."""
-    import pandas as pd
-
     low, high = pd.Timestamp(start), pd.Timestamp(end)
     if low >= high:
         raise ValueError("start must be before end")
@@ -116,7 +115,12 @@ def check_range(start, end) -> None:
 def search(
     events: DataFrame, kind: str, value: str, start, end, incident_id: str | None = None
 ) -> DataFrame:
-    """All events of the range that match; see :func:`capped` for the cap."""
+    """All events of the range that match; see :func:`capped` for the cap.
+
+    Without ``start`` the search covers the 24 hours before ``end``.
+    """
+    if start is None:
+        start = str(pd.Timestamp(end) - pd.Timedelta(hours=24))
     check_range(start, end)
     tests = [*_between("TimeGenerated", start, end), search_condition(kind, value)]
     if incident_id is not None:

@@ -455,6 +455,20 @@ sql(
     "SELECT doc_id, sha256(text || ' -- end of line --') AS decoded_sha FROM documents",
 )
 
+_SHOWN = (
+    "strftime({0}, '%Y-%m-%d %H:%M:%S') || ' UTC (' || strftime({0} {1}, '%H:%M:%S') || ' {2})'"
+)
+sql(
+    "display_times",
+    SEC,
+    f"""
+SELECT EventRecordID, {_SHOWN.format("TimeGenerated", "+ INTERVAL '2 hours'", "+02:00")} AS event_time,
+       CASE WHEN DstPort = 445 THEN {_SHOWN.format("IngestTimestamp", "- INTERVAL '330 minutes'", "-05:30")}
+            ELSE '—' END AS ingest_time
+FROM sec
+""",
+)
+
 # -- search -----------------------------------------------------------------
 
 sql(

@@ -25,6 +25,8 @@ def local_session(cores: int | str = 8, name: str = "wardlight", **conf) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+        # Rank before the shuffle for limits up to the rate limit, not only 1000.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -158,20 +158,26 @@ def stream_join(
 _SEQUENCE_OUT = (
     "entity string, first_at timestamp, first_events bigint, first_id string, next_at timestamp, next_id string"
 )
-_WAITING = "ms bigint, firsts bigint, first_id string, next_id string"
+_WAITING = "entity string, ms bigint, firsts bigint, first_id string, next_id string"
+_WAITING_COLUMNS = ["entity", "ms", "firsts", "first_id", "next_id"]
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per millisecond, in time order."""
+    """One row per entity and millisecond, in time order."""
     return (
-        rows.groupby("ms", as_index=False)
+        rows.groupby(["entity", "ms"], as_index=False)
         .agg(firsts=("firsts", "sum"), first_id=("first_id", "min"), next_id=("next_id", "min"))
         .sort_values("ms")
     )
 
 
+def _state_rows(folded: pd.DataFrame) -> list[tuple]:
+    plain = folded.fillna({"first_id": "", "next_id": ""})[_WAITING_COLUMNS]
+    return [(e, int(m), int(n), f, g) for e, m, n, f, g in plain.itertuples(index=False)]
+
+
 class _Sequence(StatefulProcessor):
-    """State of one (entity, time bucket): its relevant milliseconds.
+    """State of one (shard of entities, time bucket): its relevant rows.
 
     Rows arrive in pieces and unordered, so they wait in a list state.  Timers
     sit on a grid one span wide; when one fires, every first event whose span
@@ -189,44 +195,46 @@ class _Sequence(StatefulProcessor):
         for batch in rows:
             if batch.empty:
                 continue
-            folded = _fold(batch).fillna({"first_id": "", "next_id": ""})
-            self.waiting.appendList([(int(m), int(n), f, g) for m, n, f, g in folded.itertuples(index=False)])
+            folded = _fold(batch)
+            self.waiting.appendList(_state_rows(folded))
             for slot in sorted(set(folded["ms"] // self.span_ms)):
                 self.handle.registerTimer(int(slot + 2) * self.span_ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         over = expiredTimerInfo.getExpiryTimeInMs() - self.span_ms
-        held = pd.DataFrame(list(self.waiting.get()), columns=["ms", "firsts", "first_id", "next_id"])
+        held = pd.DataFrame(list(self.waiting.get()), columns=_WAITING_COLUMNS)
         if held.empty:
             return
         held = _fold(held.replace({"": None}))
-        follows = held[held["next_id"].notna()][["ms", "next_id"]]
         due = held[(held["firsts"] > 0) & (held["ms"] < over)]
-        young = held[held["ms"] >= over].fillna({"first_id": "", "next_id": ""})
+        young = held[held["ms"] >= over]
         if young.empty:
             self.waiting.clear()
         else:
-            self.waiting.put(
-                [(int(m), int(n), f, g) for m, n, f, g in young.itertuples(index=False)]
-            )
-        spot = follows["ms"].searchsorted(due["ms"], side="right")
-        found = spot < len(follows)
-        due, spot = due[found], spot[found]
-        out = pd.DataFrame(
-            {
-                "entity": key[0],
-                "first_at": due["ms"].to_numpy(),
-                "first_events": due["firsts"].to_numpy(),
-                "first_id": due["first_id"].to_numpy(),
-                "next_at": follows["ms"].to_numpy()[spot],
-                "next_id": follows["next_id"].to_numpy()[spot],
-            }
-        )
-        out = out[out["next_at"] - out["first_at"] <= self.span_ms]
-        if len(out):
-            yield out.assign(
-                first_at=pd.to_datetime(out["first_at"], unit="ms"), next_at=pd.to_datetime(out["next_at"], unit="ms")
+            self.waiting.put(_state_rows(young))
+        follows = held.loc[held["next_id"].notna(), ["entity", "ms", "next_id"]]
+        if due.empty or follows.empty:
+            return
+        found = pd.merge_asof(
+            due.drop(columns="next_id"),
+            follows.assign(next_ms=follows["ms"]),
+            on="ms",
+            by="entity",
+            direction="forward",
+            allow_exact_matches=False,
+            tolerance=self.span_ms,
+        ).dropna(subset=["next_id"])
+        if len(found):
+            yield pd.DataFrame(
+                {
+                    "entity": found["entity"],
+                    "first_at": pd.to_datetime(found["ms"], unit="ms"),
+                    "first_events": found["firsts"].astype("int64"),
+                    "first_id": found["first_id"],
+                    "next_at": pd.to_datetime(found["next_ms"].astype("int64"), unit="ms"),
+                    "next_id": found["next_id"],
+                }
             )
 
     def close(self) -> None:
@@ -240,12 +248,14 @@ def stream_sequence(
     entity: str,
     span_ms: int,
     lateness: str = LATENESS,
+    shards: int = 8,
 ) -> DataFrame:
     """``first`` then ``second`` on one entity within the span, keyed state.
 
-    The stream form of :func:`correlate.sequence_next`.  The state key is the
-    entity and a time bucket, so a busy entity is spread over its history;
-    timers in event time remove what is older than the span.
+    The stream form of :func:`correlate.sequence_next`.  The state key is a
+    shard of the entities and a time bucket: entities of a shard are handled
+    together, and a busy one is spread over its history.  Raise ``shards``
+    with the number of entities.  Event-time timers remove old rows.
     """
     relevant = (
         events.filter((first | second) & (F.col(entity) != ""))
@@ -262,15 +272,16 @@ def stream_sequence(
     placed = in_buckets(relevant, "ms", span_ms, before=False, after=True)
     mine = F.col("_first") & F.col("_own")
     keyed = placed.select(
-        "entity",
+        c.salt(F.col("entity"), shards).alias("shard"),
         F.col("_bucket").alias("bucket"),
+        "entity",
         "TimeGenerated",
         "ms",
         mine.cast("bigint").alias("firsts"),
         F.when(mine, F.col("EventRecordID")).alias("first_id"),
         "next_id",
     )
-    return keyed.groupBy("entity", "bucket").transformWithStateInPandas(
+    return keyed.groupBy("shard", "bucket").transformWithStateInPandas(
         _Sequence(span_ms), _SEQUENCE_OUT, "Append", "EventTime"
     )
 
@@ -326,7 +337,8 @@ def stream_rate_limit(raw: DataFrame, limit: int, window: str = "60 seconds") ->
         earlier = None
         if batch_id > 0:
             earlier = (
-                spark.read.parquet(*[f"{out}/counts/batch_id={i}" for i in range(batch_id)])
+                spark.read.parquet(f"{out}/counts")
+                .filter(F.col("batch_id") < batch_id)
                 .groupBy(*keys)
                 .agg(F.sum("n").alias("_used"))
             )
