@@ -283,15 +283,9 @@ def normalize_events(raw: DataFrame, nested: bool = False) -> DataFrame:
     src = F.col("source")
 
     def text_column(name: str) -> Column:
-        return _by_source(
-            src,
-            {
-                k: c.text(_first_field(m[name])) if name in m else F.lit("")
-                for k, m in TEXT_MAPS.items()
-                if k != "wef"
-            },
-            c.text(_first_field(WINDOWS[name])) if name in WINDOWS else F.lit(""),
-        )
+        """The column in the sources that have it, empty in the others."""
+        options = {k: c.text(_first_field(m[name])) for k, m in TEXT_MAPS.items() if name in m}
+        return _by_source(src, options, F.lit(""))
 
     time_text = _by_source(
         src,
@@ -308,16 +302,13 @@ def normalize_events(raw: DataFrame, nested: bool = False) -> DataFrame:
     out["TimeGenerated"] = F.date_trunc(
         "millisecond", F.coalesce(F.try_to_timestamp(time_text), F.col("received_at"))
     )
-    out["EventID"] = _by_source(
-        src,
-        {"syslog": F.lit(0), "netflow": F.lit(0), "forensic": c.event_id(_first_field(ID_KEYS["forensic"]))},
-        c.event_id(_first_field(ID_KEYS["wef"])),
-    ).cast("bigint")
+    has_id = src.isin(*ID_KEYS)
+    raw_id = _first_field(sorted({n for keys in ID_KEYS.values() for n in keys}))
+    out["EventID"] = F.when(has_id, c.event_id(raw_id)).otherwise(F.lit(0).cast("bigint"))
     out["LogonType"] = F.when(src == "wef", c.logon_type(field("LogonType"))).otherwise(0).cast("int")
     for name, keys in PORT_KEYS.items():
-        out[name] = _by_source(
-            src, {k: c.port(_first_field(v)) for k, v in keys.items()}, F.lit(0)
-        ).cast("int")
+        text = _by_source(src, {k: _first_field(v) for k, v in keys.items()}, F.lit("0"))
+        out[name] = c.port(text)
     out["NetworkProtocol"] = (
         F.when(
             src == "netflow",
