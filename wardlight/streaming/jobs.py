@@ -19,7 +19,7 @@ from wardlight.functions import columns as c
 from wardlight.operators import ingest, normalize, rules
 from wardlight.operators.correlate import in_buckets
 from wardlight.operators.ordering import first_n
-from wardlight.session import scratch_path
+from wardlight.session import ROCKSDB_PROVIDER, scratch_path
 
 LATENESS = "5 minutes"
 
@@ -255,8 +255,10 @@ def stream_sequence(
     The stream form of :func:`correlate.sequence_next`.  The state key is a
     shard of the entities and a time bucket: entities of a shard are handled
     together, and a busy one is spread over its history.  Raise ``shards``
-    with the number of entities.  Event-time timers remove old rows.
+    with the number of entities.  Event-time timers remove old rows.  Spark
+    runs this operator on the RocksDB state store only, so it is set here.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     relevant = (
         events.filter((first | second) & (F.col(entity) != ""))
         .withWatermark("TimeGenerated", lateness)
