@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.operators.correlate import new_source_days
+from wardlight.operators.correlate import fresh_addresses
 from wardlight.session import checkpointed
 
 ADVISORY_THRESHOLD = 0.8
@@ -32,7 +32,7 @@ WORK_HOURS = (8, 18)
 def entity_features(events: DataFrame, kinds: dict[str, str] = ENTITY_KINDS) -> DataFrame:
     """(kind, entity, day, features): one row per entity and day.
 
-    The three kinds share one scan.  A first fold per (kind, entity, day,
+    The kinds share one scan, and their new addresses a second one.  A first fold per (kind, entity, day,
     destination, logon type, hour class) keeps the shuffle small and spreads a
     hot entity; the second fold reads the groups.
     """
@@ -70,14 +70,22 @@ def entity_features(events: DataFrame, kinds: dict[str, str] = ENTITY_KINDS) ->
         share("t10").alias("remote_share"),
         share("off").alias("off_hours_share"),
     )
-    fresh = None
-    for kind, column in kinds.items():
-        if column == "SrcIpAddr":
-            continue
-        part = new_source_days(events, column).withColumn("kind", F.lit(kind))
-        fresh = part if fresh is None else fresh.unionByName(part)
-    if fresh is None:
+    # An address is not a source of itself.
+    others = [F.struct(F.lit(k).alias("kind"), F.col(n).alias("entity")) for k, n in kinds.items() if n != "SrcIpAddr"]
+    if not others:
         return counted.withColumn("new_addresses", F.lit(0).cast("bigint"))
+    pairs = (
+        events.filter(F.col("SrcIpAddr") != "")
+        .select(
+            F.explode(F.array(*others)).alias("e"),
+            F.col("SrcIpAddr").alias("address"),
+            F.to_date("TimeGenerated").alias("day"),
+        )
+        .select("e.kind", "e.entity", "address", "day")
+        .filter(F.col("entity") != "")
+        .distinct()
+    )
+    fresh = fresh_addresses(pairs, ["kind", "entity"], baseline_days=30)
     return counted.join(fresh, ["kind", "entity", "day"], "left").na.fill(0, ["new_addresses"])
 
 

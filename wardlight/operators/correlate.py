@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.operators.ordering import first_per_key
+from wardlight.session import checkpointed
 
 # Width of a time bucket in spans.  Narrow buckets split a busy entity further;
 # at most one row in this many is copied to a neighbour.
@@ -363,25 +364,37 @@ def new_source_days(
     An address is new on a day when the entity did not use it in the
     ``baseline_days`` before, though the entity was active in that time.
     """
-    day = F.to_date(at)
     pairs = (
         events.filter((F.col(entity) != "") & (F.col(address) != ""))
-        .select(F.col(entity).alias("entity"), F.col(address).alias("address"), day.alias("day"))
+        .select(F.col(entity).alias("entity"), F.col(address).alias("address"), F.to_date(at).alias("day"))
         .distinct()
     )
-    seen = F.lag("day").over(W.partitionBy("entity", "address").orderBy("day"))
+    return fresh_addresses(pairs, ["entity"], baseline_days)
+
+
+def fresh_addresses(pairs: DataFrame, keys: list[str], baseline_days: int) -> DataFrame:
+    """(keys, day, new_addresses) from distinct (keys, address, day) rows.
+
+    The pairs are read twice, so they are written out once: the events behind
+    them are scanned once.
+    """
+    held = checkpointed(pairs)
+    seen = F.lag("day").over(W.partitionBy(*keys, "address").orderBy("day"))
     fresh = (
-        pairs.withColumn("_seen", seen)
+        held.withColumn("_seen", seen)
         .filter(F.col("_seen").isNull() | (F.date_diff("day", "_seen") > baseline_days))
-        .groupBy("entity", "day")
+        .groupBy(*keys, "day")
         .agg(F.count("*").alias("new_addresses"))
     )
-    active = pairs.groupBy("entity", "day").agg(F.count("*").alias("_n"))
-    history = F.lag("day").over(W.partitionBy("entity").orderBy("day"))
-    known = active.select("entity", "day", history.alias("_prior")).filter(
-        F.date_diff("day", "_prior") <= baseline_days
+    history = F.lag("day").over(W.partitionBy(*keys).orderBy("day"))
+    known = (
+        held.select(*keys, "day")
+        .distinct()
+        .withColumn("_prior", history)
+        .filter(F.date_diff("day", "_prior") <= baseline_days)
+        .select(*keys, "day")
     )
-    return fresh.join(known, ["entity", "day"], "left_semi")
+    return fresh.join(known, [*keys, "day"], "left_semi")
 
 
 def entity_state(
