@@ -12,8 +12,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose quality score is 0.3 or more."""
-    scored = quality_model.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("score >= 0.3"), "doc_id", "left_semi").select(*COLUMNS)
+    model = quality_model.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_model.score(docs, model).where("score >= 0.3").select(*COLUMNS)
 
 
 STAGES = [("quality classifier", quality_classifier)]

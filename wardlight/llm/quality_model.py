@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textbytes as tb
-from wardlight.session import checkpointed
 
 NEIGHBOURS = (1, 2)
 NONZERO = 2
@@ -148,19 +147,6 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
     return out
 
 
-def document_vectors(docs: DataFrame, vectors: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """(key, vector as binary float32) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, "text"):
-            x = pooled(*tb.text_bytes(batch.column("text")), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([v.tobytes() for v in x], pa.binary())], [key, "vector"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(work, f"{key} {kind}, vector binary")
-
-
 def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Network:
     """Two-layer network by Adam, then one temperature on a tenth kept apart."""
     if len(y) < 2 or y.min() == y.max():
@@ -202,19 +188,37 @@ def labelled_sample(labels: DataFrame, key: str, label: str, limit: int) -> Data
     return usable.where(F.pmod(F.xxhash64(key, F.lit("labelled")), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality", key: str = "doc_id") -> DataFrame:
-    """Score every document: (key, score in 0..1)."""
+@dataclass
+class Model:
+    """Word vectors and network: all that scoring a text needs."""
+
+    vectors: np.ndarray
+    network: Network
+
+
+def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality", key: str = "doc_id") -> Model:
+    """Word vectors from all of ``docs``, the network from the labelled sample.
+
+    The sample holds at most about ``max_labelled`` keys, so it may be broadcast.
+    """
     vectors = word_vectors(docs, s)
-    held = checkpointed(document_vectors(docs, vectors, key))
     sample = labelled_sample(labels, key, label, s.max_labelled)
-    rows = held.join(sample, key).select("vector", "y").toArrow()
-    x = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float32).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 3 * s.dims))
-    net = fit(x.astype(np.float64), rows["y"].to_numpy(), s)
+    rows = docs.select(key, "text").join(F.broadcast(sample), key)
+
+    def work(data, offsets):
+        return [pa.array([v.tobytes() for v in pooled(data, offsets, vectors)], pa.binary())]
+
+    got = tb.with_columns(rows, "text", work, "vector binary", ["y"]).toArrow()
+    x = np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(got.num_rows, 3 * s.dims)
+    return Model(vectors, fit(x.astype(np.float64), got["y"].to_numpy(), s))
+
+
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score``, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(net.probabilities(x.astype(np.float64)))], [key, "score"])
+    def work(data, offsets):
+        x = pooled(data, offsets, shared.value.vectors).astype(np.float64)
+        return [pa.array(shared.value.network.probabilities(x))]
 
-    kind = docs.schema[key].dataType.simpleString()
-    return held.mapInArrow(work, f"{key} {kind}, score double")
+    return tb.with_columns(docs, "text", work, "score double", keep)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import quality_model
+from wardlight.llm import quality_model, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +28,25 @@ def fold(key: str, parts: int):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts, F.lit(-1))
 
 
+@query
+def op1_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels.where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
+
+
 @query
 def op5_quality(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    scored = quality_model.score(docs, labels.where(fold("doc_id", 5) != 0))
-    return scored.select(
+    model = quality_model.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality_model.score(docs, model, ["doc_id"]).select(
         "doc_id",
         (fold("doc_id", 5) == 0).alias("held_out"),
         "score",

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE = 1 << 20
 
@@ -112,5 +115,22 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def string_columns_kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(name) for name in names]
+def with_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with columns computed from its ``text`` column, without a shuffle.
+
+    ``make(data, offsets)`` gets a slice's bytes and row offsets and returns one
+    Arrow array per column of the DDL ``added``.  A column of ``df`` that has a
+    new column's name gives way to it.  ``keep`` names the columns passed on.
+    """
+    new = StructType.fromDDL(added)
+    clash = set(new.fieldNames())
+    kept = [c for c in (df.columns if keep is None else keep) if c not in clash]
+    source = df.select(*kept, F.col(text).alias("_text"))
+    schema = StructType([source.schema[c] for c in kept] + list(new.fields))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            columns = make(*text_bytes(batch.column("_text")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *new.fieldNames()])
+
+    return source.mapInArrow(work, schema)
