@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import quality_model
+from wardlight.llm import quality_model, quality_rules
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,7 +16,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_model.score(docs, model).where("score >= 0.3").select(*COLUMNS)
 
 
-STAGES = [("quality classifier", quality_classifier)]
+def robust_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that pass the base rules and lie within their group's estimate."""
+    model = quality_rules.fit(quality_rules.statistics(docs, keep=["lang", "source"]))
+    return quality_rules.judge(quality_rules.statistics(docs), model).where("kept").select(*COLUMNS)
+
+
+STAGES = [("quality classifier", quality_classifier), ("quality rules", robust_rules)]
 
 #: The classifiers and the outlier estimate are not expressible in SQL.
 ORACLE_SQL = None

@@ -215,10 +215,9 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score``, in one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(data, offsets):
-        x = pooled(data, offsets, shared.value.vectors).astype(np.float64)
-        return [pa.array(shared.value.network.probabilities(x))]
+        x = pooled(data, offsets, model.vectors).astype(np.float64)
+        return [pa.array(model.network.probabilities(x))]
 
     return tb.with_columns(docs, "text", work, "score double", keep)

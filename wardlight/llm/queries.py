@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import quality_model, toxicity
+from wardlight.llm import quality_model, quality_rules, toxicity
+
+from wardlight.llm.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def query(fn: Query) -> Query:
@@ -52,3 +55,11 @@ def op5_quality(spark, folder):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op8_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    stats = written(quality_rules.statistics(docs, keep=["doc_id", "lang", "source"]), "quality-counts")
+    judged = quality_rules.judge(stats, quality_rules.fit(stats))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
