@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import quality_model, quality_rules, toxicity
-
+from wardlight.llm import bytebpe, packing, quality_model, quality_rules, toxicity
 from wardlight.llm.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,13 @@ def op1_toxicity(spark, folder):
     )
 
 
+@query
+def op3_byte_bpe(spark, folder):
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bytebpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
+
+
 @query
 def op5_quality(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -63,3 +70,27 @@ def op8_quality_rules(spark, folder):
     stats = written(quality_rules.statistics(docs, keep=["doc_id", "lang", "source"]), "quality-counts")
     judged = quality_rules.judge(stats, quality_rules.fit(stats))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
+
+
+#: Production setting of the packing query: the token that ends a document.
+END_ID = 2
+
+
+def word_tokenizer() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op9_packing(spark, folder):
+    pieces = packing.pack_texts(table(spark, folder, "documents"), word_tokenizer(), END_ID)
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "sequence_tokens",
+    )
