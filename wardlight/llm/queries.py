@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import bytebpe, packing, quality_model, quality_rules, toxicity
+from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, toxicity
 from wardlight.llm.tables import written
+from wardlight.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +53,45 @@ def op3_byte_bpe(spark, folder):
     return bytebpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
 
 
+@query
+def op4_preference(spark, folder):
+    pairs = preference.pairs_by_opening(table(spark, folder, "conversations"))
+    return preference.format_pairs(pairs)
+
+
+ORACLES["op4_preference"] = """
+WITH t AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
+    arg_min(coalesce(text, ''), (turn, role, text)) FILTER (role = 'user') AS opening
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), c AS (
+  SELECT conv_id, turns, lag(turns) OVER (PARTITION BY opening ORDER BY conv_id) AS earlier, opening,
+    list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last
+  FROM t
+), p AS (
+  SELECT conv_id, turns AS chosen, CASE WHEN opening IS NOT NULL AND earlier IS NOT NULL THEN earlier ELSE
+    list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN i = last
+      THEN {'role': turns[i].role, 'text': array_to_string(list_reverse(string_split(turns[i].text, ' ')), ' ')} ELSE turns[i] END) END AS rejected
+  FROM c
+), k AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(chosen), len(rejected)) + 1),
+      lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1, greatest(len(chosen), len(rejected))) AS n_common FROM p
+), r AS (
+  SELECT conv_id, n_common,
+    list_transform(chosen[1:n_common], lambda m: '<|im_start|>' || coalesce(m.role, '') || chr(10) || coalesce(m.text, '') || '<|im_end|>' || chr(10)) AS p,
+    list_transform(chosen[n_common + 1:], lambda m: {'o': '<|im_start|>' || coalesce(m.role, '') || chr(10), 'b': coalesce(m.text, '') || '<|im_end|>', 'r': m.role}) AS c,
+    list_transform(rejected[n_common + 1:], lambda m: {'o': '<|im_start|>' || coalesce(m.role, '') || chr(10), 'b': coalesce(m.text, '') || '<|im_end|>', 'r': m.role}) AS j
+  FROM k
+)
+SELECT conv_id, CAST(n_common AS INTEGER) AS n_common, coalesce(array_to_string(p, ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(c, lambda m: m.o || m.b || chr(10)), ''), '') AS chosen_completion,
+  coalesce(array_to_string(list_transform(c, lambda m: repeat('0', length(m.o)) || repeat(CASE WHEN m.r = 'assistant' THEN '1' ELSE '0' END, length(m.b)) || '0'), ''), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(j, lambda m: m.o || m.b || chr(10)), ''), '') AS rejected_completion,
+  coalesce(array_to_string(list_transform(j, lambda m: repeat('0', length(m.o)) || repeat(CASE WHEN m.r = 'assistant' THEN '1' ELSE '0' END, length(m.b)) || '0'), ''), '') AS rejected_mask
+FROM r
+"""
+
+
 @query
 def op5_quality(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -94,3 +134,38 @@ def op9_packing(spark, folder):
         "offset",
         "sequence_tokens",
     )
+
+
+@query
+def op10_arc_to_warc(spark, folder):
+    arcs = archives.pages_to_arc(table(spark, folder, "pages"))
+    marked = archives.mark_revisits(archives.arc_to_records(arcs))
+    path = scratch_path(spark, "warc")
+    archives.write_warc(archives.warc_records(marked), path)
+    found = archives.read_warc(spark, path, payload=False)
+    responses = found.where("warc_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_key").alias("kept"))
+    # A response looks itself up, so that no single key holds all of them.
+    aimed = found.withColumn("target", F.coalesce("refers_to_id", "record_id"))
+    return aimed.join(responses, "target", "left").select(
+        F.col("page_key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        F.when(F.col("warc_type") == "revisit", F.col("kept")).alias("refers_to"),
+    )
+
+
+ORACLES["op10_arc_to_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hex) AS kept,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
+FROM d
+"""
