@@ -200,6 +200,8 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
         model = written(model, "quality-model")
         level = F.least((8 * F.log2(1 + _distance())).cast("int"), F.lit(CLASSES - 1)).alias("level")
         parts = keyed.join(model, ["g_lang", "g_source"]).groupBy("g_lang", "g_source", level).agg(*sums)
+        # Written, so that the sums are dealt out by class and only then met by group.
+        parts = written(parts, "quality-classes")
         model = parts.groupBy("g_lang", "g_source").applyInPandas(_concentrate(s, reweight=step == s.steps), MODEL)
     return written(groups.join(model, ["g_lang", "g_source"]).drop("g_lang", "g_source"), "quality-model")
 

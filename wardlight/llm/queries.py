@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, toxicity
+from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, shingle_join, toxicity, vectors
 from wardlight.llm.tables import written
 from wardlight.session import scratch_path
 
@@ -104,6 +104,43 @@ def op5_quality(spark, folder):
     )
 
 
+@query
+def op6_vectors(spark, folder):
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op7_jaccard_join(spark, folder):
+    return shingle_join.near_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op7_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), c AS (
+  SELECT text, min(doc_id) AS class_id, count(*) AS mult, any_value(words) AS words FROM w GROUP BY text
+), g AS (
+  SELECT DISTINCT class_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s
+  FROM c WHERE len(words) > 0
+), z AS (
+  SELECT class_id, count(*) AS n FROM g GROUP BY class_id
+), k AS (
+  SELECT a.class_id AS a, b.class_id AS b, count(*) AS hits FROM g a JOIN g b ON a.s = b.s AND a.class_id <> b.class_id GROUP BY 1, 2
+), l AS (
+  SELECT k.a, k.b FROM k JOIN z x ON x.class_id = k.a JOIN z y ON y.class_id = k.b WHERE 5 * hits >= 4 * (x.n + y.n - hits)
+), r AS (
+  SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+), p AS (
+  SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a
+), d AS (
+  SELECT l.a AS class_id, sum(c.mult) AS links FROM l JOIN c ON c.class_id = l.b GROUP BY l.a
+)
+SELECT w.doc_id, c.class_id, CAST(c.mult - 1 + coalesce(d.links, 0) AS BIGINT) AS n_links, p.component_id, w.doc_id = p.component_id AS kept
+FROM w JOIN c USING (text) JOIN p USING (class_id) LEFT JOIN d USING (class_id)
+"""
+
+
 @query
 def op8_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
