@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, shingle_join, toxicity, vectors
+from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, repeats, shingle_join, toxicity, vectors
 from wardlight.llm.tables import written
 from wardlight.session import scratch_path
 
@@ -46,6 +46,14 @@ def op1_toxicity(spark, folder):
     )
 
 
+@query
+def op2_repeats(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, keep=["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op3_byte_bpe(spark, folder):
     ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
