@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -179,30 +180,55 @@ def _schema(df: DataFrame, key: str) -> StructType:
     return StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(PIECE).fields])
 
 
+#: Words whose normal form and pre-tokens are plain to see: Latin-1 letters, then ASCII signs.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin-1 letters as the characters that byte-level models write for their two bytes.
+
+    Bytes that print stand for themselves; the others take 256, 257, ... in turn.
+    """
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    letter = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
 class WordTokens(dict):
-    """Ids of single words by a ``tokenizers`` file, remembered by word.
+    """Ids of white-space-separated words by a ``tokenizers`` file, remembered by word.
 
-    White space separates words for such a tokenizer and is dropped, so the
-    ids of a text are those of its words in turn.
+    Such a tokenizer drops white space, so the ids of a text are those of its
+    words in turn.  Plain words go straight to the tokenizer's model, others
+    through the whole tokenizer.
     """
 
-    def __init__(self, definition: str, end_id: int, entries: int = 300_000):
+    def __init__(self, definition: str, end_id: int, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.end, self.entries = np.array([end_id], "<u4").tobytes(), entries
-        self.blank = re.compile("[\t\n\r]")
-
-    def encode(self, text: str) -> np.ndarray:
-        words = self.blank.sub(" ", text).split(" ")
-        new = list(set(words).difference(self.keys()))
-        if new:
-            if len(self) + len(new) > self.entries:
+        self.blank = bytes.maketrans(b"\t\n\r", b"   ")
+
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(word)
+        if plain:
+            parts = [plain[1].lower().translate(self.letters), plain[2]]
+            ids = [token.id for part in parts if part for token in self.model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = np.array(ids, "<u4").tobytes()
+        if len(raw) <= 256:
+            if len(self) >= self.entries:
                 self.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+            self[raw] = found
+        return found
+
+    def encode(self, text: bytes) -> np.ndarray:
+        words = text.translate(self.blank).split(b" ")
         return np.frombuffer(b"".join(map(self.__getitem__, words)) + self.end, "<u4")
 
 
@@ -212,17 +238,19 @@ def pack_texts(docs: DataFrame, definition: str, end_id: int, limits: Limits = L
     ``definition`` is the content of a ``tokenizers`` JSON file whose tokenizer
     drops white space.
     """
+    name = sha256(f"{end_id} {definition}".encode()).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(definition, end_id)
+        tokens = tb.per_worker(name, lambda: WordTokens(definition, end_id))
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         kind = None
         for batch in tb.slices(batches, "text"):
             kind = batch.column(key).type
 
             def packed(batch=batch):
-                for name, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
-                    yield from packer.add(name, tokens.encode(text or ""))
+                data, offsets = tb.text_bytes(batch.column("text"))
+                for name, a, b in zip(batch.column(key).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                    yield from packer.add(name, tokens.encode(data[a:b].tobytes()))
 
             yield from _pieces(packed(), kind, key)
         yield from _pieces(packer.finish(), kind, key)
