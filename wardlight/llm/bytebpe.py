@@ -1,21 +1,21 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list.  For every merge rank there is a bucket
-of list positions whose pair has that rank; three levels of bitmaps over the
+of list positions whose pair has that rank; two levels of bitmaps over the
 ranks give the lowest filled bucket by find-first-set.  A bucket gives its
 leftmost position first; an entry whose pair has changed since is skipped.
 Each merge touches two neighbouring pairs, so a pre-token of n bytes takes
 about n log n steps, however long it is.
 
-Pre-tokens repeat, so each task keeps the ids of those it has seen, up to a
-bound.  Null and empty texts give no ids; repeated rows give equal ids.
+Pre-tokens repeat, so each Python worker keeps the ids of those it has seen, up
+to a bound.  Null and empty texts give no ids; repeated rows give equal ids.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from hashlib import sha256
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from wardlight.llm import textbytes as tb
 
-WORD_BITS = 6
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+WORD_BITS = 8
+WORD_MASK = (1 << WORD_BITS) - 1
+CACHE_ENTRIES, CACHE_LENGTH = 800_000, 64
 
 
 def read_ranks(path: str, limit: int = 64 << 20) -> dict[bytes, int]:
@@ -40,71 +41,44 @@ def read_ranks(path: str, limit: int = 64 << 20) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
-class RankQueue:
-    """Positions by merge rank, lowest rank first, leftmost position first."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> WORD_BITS
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        block = word >> WORD_BITS
-        self.middle[block] = self.middle.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = first_set(self.top)
-        word = block << WORD_BITS | first_set(self.middle[block])
-        rank = word << WORD_BITS | first_set(self.low[word])
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.middle[block] &= ~(1 << (word & 63))
-                if not self.middle[block]:
-                    self.top &= ~(1 << block)
-        return rank, position
-
-
-def first_set(bits: int) -> int:
-    return (bits & -bits).bit_length() - 1
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token.
+
+    ``top`` has a bit for each word of ``words`` that is not zero, and a word has
+    a bit for each rank whose bucket is filled; ``x & -x`` is the lowest set bit.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     after = list(range(1, n + 1))  # start of the next part; n: none
     before = list(range(-1, n - 1))
-    pair = [-1] * n  # rank of the pair that starts here; -1: none, or merged away
-    queue = RankQueue()
-
-    def look(at: int) -> None:
-        second = after[at]
-        rank = ranks.get(piece[at : after[second]], -1) if second < n else -1
-        pair[at] = rank
+    pair = [get(piece[at : at + 2], -1) for at in range(n - 1)]  # rank of the pair that starts here; -1: none
+    pair.append(-1)
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = 0
+    for at, rank in enumerate(pair):
         if rank >= 0:
-            queue.push(rank, at)
-
-    for at in range(n - 1):
-        look(at)
-    while (found := queue.pop()) is not None:
-        rank, at = found
+            if rank in buckets:
+                buckets[rank].append(at)  # ascending, so it is a heap
+            else:
+                buckets[rank] = [at]
+                word = rank >> WORD_BITS
+                words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        rank = word << WORD_BITS | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        at = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
         if pair[at] != rank:
             continue  # stale
         second = after[at]
@@ -112,13 +86,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         after[at] = third = after[second]
         if third < n:
             before[third] = at
-        look(at)
-        if before[at] >= 0:
-            look(before[at])
+        earlier = before[at]
+        for left in (earlier, at) if earlier >= 0 else (at,):
+            right = after[left]
+            rank = get(piece[left : after[right]], -1) if right < n else -1
+            pair[left] = rank
+            if rank >= 0:
+                if rank in buckets:
+                    heappush(buckets[rank], left)
+                else:
+                    buckets[rank] = [left]
+                    word = rank >> WORD_BITS
+                    words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
+                    top |= 1 << word
     ids, at = [], 0
     while at < n:
-        ids.append(ranks[piece[at : after[at]]])
-        at = after[at]
+        end = after[at]
+        ids.append(ranks[piece[at:end]])
+        at = end
     return ids
 
 
@@ -159,31 +144,35 @@ def _texts(data: np.ndarray, offsets: np.ndarray):
         yield raw[a:b].decode("utf-8", "replace")
 
 
+def _name(ranks: dict[bytes, int], pattern: str) -> str:
+    """Tells vocabularies apart in a worker's store."""
+    return sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``ids``: little-endian 32-bit words."""
-    held: list[Encoder] = []
+    name = _name(ranks, pattern)
 
     def work(data, offsets):
-        if not held:
-            held.append(Encoder(ranks, pattern))
-        return [pa.array([held[0].encode(text) for text in _texts(data, offsets)], pa.binary())]
+        encoder = tb.per_worker(name, lambda: Encoder(ranks, pattern))
+        return [pa.array([encoder.encode(text) for text in _texts(data, offsets)], pa.binary())]
 
     return tb.with_columns(docs, "text", work, "ids binary", keep)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and the SHA-256 of the ids and of what they decode to."""
-    held: list = []
+    name = _name(ranks, pattern)
 
     def work(data, offsets):
-        if not held:
-            held.extend((Encoder(ranks, pattern), token_list(ranks)))
+        encoder = tb.per_worker(name, lambda: Encoder(ranks, pattern))
+        tokens = tb.per_worker(f"{name} tokens", lambda: token_list(ranks))
         counts, of_ids, of_text = [], [], []
         for text in _texts(data, offsets):
-            ids = held[0].encode(text)
+            ids = encoder.encode(text)
             counts.append(len(ids) // 4)
             of_ids.append(sha256(ids).hexdigest())
-            of_text.append(sha256(decode(ids, held[1])).hexdigest())
+            of_text.append(sha256(decode(ids, tokens)).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
     return tb.with_columns(docs, "text", work, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)

@@ -6,7 +6,9 @@ slice (or the longest single text), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +136,15 @@ def with_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | N
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *new.fieldNames()])
 
     return source.mapInArrow(work, schema)
+
+
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """``make()``, kept for as long as this Python worker lives.
+
+    Spark gives a worker task after task; a cache of pure results held here
+    serves all of them.  What is held must be bounded.
+    """
+    store = sys.modules.setdefault("wardlight_worker_store", types.ModuleType("wardlight_worker_store")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
