@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlight.llm import quality_model, quality_rules
+from wardlight.llm import quality_model, quality_rules, queries, repeats, shingle_join
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +23,31 @@ def robust_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.judge(quality_rules.statistics(docs), model).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality classifier", quality_classifier), ("quality rules", robust_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    dropped = shingle_join.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; a character goes as a whole."""
+    cut = repeats.remove_repeats(docs, keep=["doc_id", "lang", "source"], whole_characters=True)
+    text = F.col("kept_bytes").cast("string")
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise the documents and pack them into training sequences."""
+    return queries.packed_pieces(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", robust_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed),
+]
 
 #: The classifiers and the outlier estimate are not expressible in SQL.
 ORACLE_SQL = None

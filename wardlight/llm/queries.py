@@ -168,7 +168,11 @@ def word_tokenizer() -> str:
 
 @query
 def op9_packing(spark, folder):
-    pieces = packing.pack_texts(table(spark, folder, "documents"), word_tokenizer(), END_ID)
+    return packed_pieces(table(spark, folder, "documents"))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack_texts(docs, word_tokenizer(), END_ID)
     return pieces.select(
         "doc_id",
         "start",

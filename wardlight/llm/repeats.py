@@ -456,8 +456,14 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return lying.groupBy("same").agg(F.collect_list(F.struct("starts", "runs")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``kept_bytes``, ``n_bytes``, ``n_removed``, ``n_spans``."""
+def remove_repeats(
+    docs: DataFrame, s: Settings = Settings(), keep: list[str] | None = None, whole_characters: bool = False
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``kept_bytes``, ``n_bytes``, ``n_removed``, ``n_spans``.
+
+    With ``whole_characters`` a character goes as soon as one of its bytes does,
+    so that what is kept stays valid UTF-8.
+    """
     added = "kept_bytes binary, n_bytes long, n_removed long, n_spans long"
     names = [c for c in (docs.columns if keep is None else keep) if c not in {f.split()[0] for f in added.split(", ")}]
     found = written(repeats(docs, s), "repeats")
@@ -471,6 +477,9 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep: list[str] |
             out = []
             for a, b, places in zip(offsets.tolist(), offsets[1:].tolist(), batch.column("_found").to_pylist()):
                 gone = covered(b - a, places or [], s.length)
+                if whole_characters and gone.any():
+                    character = np.cumsum((data[a:b] & 0xC0) != 0x80)
+                    gone = (np.bincount(character, gone) > 0)[character]
                 starts, _ = tb.runs(gone, np.array([0, b - a]))
                 out.append((data[a:b][~gone].tobytes(), b - a, int(gone.sum()), len(starts)))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
