@@ -227,8 +227,8 @@ def health_alert(health: DataFrame, failures: int = 3, event_type: str = "BatchF
 ENTITY_COLUMNS = ["HostName", "SubjectUserName", "SrcIpAddr", "DstIpAddr", "ProcessImagePath"]
 
 
-def distinct_entities(events: DataFrame, as_of, back: str = "24 hours", limit: int | None = 500) -> DataFrame:
-    """Distinct entity tuples of a window; ``limit=None`` gives all of them."""
+def distinct_entities(events: DataFrame, as_of, back: str = "24 hours", limit: int | None = None) -> DataFrame:
+    """Distinct entity tuples of a window; ``limit`` gives only the first ones."""
     tuples = (
         events.filter(
             since("TimeGenerated", as_of, back)

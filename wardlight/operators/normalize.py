@@ -354,8 +354,12 @@ _COMPUTED = {
 
 
 def dedup_events(events: DataFrame, key: str = "EventRecordID", tie: str = "TimeGenerated") -> DataFrame:
-    """One row per record id: earliest ingest, then earliest event."""
-    return first_per_key(events, [key], [F.col("IngestTimestamp"), F.col(tie)])
+    """One row per record id: earliest ingest, then earliest event.
+
+    Different copies with equal times are told apart by a hash of the row.
+    """
+    content = F.xxhash64(*[F.col(f"`{n}`") for n in events.columns])
+    return first_per_key(events, [key], [F.col("IngestTimestamp"), F.col(tie), content])
 
 
 def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
@@ -484,15 +488,20 @@ def promote_fields(events: DataFrame, names: list[str] = PROMOTED) -> DataFrame:
 
 
 def decode_base64(df: DataFrame, column: str = "CommandLine", into: str = "DecodedText") -> DataFrame:
-    """The first base64 run of 16 or more characters as text, else empty.
+    """All base64 runs of 16 or more characters as text, one per line; else empty.
 
-    The run may be wrapped over lines.  Text that was encoded as UTF-16LE (the
-    usual form on a command line) is recognised by its zero bytes.
+    A run may be wrapped over lines: a line break is skipped where 16 or more of
+    its characters stand before it.  Text that was encoded as UTF-16LE (the usual
+    form on a command line) is recognised by its zero bytes.  Runs that are not
+    text are left out.
     """
-    found = F.regexp_extract(F.col(column), r"([A-Za-z0-9+/]{16,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2})", 1)
-    run = F.regexp_replace(found, r"[\r\n]", "")
-    raw = F.try_to_binary(F.when(F.length(run) % 4 == 0, run), F.lit("base64"))
-    wide = F.substring(F.hex(raw), 3, 2) == "00"
-    narrow_text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    decoded = F.when(wide, F.decode(raw, "UTF-16LE")).otherwise(narrow_text)
-    return df.withColumn(into, c.text(decoded))
+    unwrapped = F.regexp_replace(column, r"(?<=[A-Za-z0-9+/]{16})\r?\n(?=[A-Za-z0-9+/])", "")
+    runs = F.regexp_extract_all(unwrapped, F.lit(r"([A-Za-z0-9+/]{16,}={0,2})"), F.lit(1))
+
+    def decoded(run: Column) -> Column:
+        raw = F.try_to_binary(F.when(F.length(run) % 4 == 0, run), F.lit("base64"))
+        wide = F.substring(F.hex(F.substring(raw, 1, 2)), 3, 2) == "00"
+        narrow_text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+        return F.when(wide, F.decode(raw, "UTF-16LE")).otherwise(narrow_text)
+
+    return df.withColumn(into, c.text(F.array_join(F.array_compact(F.transform(runs, decoded)), "\n")))

@@ -278,9 +278,13 @@ def selection(spec: dict, fields: dict, cased: bool = False) -> Column:
 
 
 def rule_condition(
-    rule: dict, fields: dict | None = None, channel: str | None = "ChannelName", cased: bool = False
+    rule: dict, fields: dict | None = None, channel: str | None = "ChannelName", cased: bool = False, total: bool = True
 ) -> Column:
-    """One boolean Column per rule; never null."""
+    """One boolean Column per rule.
+
+    ``total`` makes a null false.  A filter does that by itself, and the bare
+    conjunction lets Spark push its parts down to the scan.
+    """
     fields = {**RULE_FIELDS, **(fields or {})}
     named = {k: selection(v, fields, cased) for k, v in rule["selections"].items()}
     parts = [named[k] for k in rule.get("all_of", [])]
@@ -290,7 +294,7 @@ def rule_condition(
     wanted = SERVICE_CHANNELS.get(rule.get("service"))
     if channel and wanted:
         parts.append(F.col(channel) == wanted)
-    return F.coalesce(c.all_of(parts), F.lit(False))
+    return F.coalesce(c.all_of(parts), F.lit(False)) if total else c.all_of(parts)
 
 
 def _event_ids(rules: list[dict]) -> list[int] | None:
@@ -347,7 +351,10 @@ def detect_rules(
 
 def rule_matches(events: DataFrame, rule: dict, columns: list[str]) -> DataFrame:
     """The events one rule matches."""
-    return with_rule_fields(events).filter(rule_condition(rule)).select(*columns)
+    rows, ids = with_rule_fields(events), _event_ids([rule])
+    if ids is not None:
+        rows = rows.filter(F.col("EventID").isin(*ids))
+    return rows.filter(rule_condition(rule, total=False)).select(*columns)
 
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:

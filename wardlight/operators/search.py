@@ -285,16 +285,26 @@ def hunt_unforwarded(hits: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def adhoc_sql(
-    spark: SparkSession, tables: dict[str, DataFrame], statement: str, args: dict | None = None, cap: int = MAX_ROWS
+    spark: SparkSession, tables: dict[str, DataFrame], statement: str, args: dict | None = None, cap: int | None = None
 ) -> DataFrame:
     """A read-only statement with named parameters over the given tables.
 
-    The cap is applied outside the statement, so a LIMIT inside a sub-query
-    cannot lift it.
+    All rows by default.  With a ``cap`` at most that many, and ``truncated``
+    says on every row whether more exist.  The caller's views of the same names
+    are put back.
     """
+    held = {v.name: spark.table(v.name) for v in spark.catalog.listTables() if v.isTemporary and v.name in tables}
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(statement, args=args or {}).limit(cap)
+    try:
+        found = spark.sql(statement, args=args or {})  # resolved here, so the views may go
+    finally:
+        for name in tables:
+            held[name].createOrReplaceTempView(name) if name in held else spark.catalog.dropTempView(name)
+    if cap is None:
+        return found
+    more = found.limit(cap + 1).count() > cap
+    return found.limit(cap).withColumn("truncated", F.lit(more))
 
 
 def entity_events(events: DataFrame, value: str) -> DataFrame:
@@ -307,29 +317,42 @@ def cidr_match(events: DataFrame, networks: list[str], columns: tuple = ("SrcIpA
     return events.filter(c.any_of([c.in_cidr(F.col(a), n) for a in columns for n in networks]))
 
 
-def cidr_table_match(
-    events: DataFrame, networks: DataFrame, column: str = "SrcIpAddr", lengths: range = range(1, 33)
-) -> DataFrame:
-    """(cidr, events, addresses): a table of IPv4 networks against the events.
+def cidr_table_match(events: DataFrame, networks: DataFrame, column: str = "SrcIpAddr") -> DataFrame:
+    """(cidr, events, addresses): a table of IPv4 and IPv6 networks against the events.
 
-    Addresses are folded first, then meet the table by (prefix length, network
-    number): an equi-join, whatever the number of networks.
+    Addresses are folded first, then meet the table by (version, prefix length,
+    leading bits): an equi-join, whatever the number of networks.  An address
+    is repeated only for the lengths that the table holds, at most 162.
     """
+
+    def digits(address: Column) -> Column:
+        return F.coalesce(F.lpad(F.lower(F.hex(c.ipv4_number(address))), 8, "0"), c.ipv6_hex(address))
+
+    def leading(address: Column, bits: Column) -> Column:
+        whole, rest = (bits / 4).cast("int"), bits % 4
+        nibble = F.conv(F.substring(address, whole + 1, F.lit(1)), 16, 10).cast("int")
+        part = F.floor(nibble / F.pow(F.lit(2.0), 4 - rest)).cast("string")
+        return F.concat(F.substring(address, F.lit(1), whole), F.when(rest > 0, part).otherwise(F.lit("")))
+
     parts = F.split("cidr", "/")
-    base, bits = c.ipv4_number(parts[0]), parts[1].cast("int")
-    step = lambda n: F.pow(F.lit(2.0), F.lit(32) - n).cast("bigint")
-    nets = networks.select("cidr", bits.alias("bits"), F.floor(base / step(bits)).alias("net"))
+    listed = networks.select("cidr", digits(parts[0]).alias("base"), parts[1].cast("int").alias("bits"))
+    listed = listed.filter(F.col("base").isNotNull() & F.col("bits").between(0, 4 * F.length("base")))
+    lengths: dict[int, list[int]] = {8: [], 32: []}
+    for row in listed.select(F.length("base").alias("size"), "bits").distinct().collect():
+        lengths[row["size"]].append(row["bits"])
+    nets = listed.select("cidr", F.length("base").alias("size"), "bits", leading(F.col("base"), F.col("bits")).alias("net"))
     seen = (
         events.groupBy(column)
         .agg(F.count("*").alias("n"))
-        .select(c.ipv4_number(F.col(column)).alias("address"), "n")
+        .select(digits(F.col(column)).alias("address"), "n")
         .filter(F.col("address").isNotNull())
+        .withColumn("size", F.length("address"))
     )
-    candidates = seen.withColumn("bits", F.explode(F.array(*[F.lit(x) for x in lengths]))).withColumn(
-        "net", F.floor(F.col("address") / step(F.col("bits")))
-    )
+    tried = [F.array(*map(F.lit, sorted(lengths[size]))).cast("array<int>") for size in (8, 32)]
+    candidates = seen.withColumn("bits", F.explode(F.when(F.col("size") == 8, tried[0]).otherwise(tried[1])))
     return (
-        candidates.join(nets, ["bits", "net"])
+        candidates.withColumn("net", leading(F.col("address"), F.col("bits")))
+        .join(nets, ["size", "bits", "net"])
         .groupBy("cidr")
         .agg(F.sum("n").alias("events"), F.count("*").alias("addresses"))
     )

@@ -13,7 +13,7 @@ from wardlight.functions import columns as c
 from wardlight.operators import anomaly, correlate, graph, ingest, kpi, ledger, normalize, rules, search
 from wardlight.plans import samples as x
 from wardlight.plans.samples import AS_OF, END, START, WHOLE
-from wardlight.session import scratch_path
+from wardlight.session import local_table, scratch_path
 from wardlight.sources import files, sinks
 from wardlight.sources import telemetry as t
 from wardlight.streaming import jobs
@@ -42,6 +42,31 @@ def scan_drop(spark, folder):
     return files.scan_drop(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query
+def normalize_long_messages(spark, folder):
+    """Whole documents as messages without a record id of their own."""
+    raw = t.table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.lit("syslog:x:0").alias("provenance_tag"),
+        F.to_json(F.struct(F.col("text").alias("message"))).alias("payload"),
+        F.lit("2024-01-01").cast("timestamp").alias("received_at"),
+    )
+    return normalize.normalize_events(raw).groupBy("EventRecordID").agg(F.count("*").alias("n"))
+
+
+@query
+def parse_evidence_csv(spark, folder):
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = t.table(spark, folder, "documents").select(
+        F.format_string("doc-%d.csv", "doc_id").alias("file"),
+        F.lit("csv").alias("ext"),
+        F.concat(F.lit("message,k\r\n"), quoted, F.lit(","), F.col("doc_id").cast("string"), F.lit("\r\n")).alias("content"),
+    )
+    fields = F.from_json("record", "message string, k string")
+    parsed = files.parse_evidence(docs).withColumn("r", fields)
+    return parsed.select("file", "position", "r.message", F.col("r.k").cast("bigint").alias("k"))
+
+
 @query
 def parse_evidence(spark, folder):
     parsed = files.parse_evidence(x.text_files(spark, folder))
@@ -354,7 +379,7 @@ def promote_fields(spark, folder):
 
 @query
 def decode_base64(spark, folder):
-    line = F.concat(F.lit("run -enc "), F.base64(F.encode(F.concat(F.col("text"), F.lit(" -- end of line --")), "UTF-8")))
+    line = F.concat(F.lit("run -enc "), F.base64(F.encode(F.concat(F.col("text"), F.lit(" -- end of line --")), "UTF-8")), F.lit(" next "), F.base64(F.encode(F.concat(F.lit("second run of "), F.col("doc_id").cast("string")), "UTF-8")))
     docs = t.table(spark, folder, "documents").select("doc_id", line.alias("CommandLine"))
     return normalize.decode_base64(docs).select("doc_id", F.sha2("DecodedText", 256).alias("decoded_sha"))
 
@@ -543,6 +568,7 @@ def cidr_table_match(spark, folder):
             (F.lit(29) - F.col("n_regionkey")).cast("string"),
         ).alias("cidr")
     )
+    nets = nets.unionAll(local_table(spark, [("0.0.0.0/0",), ("2001:db8::/32",)], "cidr string"))
     return search.cidr_table_match(x.sec(spark, folder), nets)
 
 

@@ -392,6 +392,19 @@ SELECT event_id,
 FROM events
 """,
 )
+sql(
+    "normalize_long_messages",
+    "",
+    """
+SELECT sha256('syslog:x:0:{"message": ' || CAST(to_json(text) AS VARCHAR) || '}') AS EventRecordID, count(*) AS n
+FROM documents GROUP BY 1
+""",
+)
+sql(
+    "parse_evidence_csv",
+    "",
+    "SELECT 'doc-' || doc_id || '.csv' AS file, CAST(0 AS INTEGER) AS position, text AS message, doc_id AS k FROM documents",
+)
 sql("dedup_events", SEC, f"SELECT {KEYS}, IngestTimestamp FROM sec")
 sql(
     "map_upload",
@@ -452,7 +465,7 @@ FROM sec
 sql(
     "decode_base64",
     "",
-    "SELECT doc_id, sha256(text || ' -- end of line --') AS decoded_sha FROM documents",
+    "SELECT doc_id, sha256(text || ' -- end of line --' || chr(10) || 'second run of ' || doc_id) AS decoded_sha FROM documents",
 )
 
 _SHOWN = (
@@ -629,15 +642,16 @@ sql(
     "cidr_table_match",
     SEC
     + f""", nets AS (
-  SELECT base || '/' || bits AS cidr, {_IPV4.format("base")} // (1 << (32 - bits)) AS net, bits
+  SELECT base || '/' || bits AS cidr, {_IPV4.format("base")} // (CAST(1 AS BIGINT) << (32 - bits)) AS net, bits
   FROM (SELECT '10.' || (n_nationkey % 4) || '.0.' || (n_nationkey // 4) * 8 AS base,
-               CAST(29 - n_regionkey AS INTEGER) AS bits FROM nation)
+               CAST(29 - n_regionkey AS INTEGER) AS bits FROM nation
+        UNION ALL SELECT '0.0.0.0', 0)
 ), addresses AS (
   SELECT {_IPV4.format("SrcIpAddr")} AS address, count(*) AS n FROM sec GROUP BY 1
 )""",
     """
 SELECT cidr, CAST(sum(n) AS BIGINT) AS events, count(*) AS addresses
-FROM addresses JOIN nets ON address // (1 << (32 - bits)) = net GROUP BY cidr
+FROM addresses JOIN nets ON address // (CAST(1 AS BIGINT) << (32 - bits)) = net GROUP BY cidr
 """,
 )
 
@@ -1157,7 +1171,6 @@ sql(
     SEC,
     f"""
 SELECT DISTINCT HostName, SubjectUserName, SrcIpAddr, DstIpAddr, ProcessImagePath FROM sec WHERE {_EVENTS_MONTH}
-ORDER BY ALL LIMIT 500
 """,
 )
 sql(

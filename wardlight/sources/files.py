@@ -158,17 +158,24 @@ def _csv_records(content: Column) -> Column:
     """Rows of a CSV text with a header, as JSON objects.
 
     Splits on commas and line ends outside quotes; a doubled quote is a quote.
+    Every second part between quotes is quoted: there the separators are hidden
+    behind a NUL, which text that passed the gate does not hold.
     """
-    rows = F.filter(
-        F.regexp_extract_all(content, F.lit(r'((?:"(?:[^"]|"")*"|[^"\r\n])+)'), F.lit(1)),
-        lambda x: F.length(x) > 0,
-    )
-    cells = lambda row: F.transform(
-        F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)),
-        lambda x: F.when(
-            x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
-        ).otherwise(x),
-    )
+    hidden = [(",", "\0c"), ("\n", "\0n"), ("\r", "\0r")]
+
+    def shown(x: Column, back: bool = False) -> Column:
+        for plain, mark in hidden:
+            x = F.replace(x, F.lit(mark), F.lit(plain)) if back else F.replace(x, F.lit(plain), F.lit(mark))
+        return x
+
+    parts = F.transform(F.split(content, '"'), lambda x, i: F.when(i % 2 == 1, shown(x)).otherwise(x))
+    rows = F.filter(F.split(F.array_join(parts, '"'), "[\r\n]+"), lambda x: F.length(x) > 0)
+
+    def cell(x: Column) -> Column:
+        inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return shown(F.when(x.startswith('"'), inner).otherwise(x), back=True)
+
+    cells = lambda row: F.transform(F.split(row, ","), cell)
     header = cells(F.try_element_at(rows, F.lit(1)))
     pair = lambda row: F.map_from_entries(
         F.filter(
