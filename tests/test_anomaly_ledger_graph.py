@@ -38,8 +38,8 @@ def test_reconcile_reports_both_directions(spark):
 
 def test_known_incident_is_skipped_for_a_day(spark):
     hits = spark.createDataFrame(
-        [("h1", "r", "1.0", "High", ["a", "b"], None, 2, "t", "2024-01-02 00:00:00"), ("h2", "r", "1.0", "Medium", ["c"], None, 1, "t", "2024-01-02 00:00:00")],
-        "hit_id string, rule_id string, rule_version string, severity string, event_record_ids array<string>, chunk_digests array<string>, hit_count long, mitre_tag string, at string",
+        [("h1", "r", "1.0", "High", ["a", "b"], "2:1:1", 2, "t", "2024-01-02 00:00:00"), ("h2", "r", "1.0", "Medium", ["c"], "1:7:7", 1, "t", "2024-01-02 00:00:00")],
+        "hit_id string, rule_id string, rule_version string, severity string, event_record_ids array<string>, ids_digest string, hit_count long, mitre_tag string, at string",
     ).withColumn("created_at", F.to_timestamp("at"))
     opened = ledger.incidents(hits)
     assert opened.count() == 1

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import normalize, rules
+from wardlight.operators import ledger, normalize, rules
 from wardlight.schema import EVENT_SCHEMA
 
 SYSMON = "Microsoft-Windows-Sysmon/Operational"
@@ -105,10 +105,12 @@ def _matches(spark, ids):
     )
 
 
-def test_hit_id_is_the_sorted_digest_and_ignores_row_order(spark):
+def test_hit_id_ignores_row_order(spark):
     meta = rules.rules_table(spark, rules.AD_RULES)
     ids = ["c", "a", "b"]
-    want = hashlib.sha256(b"windows-ad-001:a,b,c:2024-01-01 00:00:00.000").hexdigest()
+    digests = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
+    sums = [sum(int(d[a : a + 15], 16) for d in digests) for a in (0, 15)]
+    want = hashlib.sha256(f"windows-ad-001:3:{sums[0]}:{sums[1]}:1704067200000".encode()).hexdigest()
     for order in (ids, ids[::-1]):
         hit = rules.build_hits(_matches(spark, order), meta).collect()[0]
         assert (hit.hit_id, hit.hit_count, hit.severity, hit.mitre_tag) == (want, 3, "High", "attack.t1558.003")
@@ -125,3 +127,39 @@ def test_a_flooding_rule_is_chunked_and_whole(spark):
     again = rules.build_hits(_matches(spark, ids[::-1]), meta, chunk_ids=100).collect()
     assert len(hit) == 1 and hit[0].hit_count == 2500 and hit[0].event_record_ids is None
     assert hit[0].hit_id == again[0].hit_id
+
+
+def test_one_rule_pushes_its_filters_to_the_scan(spark, sec, tmp_path):
+    path = str(tmp_path / "events")
+    sec.write.parquet(path)
+    rule = next(r for r in rules.AD_RULES if r["id"] == "windows-ad-001")
+    plan = rules.rule_matches(spark.read.parquet(path), rule, ["EventRecordID"])._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert pushed and "EventID" in pushed[0] and "PushedFilters: []" not in pushed[0]
+
+
+def test_chunk_size_changes_no_id_and_loses_none(spark, sec):
+    meta, found = rules.rules_table(spark, rules.AD_RULES), rules.detect_rules(sec, rules.AD_RULES)
+    whole, cut = (rules.build_hits(found, meta, "1 day", chunk_ids=n) for n in (100_000, 5))
+    names = lambda hits: sorted(r.hit_id for r in hits.collect())
+    opened = lambda hits: sorted((r.fingerprint, r.hit_id) for r in ledger.incidents(hits).collect())
+    assert names(whole) == names(cut) and opened(whole) == opened(cut)
+    records = ledger.security_records(cut, rules.evidence_chunks(found, "1 day", chunk_ids=5))
+    listed = records.select("RuleId", F.explode(F.from_json("SourceEventIds", "array<string>")).alias("id"))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, found.select("rule_id", "EventRecordID").distinct().collect()))
+    assert records.where("SourceEventIds = '[]'").count() == 0
+    with pytest.raises(Exception, match="evidence chunks"):
+        ledger.security_records(cut).collect()
+
+
+def test_hit_ids_do_not_depend_on_the_session_time_zone(spark):
+    meta, before = rules.rules_table(spark, rules.AD_RULES), spark.conf.get("spark.sql.session.timeZone")
+    found = _matches(spark, ["a", "b"]).withColumn("TimeGenerated", F.timestamp_seconds(F.lit(1_704_067_500)))
+    ids = set()
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            ids.add(rules.build_hits(found, meta, "1 minute").collect()[0].hit_id)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(ids) == 1

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import correlate, ingest, normalize
+from wardlight.operators import correlate, ingest, normalize, rules
 from wardlight.sources import telemetry as t
 from wardlight.streaming import jobs
 
@@ -67,3 +67,16 @@ def test_dedup_across_batches(spark, folder, pieces):
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
     got = jobs.run_available(jobs.stream_dedup(twice).select("EventRecordID"), "d")
     assert rows(got) == rows(t.security_events(spark, folder).select("EventRecordID"))
+
+
+def test_detect_across_batches(spark, folder, pieces):
+    sec = t.security_events(spark, folder)
+    hits = rules.build_hits(rules.detect_rules(sec, rules.AD_RULES), rules.rules_table(spark, rules.AD_RULES))
+    columns = ["hit_id", "rule_id", "batch_start", "hit_count"]
+    want = rows(hits.select(*columns))
+    flushed = jobs.stream_detect(t.as_security_events(stream(spark, pieces)), rules.AD_RULES, flush=True)
+    assert rows(flushed.select(*columns)) == want
+    last = sec.agg(F.max(F.unix_millis("TimeGenerated"))).first()[0]
+    done = F.unix_millis("batch_end") <= (last - 300_000) // 900_000 * 900_000
+    closed = jobs.stream_detect(t.as_security_events(stream(spark, pieces)), rules.AD_RULES)
+    assert rows(closed.select(*columns)) == rows(hits.filter(done).select(*columns))

@@ -56,13 +56,27 @@ def pending_batches(hits: DataFrame, size: int = FORWARD_BATCH) -> DataFrame:
     return numbered.withColumn("batch_no", F.floor((F.col("position") - 1) / size))
 
 
-def security_records(hits: DataFrame) -> DataFrame:
-    """Hit -> security record with a JSON detail."""
+def security_records(hits: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Hit -> security record with a JSON detail.
+
+    With ``evidence`` (the chunks of :func:`rules.evidence_chunks`) a hit gives
+    one record for each chunk of its ids, told apart by ``part`` in the detail.
+    Without it a hit whose ids are kept in chunks is an error, so no record goes
+    out without its ids.
+    """
+    if evidence is not None:
+        parts = evidence.select("rule_id", "batch_start", F.col("chunk").alias("part"), F.col("ids").alias("_ids"))
+        hits = hits.join(parts, ["rule_id", "batch_start"]).withColumn("event_record_ids", F.col("_ids"))
+    else:
+        missing = F.raise_error(F.lit("ids of this hit are in its evidence chunks; pass them"))
+        listed = F.when(F.col("event_record_ids").isNull(), missing.cast("array<string>")).otherwise(F.col("event_record_ids"))
+        hits = hits.withColumns({"part": F.lit(0), "event_record_ids": listed})
     severity = F.lower(c.text(F.col("severity")))
     detail = F.to_json(
         F.struct(
             "hit_id",
             "hit_count",
+            "part",
             c.time_text(F.col("batch_start")).alias("batch_start"),
             c.time_text(F.col("batch_end")).alias("batch_end"),
             "anomaly_score",
@@ -75,7 +89,7 @@ def security_records(hits: DataFrame) -> DataFrame:
         F.col("rule_version").alias("RuleVersion"),
         F.lit("DetectionHit").alias("EventType"),
         F.lit("").alias("Entity"),
-        F.to_json(F.coalesce("event_record_ids", F.array().cast("array<string>"))).alias("SourceEventIds"),
+        F.to_json("event_record_ids").alias("SourceEventIds"),
         _mapped(RECORD_SEVERITY, severity, "Low").alias("Severity"),
         detail.alias("Detail"),
         F.col("mitre_tag").alias("ATTACKTechnique"),
@@ -83,9 +97,8 @@ def security_records(hits: DataFrame) -> DataFrame:
 
 
 def incident_fingerprint() -> Column:
-    """SHA-256 over rule and sorted ids; a hit of many chunks uses its digests."""
-    ids = F.coalesce(F.array_sort("event_record_ids"), F.col("chunk_digests"))
-    return F.sha2(F.concat(F.col("rule_id"), F.lit("|"), F.array_join(ids, "|")), 256)
+    """SHA-256 over rule and the digest of its record ids."""
+    return F.sha2(F.concat_ws("|", "rule_id", "ids_digest"), 256)
 
 
 def incidents(
@@ -284,6 +297,8 @@ def pack_batches(
     so the byte slot is narrowed by the largest event a gate lets through:
     then no batch exceeds ``max_bytes``.  Adds ``batch_key``.
     """
+    if max_bytes <= largest_event:
+        raise ValueError("max_bytes must exceed the largest event")
     slot = max_bytes - largest_event
     placed = with_running(events, [stream], order, number="_position", sums={"_through": size})
     started = F.col("_through") - F.col(size)

@@ -383,7 +383,7 @@ IDS_PER_CHUNK = 100_000
 def evidence_chunks(
     matches: DataFrame, window: str = "15 minutes", chunk_ids: int = IDS_PER_CHUNK
 ) -> DataFrame:
-    """(rule_id, batch_start, batch_end, chunk, chunks, ids, ids_sha, n).
+    """(rule_id, batch_start, batch_end, chunk, chunks, ids, digest sums, n).
 
     A rule and window with up to ``chunk_ids`` matches is one chunk holding
     its sorted record ids.  A larger one is split by a hash of the id, so no
@@ -407,10 +407,20 @@ def evidence_chunks(
         .withColumn("chunk", F.pmod(F.xxhash64("EventRecordID"), F.col("chunks")).cast("int"))
         .groupBy(*keys, "chunk", "chunks")
         .agg(F.array_sort(F.collect_set("EventRecordID")).alias("ids"), F.count("*").alias("n"))
-        .withColumn("ids_sha", F.sha2(F.array_join("ids", ","), 256))
+        .withColumns({name: _digest_sum(F.col("ids"), at) for name, at in DIGEST_PARTS.items()})
     )
 
 
+#: Sums kept of the ids' digests, and where their fifteen hex digits begin.
+DIGEST_PARTS = {"ids_sum_a": 1, "ids_sum_b": 16}
+
+
+def _digest_sum(ids: Column, at: int) -> Column:
+    """Sum of a part of each id's SHA-256: free of order, and of how ids are chunked."""
+    part = lambda x: F.conv(F.substring(F.sha2(x, 256), at, 15), 16, 10).cast("decimal(20,0)")
+    return F.aggregate(ids, F.lit(0).cast("decimal(38,0)"), lambda total, x: (total + part(x)).cast("decimal(38,0)"))
+
+
 def build_hits(
     matches: DataFrame,
     rules: DataFrame,
@@ -420,10 +430,11 @@ def build_hits(
 ) -> DataFrame:
     """The detection ledger: one row per rule and window with a match.
 
-    ``hit_id`` is SHA-256 over rule, sorted record ids and window start, so a
-    rerun gives the same id.  A hit of several chunks hashes the sorted chunk
-    digests instead and keeps its ids in :func:`evidence_chunks`;
-    ``event_record_ids`` is then null and ``chunk_digests`` is filled.
+    ``ids_digest`` is the number of distinct record ids and two sums of their
+    digests; ``hit_id`` is SHA-256 over rule, ``ids_digest`` and window start in
+    epoch milliseconds.  Neither depends on order, chunk size or time zone.
+    ``event_record_ids`` lists the ids of a hit of one chunk; a larger hit lists
+    them in :func:`evidence_chunks` only, and the column is null.
     ``created_at`` is the window end; ``forwarded_at`` starts null.
     """
     single = F.col("chunks") == 1
@@ -433,22 +444,22 @@ def build_hits(
         .agg(
             F.sum("n").alias("hit_count"),
             F.first(F.when(single, F.col("ids")), ignorenulls=True).alias("event_record_ids"),
-            F.array_sort(F.collect_list(F.when(~single, F.col("ids_sha")))).alias("_digests"),
+            F.sum(F.size("ids")).alias("_distinct"),
+            *[F.sum(name).cast("decimal(38,0)").alias(name) for name in DIGEST_PARTS],
         )
+        .withColumn("ids_digest", F.concat_ws(":", *[F.col(n).cast("string") for n in ("_distinct", *DIGEST_PARTS)]))
     )
-    body = F.when(single, F.array_join("event_record_ids", ",")).otherwise(F.array_join("_digests", ","))
+    start = F.unix_millis("batch_start").cast("string")
     return (
         grouped.join(rules, "rule_id")
         .select(
-            F.sha2(
-                F.concat("rule_id", F.lit(":"), body, F.lit(":"), c.time_text(F.col("batch_start"))), 256
-            ).alias("hit_id"),
+            F.sha2(F.concat_ws(":", "rule_id", "ids_digest", start), 256).alias("hit_id"),
             "rule_id",
             F.lit(rule_version).alias("rule_version"),
             "batch_start",
             "batch_end",
             "event_record_ids",
-            F.when(~single, F.col("_digests")).alias("chunk_digests"),
+            "ids_digest",
             "hit_count",
             "level",
             "severity",

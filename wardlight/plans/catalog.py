@@ -1149,7 +1149,7 @@ def stream_dedup(spark, folder):
 @query
 def stream_detect(spark, folder):
     events = t.as_security_events(_stream(spark, folder))
-    found = jobs.stream_detect(events, rules.AD_RULES)
+    found = jobs.stream_detect(events, rules.AD_RULES, flush=True)
     return found.select("hit_id", "rule_id", "batch_start", "hit_count", "severity")
 
 

@@ -84,13 +84,14 @@ HITS = (
     + r""", grouped AS (
   SELECT rule_id, time_bucket(INTERVAL '15 minutes', TimeGenerated) AS batch_start,
          string_agg(EventRecordID, ',' ORDER BY EventRecordID) AS event_record_ids,
-         string_agg(EventRecordID, '|' ORDER BY EventRecordID) AS piped,
+         count(DISTINCT EventRecordID) || ':' || sum(('0x' || substr(sha256(EventRecordID), 1, 15))::BIGINT)
+           || ':' || sum(('0x' || substr(sha256(EventRecordID), 16, 15))::BIGINT) AS ids_digest,
          count(*) AS hit_count
   FROM matches GROUP BY ALL
 ), hits AS (
-  SELECT sha256(g.rule_id || ':' || event_record_ids || ':' || strftime(batch_start, '%Y-%m-%d %H:%M:%S') || '.000') AS hit_id,
+  SELECT sha256(g.rule_id || ':' || ids_digest || ':' || epoch_ms(batch_start)) AS hit_id,
          g.rule_id, '1.0' AS rule_version, batch_start, batch_start + INTERVAL '15 minutes' AS batch_end,
-         event_record_ids, sha256(g.rule_id || '|' || piped) AS fingerprint, hit_count, level, severity, mitre_tag,
+         event_record_ids, sha256(g.rule_id || '|' || ids_digest) AS fingerprint, hit_count, level, severity, mitre_tag,
          batch_start + INTERVAL '15 minutes' AS created_at,
          round(((epoch_ms(batch_start) // 900000) % 100) / 99.0, 4) AS anomaly_score,
          CASE WHEN ((epoch_ms(batch_start) // 900000) % 100) % 3 <> 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -288,34 +288,70 @@ def stream_sequence(
     )
 
 
-def detect_batch(frame: DataFrame, rule_set: list[dict], path: str, window: str = "15 minutes") -> None:
-    """One micro-batch of rule detection for ``foreachBatch``.
-
-    Matches are written first, then hits are built from the written matches:
-    the events are scanned once, and the matches stay as the evidence table.
+def stream_detect(
+    events: DataFrame,
+    rule_set: list[dict],
+    window: str = "15 minutes",
+    delay: str = "5 minutes",
+    flush: bool = False,
+) -> DataFrame:
+    """Rule detection with one hit per rule and window, however batches fall.
+
+    Each micro-batch appends its matches to an evidence table.  Hits are built
+    for the windows that have closed since the last batch: those that end
+    ``delay`` or more before the latest event seen.  Matches that arrive later
+    than that stay in the evidence table but open no window again.  A retried
+    batch writes the same folders again.  ``flush`` closes the windows still
+    open when the source is exhausted, as a replay of bounded input does.
     """
-    spark: SparkSession = frame.sparkSession
-    matches_path = f"{path}/matches"
-    rules.detect_rules(frame, rule_set).write.mode("overwrite").parquet(matches_path)
-    matches = spark.read.parquet(matches_path)
-    hits = rules.build_hits(matches, rules.rules_table(spark, rule_set), window)
-    hits.write.mode("overwrite").parquet(f"{path}/hits")
-
-
-def stream_detect(events: DataFrame, rule_set: list[dict], window: str = "15 minutes") -> DataFrame:
-    """Rule detection per micro-batch; the hit id makes a retry harmless."""
     spark = events.sparkSession
     out = scratch_path(spark, "hits")
+    span, wait = (_millis(spark, x) for x in (window, delay))
+
+    def closed(seen: int | None) -> int:
+        return 0 if seen is None else (seen - wait) // span * span
+
+    def build(low: int, high: int | None, name: str) -> None:
+        at = F.col("TimeGenerated")
+        found = spark.read.option("basePath", f"{out}/matches").parquet(f"{out}/matches")
+        found = found.filter(at >= F.timestamp_millis(F.lit(low))).drop("batch_id")
+        if high is not None:
+            found = found.filter(at < F.timestamp_millis(F.lit(high)))
+        built = rules.build_hits(found, rules.rules_table(spark, rule_set), window)
+        built.write.mode("overwrite").parquet(f"{out}/hits/batch_id={name}")
+
+    def seen_before(batch_id: int) -> int | None:
+        """Latest event of the earlier batches."""
+        if batch_id == 0:
+            return None
+        marks = spark.read.schema("seen bigint, batch_id bigint").option("basePath", f"{out}/marks").parquet(f"{out}/marks")
+        return marks.filter(F.col("batch_id") < batch_id).agg(F.max("seen")).first()[0]
+
+    def one(frame: DataFrame, batch_id: int) -> None:
+        latest = Observation(f"latest-{batch_id}")
+        watched = frame.observe(latest, F.max(F.unix_millis("TimeGenerated")).alias("seen"))
+        rules.detect_rules(watched, rule_set).write.mode("overwrite").parquet(f"{out}/matches/batch_id={batch_id}")
+        before = seen_before(batch_id)
+        known = [x for x in (before, latest.get["seen"]) if x is not None]
+        now = max(known, default=None)
+        mark = spark.range(1).select(F.lit(now).cast("bigint").alias("seen"))
+        mark.write.mode("overwrite").parquet(f"{out}/marks/batch_id={batch_id}")
+        build(closed(before), closed(now), str(batch_id))
+
     query = (
-        events.writeStream.foreachBatch(
-            lambda frame, i: detect_batch(frame, rule_set, f"{out}/batch_id={i}", window)
-        )
+        events.writeStream.foreachBatch(one)
         .option("checkpointLocation", f"{out}-state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*/hits").drop("batch_id")
+    if flush:
+        build(closed(seen_before(2**62)), None, str(2**62))
+    return spark.read.option("basePath", f"{out}/hits").parquet(f"{out}/hits").drop("batch_id")
+
+
+def _millis(spark: SparkSession, interval: str) -> int:
+    return spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {interval})").first()[0]
 
 
 def stream_rate_limit(raw: DataFrame, limit: int, window: str = "60 seconds") -> DataFrame:
