@@ -419,14 +419,20 @@ def purge_report(
     expired_before = F.date_sub(
         F.lit(as_of).cast("timestamp").cast("date"), F.coalesce("_days", F.lit(default_days))
     )
-    parts = (
+    # Only events of expired months meet the delivered ids.
+    expired = (
         events.select(
             "EventRecordID",
             "TimeGenerated",
             retention_type().alias("source_type"),
             F.date_format("TimeGenerated", "yyyyMM").alias("partition"),
         )
-        .join(ids, "EventRecordID", "left")
+        .join(F.broadcast(table), "source_type", "left")
+        .filter(month_end < expired_before)
+        .drop("_days")
+    )
+    parts = (
+        expired.join(ids, "EventRecordID", "left")
         .groupBy("partition", "source_type")
         .agg(
             F.count("*").alias("EventCountEstimate"),
@@ -436,21 +442,17 @@ def purge_report(
         )
     )
     confirmed = F.col("_sent") == F.col("EventCountEstimate")
-    return (
-        parts.join(F.broadcast(table), "source_type", "left")
-        .filter(month_end < expired_before)
-        .select(
-            "partition",
-            "source_type",
-            F.to_date("partition", "yyyyMM").alias("DateRangeStart"),
-            month_end.alias("DateRangeEnd"),
-            "EventCountEstimate",
-            "first_event",
-            "last_event",
-            confirmed.alias("ForwardingConfirmed"),
-            F.when(confirmed, "PartitionPurge").otherwise("PurgeBeforeForward").alias("EventType"),
-            F.when(confirmed, "Informational").otherwise("Warning").alias("Severity"),
-        )
+    return parts.select(
+        "partition",
+        "source_type",
+        F.to_date("partition", "yyyyMM").alias("DateRangeStart"),
+        month_end.alias("DateRangeEnd"),
+        "EventCountEstimate",
+        "first_event",
+        "last_event",
+        confirmed.alias("ForwardingConfirmed"),
+        F.when(confirmed, "PartitionPurge").otherwise("PurgeBeforeForward").alias("EventType"),
+        F.when(confirmed, "Informational").otherwise("Warning").alias("Severity"),
     )
 
 

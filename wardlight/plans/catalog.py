@@ -127,7 +127,8 @@ def flood_heuristic_sliding(spark, folder):
 
 @query
 def decompression_gate(spark, folder):
-    return files.decompression_gate(x.compressed_files(spark, folder), cap=2.0)
+    judged = files.decompression_gate(x.archives(spark, folder), cap=2.0)
+    return judged.select("file", F.col("expanded"), "verdict")
 
 
 @query
@@ -712,9 +713,10 @@ def rule_dry_run(spark, folder):
 
 @query
 def rule_coverage(spark, folder):
-    # Only remote-desktop and SMB logons are looked at, so other rules are silent.
-    logons = rules.detect_rules(x.sec(spark, folder).filter(F.col("EventID") == 4624), rules.AD_RULES)
-    return rules.rule_coverage(rules.rules_table(spark, rules.AD_RULES), logons)
+    # A rule for an event that no source sends stays silent.
+    planned = {**rules.AD_RULES[0], "id": "planned-001", "title": "Planned"}
+    listed = rules.rules_table(spark, [*rules.AD_RULES, planned])
+    return rules.rule_coverage(listed, x.matches(spark, folder))
 
 
 @query
@@ -815,13 +817,12 @@ def active_rules(spark, folder):
 
 @query
 def forwardable_hits(spark, folder):
-    """Hits of rules whose latest purchase or signup event is a purchase."""
+    """Hits of rules whose latest state, from any event of their users, is production."""
+    live = F.col("event_type").isin("purchase", "view", "click")
     states = ledger.latest_rule_state(
-        t.table(spark, folder, "events")
-        .filter(F.col("event_type").isin("purchase", "signup"))
-        .select(
+        t.table(spark, folder, "events").select(
             F.concat(F.lit("windows-ad-00"), (F.col("user_id") % 6 + 1).cast("string")).alias("rule_id"),
-            F.when(F.col("event_type") == "purchase", "production").otherwise("disabled").alias("status"),
+            F.when(live, "production").otherwise("disabled").alias("status"),
             F.col("ts").cast("timestamp").alias("updated_at"),
         )
     )

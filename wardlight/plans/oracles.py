@@ -406,6 +406,15 @@ sql(
     "",
     "SELECT 'doc-' || doc_id || '.csv' AS file, CAST(0 AS INTEGER) AS position, text AS message, doc_id AS k FROM documents",
 )
+sql(
+    "decompression_gate",
+    "",
+    """
+SELECT 'doc-' || doc_id AS file, CASE WHEN doc_id % 3 = 0 THEN 2000 ELSE octet_length(encode(text)) END AS expanded,
+       CASE WHEN doc_id % 3 = 0 THEN 'DecompressionCapTrip' WHEN doc_id % 3 = 1 THEN 'CorruptArchive' ELSE 'accepted' END AS verdict
+FROM documents
+""",
+)
 sql("dedup_events", SEC, f"SELECT {KEYS}, IngestTimestamp FROM sec")
 sql(
     "map_upload",
@@ -811,7 +820,8 @@ sql(
     """
 SELECT rule_id, status, mitre_tag, count(EventRecordID) AS matches, max(TimeGenerated) AS last_match,
        status = 'production' AND mitre_tag <> '' AS technique_covered, count(EventRecordID) = 0 AS silent
-FROM rule_meta LEFT JOIN (SELECT * FROM matches WHERE EventID = 4624) USING (rule_id)
+FROM (SELECT * FROM rule_meta UNION ALL SELECT * REPLACE ('planned-001' AS rule_id) FROM rule_meta WHERE rule_id = 'windows-ad-001')
+LEFT JOIN matches USING (rule_id)
 GROUP BY rule_id, status, mitre_tag
 """,
 )
@@ -967,9 +977,10 @@ sql(
     HITS,
     """
 SELECT hit_id, rule_id FROM hits JOIN (
-  SELECT 'windows-ad-00' || (1 + user_id % 6) AS rule_id, arg_max(event_type, ts) AS kind
-  FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1
-) USING (rule_id) WHERE kind = 'purchase'
+  SELECT 'windows-ad-00' || (1 + user_id % 6) AS rule_id,
+         CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'production' ELSE 'disabled' END AS status
+  FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts DESC, status DESC) = 1
+) USING (rule_id) WHERE status = 'production'
 """,
 )
 sql(

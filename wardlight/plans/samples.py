@@ -172,16 +172,25 @@ def binary_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def compressed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, content): every document, compressed."""
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content): an archive for each document, of a size that can be worked out.
+
+    A third holds 2,000 equal bytes, a third the text stored as it is but cut
+    short in its checksum, and a third the text stored as it is.
+    """
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(content=[zlib.compress(bytes(x)) for x in batch["content"]])
+            kind = batch["kind"]
+            stored = [zlib.compress(bytes(x), 0) for x in batch["content"]]
+            bomb = zlib.compress(b"a" * 2000)
+            content = [bomb if k == 0 else x[:-2] if k == 1 else x for k, x in zip(kind, stored)]
+            yield pd.DataFrame({"file": batch["file"], "content": content})
 
     files = t.table(spark, folder, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"),
         F.encode("text", "UTF-8").alias("content"),
+        (F.col("doc_id") % 3).alias("kind"),
     )
     return files.mapInPandas(squeeze, "file string, content binary")
 
