@@ -48,6 +48,25 @@ def test_event_cap_keeps_file_order(spark):
     assert parse(spark, "txt", "a\nb\nc", cap=2) == [{"message": "a"}, {"message": "b"}]
 
 
+def test_event_cap_tells_what_it_left_out(spark):
+    frame = spark.createDataFrame([("f.txt", "txt", "a\nb\nc")], "file string, ext string, content string")
+    assert {r.left_out for r in files.parse_evidence(frame, max_events=2).collect()} == {1}
+    assert files.parse_evidence(frame).count() == 3
+
+
+def test_oversize_file_has_a_verdict(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("fine")
+    (tmp_path / "b.txt").write_text("x" * 200)
+    got = {r.file.rsplit("/")[-1]: r.verdict for r in files.utf8_gate(files.read_files(spark, str(tmp_path), 100)).collect()}
+    assert got == {"a.txt": "accepted", "b.txt": "FILE_TOO_LARGE"}
+
+
+def test_long_quoted_cells(spark):
+    cell = 'a,"b"\r\n' * 9000
+    text = "message,k\r\n" + '"' + cell.replace('"', '""') + '",1\r\n'
+    assert parse(spark, "csv", text) == [{"message": cell, "k": "1"}]
+
+
 def test_line_files_of_any_size(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_text("x\ny\n")

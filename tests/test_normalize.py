@@ -131,6 +131,22 @@ def test_incident_tag(spark):
     assert frame.collect()[0].t == "manual-upload:incident:i-7:100"
 
 
+def test_long_message_without_an_id(spark):
+    raw = {"message": 'say "x": \\, y\n' * 5000, "hostname": "h"}
+    want = hashlib.sha256(f"syslog:x:0:{json.dumps(raw, sort_keys=True)}".encode()).hexdigest()
+    frame = spark.createDataFrame([("1", "syslog:x:0", json.dumps(raw))], "id string, provenance_tag string, payload string")
+    got = normalize.normalize_events(frame.withColumn("received_at", F.current_timestamp())).collect()
+    assert [r.EventRecordID for r in got] == [want] and got[0].HostName == "h"
+
+
+def test_all_base64_runs_are_decoded(spark):
+    import base64
+
+    line = " and ".join(base64.b64encode(x).decode() for x in (b"first thing to run", b"second thing to run"))
+    frame = spark.createDataFrame([(line,)], "CommandLine string")
+    assert normalize.decode_base64(frame).collect()[0].DecodedText == "first thing to run\nsecond thing to run"
+
+
 def test_decode_base64(spark):
     import base64
 

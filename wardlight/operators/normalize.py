@@ -58,6 +58,7 @@ FORENSIC = {
     "CommandLine": ["CommandLine", "cmdline"],
     "ProcessImagePath": ["Image", "image_path"],
 }
+# The payload keys that each source uses for a column, first one wins.
 TEXT_MAPS = {"wef": WINDOWS, "syslog": SYSLOG, "netflow": NETFLOW, "forensic": FORENSIC}
 
 FIXED_CHANNELS = {"syslog": "Syslog", "netflow": "Netflow", "forensic": "ForensicArtifact"}

@@ -17,7 +17,6 @@ DROP_PATTERN = "*.{json,jsonl,txt}"
 # Extensions an upload may have.
 UPLOAD_EXTENSIONS = ["json", "jsonl", "csv", "log", "txt"]
 MAX_FILE_BYTES = 100 * 1024 * 1024
-MAX_FILE_EVENTS = 1_000_000
 RATIO_CAP = 20.0
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -60,32 +59,30 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^/\\]\.([A-Za-z0-9]+)$", 1))
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, ext, bytes, content): uploaded files up to the size cap."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .filter(F.col("length") <= MAX_FILE_BYTES)
-        .select(
-            F.col("path").alias("file"),
-            extension(F.col("path")).alias("ext"),
-            F.col("length").alias("bytes"),
-            "content",
-        )
-    )
+def read_files(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(file, ext, bytes, content): uploaded files.
+
+    A file beyond ``max_bytes`` has a row with null content, which is never
+    read; :func:`utf8_gate` refuses it by name.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = [F.col("path").alias("file"), extension(F.col("path")).alias("ext"), F.col("length").alias("bytes")]
+    small = found.filter(F.col("length") <= max_bytes).select(*named, "content")
+    large = found.filter(F.col("length") > max_bytes).select(*named, F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def utf8_gate(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``verdict``: accepted, or why the file is refused.
 
-    A file is refused for its extension, for bytes that are not UTF-8, or for
-    a NUL byte.
+    A file is refused for its extension, for its size (no content was read),
+    for bytes that are not UTF-8, or for a NUL byte.
     """
     as_text = F.col(content).cast("string")
     return files.withColumn(
         "verdict",
         F.when(~F.col("ext").isin(UPLOAD_EXTENSIONS), "UNSUPPORTED_FILE_TYPE")
+        .when(F.col(content).isNull(), "FILE_TOO_LARGE")
         .when(~F.is_valid_utf8(as_text), "BINARY_CONTENT_REJECTED")
         .when(F.instr(as_text, "\0") > 0, "BINARY_CONTENT_REJECTED")
         .otherwise("accepted"),
@@ -193,7 +190,7 @@ def _is_object(json_text: Column) -> Column:
     return parse_fields(json_text).isNotNull()
 
 
-def parse_evidence(files: DataFrame, content: str = "content", max_events: int = MAX_FILE_EVENTS) -> DataFrame:
+def parse_evidence(files: DataFrame, content: str = "content", max_events: int | None = None) -> DataFrame:
     """(file, ext, position, record): one row per event in a file.
 
     ``files`` holds (file, ext, text content), one row per file; a file is
@@ -205,7 +202,8 @@ def parse_evidence(files: DataFrame, content: str = "content", max_events: int =
     * log, txt: as jsonl; if that gives nothing, as json; else one
       ``{"message": line}`` per non-empty line
 
-    At most ``max_events`` records of a file are taken, in file order.
+    All records are taken; with ``max_events`` only so many of a file, in file
+    order, and ``left_out`` tells on every row how many of its file were not.
     """
     text = F.col(content)
     lines = _lines(text)
@@ -233,9 +231,11 @@ def parse_evidence(files: DataFrame, content: str = "content", max_events: int =
         .otherwise(empty)
     )
     keep = [n for n in files.columns if n != content]
-    return (
-        files.select(*keep, F.posexplode(F.slice(records, 1, max_events)).alias("position", "record"))
-    )
+    if max_events is None:
+        return files.select(*keep, F.posexplode(records).alias("position", "record"))
+    counted = files.select(*keep, records.alias("_records"))
+    left_out = F.greatest(F.size("_records") - max_events, F.lit(0)).alias("left_out")
+    return counted.select(*keep, left_out, F.posexplode(F.slice("_records", 1, max_events)).alias("position", "record"))
 
 
 def parse_drop_lines(lines: DataFrame) -> DataFrame:
@@ -262,8 +262,8 @@ def parse_drop_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_records(records: DataFrame, order: list[str], max_events: int = MAX_FILE_EVENTS) -> DataFrame:
-    """The event cap for line files of any size: a running number per file."""
+def first_records(records: DataFrame, order: list[str], max_events: int) -> DataFrame:
+    """An event cap for line files of any size: a running number per file."""
     return (
         with_running(records, ["file"], order, number="_n")
         .filter(F.col("_n") <= max_events)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight import schema as s
 from wardlight.session import local_table
 
-CAP_NOTE = "Results capped at 10,000 rows — narrow your time range for completeness"
+CAP_NOTE = "Results capped: more rows matched than this file holds"
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", files_per_month: int | None = None) -> None:
