@@ -43,17 +43,17 @@ from pyspark.sql.types import StructType
 
 from wardlight.llm import blocks
 from wardlight.llm import textbytes as tb
-from wardlight.llm.tables import written
+from wardlight.llm.tables import sifted, written
 
 
 @dataclass(frozen=True)
 class Settings:
     length: int = 400
-    stride: int = 50  # divides ``length``
+    stride: int = 100  # divides ``length``
     gram: int = 64  # bytes of an anchor
     per_task: int = 4_096  # segments of one anchor that one task holds
     shard_bytes: int = 1 << 18
-    merge_bytes: int = 1 << 21
+    merge_bytes: int = 1 << 20
 
 
 # -- anchors --------------------------------------------------------------------
@@ -141,39 +141,39 @@ class Transform:
 
 
 def stable_order(values: np.ndarray) -> np.ndarray:
-    """Stable sorting order of small non-negative integers, by radix."""
-    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
-    if len(values) and values.max() > 0xFFFF:
-        order = order[np.argsort((values[order] >> 16).astype(np.uint16), kind="stable")]
-    return order
+    """Stable sorting order of unsigned 16- or 32-bit integers, by radix."""
+    if values.dtype == np.uint16:
+        return np.argsort(values, kind="stable").astype(np.int32)
+    order = np.argsort(values.astype(np.uint16), kind="stable").astype(np.int32)
+    high = (values >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
-def build(symbol: np.ndarray, low: int, high: int, ends: np.ndarray, stride: int) -> Transform:
+def build(symbol: np.ndarray, low: int, high: int, begins: np.ndarray, stride: int) -> Transform:
     """The transform of positions ``low`` .. ``high`` by prefix doubling.
 
     ``symbol`` is 0 where a string ends.  Strings end in their own order, so all
     suffixes differ.
     """
     n = high - low
-    own = symbol[low:high].astype(np.int64)
-    closing = own == 0
-    rank = own + int(closing.sum())
-    rank[closing] = np.arange(int(closing.sum()))
+    own = symbol[low:high]
+    order = stable_order(own)
+    new = np.ones(n, bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    new[: int((own == 0).sum())] = True
+    rank = np.empty(n, np.uint32)
+    rank[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
     step = stride
-    while True:
-        order = stable_order(rank)
-        sorted_rank = rank[order]
-        if (np.diff(sorted_rank) > 0).all():
-            return Transform(low + order, before_of(symbol, low + order, ends, stride))
-        after = np.minimum(np.arange(n) + step, n - 1)
-        second = rank[after]
+    while not new.all():
+        second = rank[np.minimum(np.arange(step, n + step), n - 1)]
         order = stable_order(second)
         order = order[stable_order(rank[order])]
         a, b = rank[order], second[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((np.diff(a) != 0) | (np.diff(b) != 0))])
-        rank = new
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        rank[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
         step *= 2
+    position = np.int32(low) + order
+    return Transform(position, before_of(symbol, position, begins, stride))
 
 
 def before_of(symbol: np.ndarray, position: np.ndarray, begins: np.ndarray, stride: int) -> np.ndarray:
@@ -191,36 +191,27 @@ def merge(shards: list[Transform], ends: list[int], passes: int) -> tuple[np.nda
     end; they come first in every order, shard by shard.  Common prefixes are
     counted in symbols, up to ``passes``.
     """
-    origin = np.repeat(np.arange(len(shards)), [len(x.position) for x in shards])
-    first = np.cumsum([0, *(len(x.position) for x in shards)])
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(x.position) for x in shards])
     position = np.concatenate([x.position for x in shards])
     before = np.concatenate([x.before for x in shards])
-    head = np.repeat(np.arange(len(shards)), ends)
-    interleave = origin.copy()
-    parted = np.zeros(len(origin), np.int16)  # pass in which a suffix parted from the one before; 0: not yet
-    block = np.zeros(len(origin), np.int64)
-    for step in range(1, passes + 1):
-        # Where each place of the interleave reads: its shard's next suffix.
-        read = _places(interleave, first)
+    head = np.repeat(np.arange(len(shards), dtype=np.uint16), ends)
+    n, m = len(position), len(head)
+    common = np.full(n, passes, np.int16)
+    block = np.zeros(n, np.int32)
+    read = np.arange(n, dtype=np.int32)  # the shards' suffixes in the order of the interleave
+    for step in range(passes):
         symbols = before[read]
         inner = np.flatnonzero(symbols)
         order = inner[stable_order(symbols[inner])]
         interleave = np.concatenate([head, interleave[order]])
-        symbol = np.concatenate([-1 - np.arange(len(head)), symbols[order]])
-        block = np.concatenate([np.arange(len(head)) + len(block), block[order]])
-        new = np.ones(len(symbol), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new)
-        parted[(parted == 0) & new] = step
-    common = np.where(parted == 0, passes, parted - 1)
-    return position[_places(interleave, first)], common
-
-
-def _places(interleave: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Index, in the concatenated shards, of what each place of an interleave stands for."""
-    read = np.empty(len(interleave), np.int64)
-    read[stable_order(interleave)] = np.arange(first[-1])
-    return read
+        symbol, earlier = symbols[order], block[order]
+        new = np.ones(n, bool)
+        new[m + 1 :] = (symbol[1:] != symbol[:-1]) | (earlier[1:] != earlier[:-1])
+        common[new & (common == passes)] = step
+        block = np.cumsum(new, dtype=np.int32)
+        read = np.empty(n, np.int32)
+        read[stable_order(interleave)] = np.arange(n, dtype=np.int32)
+    return position[read], common
 
 
 def repeated_windows(texts: list[bytes], weights: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,32 +219,36 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, s: Settings) -> tu
 
     Returns flags by byte position (windows that repeat; windows that lead an
     interval of equal ones) and where each segment begins.  Each segment is
-    followed by one byte that stands for its end.
+    followed by one byte that stands for its end.  Symbols are 32-bit hashes of
+    blocks; neighbours in an interval are checked by a 64-bit hash of the window.
     """
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    segment = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    at = np.arange(len(data))
-    stops = bounds[1:][segment] - 1
+    segment = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    stops, begins = (bounds[1:] - 1).astype(np.int32)[segment], bounds[:-1].astype(np.int32)[segment]
+    at = np.arange(len(data), dtype=np.int32)
     hasher = tb.Hasher(data)
-    full = at + s.stride <= stops
-    symbol = np.zeros(len(data), np.int64)
-    symbol[full] = np.unique(hasher.ranges(at[full], at[full] + s.stride), return_inverse=True)[1] + 1
+    full = np.flatnonzero(at + s.stride <= stops)
+    symbol = np.zeros(len(data), np.uint32)
+    symbol[full] = np.maximum(hasher.ranges(full, full + s.stride) >> np.uint64(32), np.uint64(1))
     cuts = np.searchsorted(bounds, np.arange(s.shard_bytes, bounds[-1], s.shard_bytes))
     edges = np.unique(np.concatenate([[0], bounds[cuts], [bounds[-1]]]))
-    begins = bounds[:-1][segment]
     shards = [build(symbol, a, b, begins, s.stride) for a, b in zip(edges, edges[1:])]
-    ends = [int((~full[a:b]).sum()) for a, b in zip(edges, edges[1:])]
+    ends = [int((symbol[a:b] == 0).sum()) for a, b in zip(edges, edges[1:])]
     passes = s.length // s.stride
     order, common = merge(shards, ends, passes)
-    lead = common < passes
-    interval = np.cumsum(lead) - 1
-    weight = np.bincount(interval, weights[segment[order]])
-    window = at + s.length <= stops
+    whole = (at + s.length <= stops)[order]
+    order, lead = order[whole], (common < passes)[whole]
     repeated, leading = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    repeated[order] = weight[interval] > 1
-    leading[order] = lead
-    return repeated & window, leading & window, bounds
+    if len(order):
+        prints = hasher.ranges(order, order + s.length)
+        lead[0] = True
+        lead[1:] |= prints[1:] != prints[:-1]
+        interval = np.cumsum(lead) - 1
+        weight = np.bincount(interval, weights[segment[order]])
+        repeated[order] = weight[interval] > 1
+        leading[order] = lead
+    return repeated, leading, bounds
 
 
 # -- the job --------------------------------------------------------------------
@@ -441,7 +436,8 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return [pa.array(parts, pa.binary()), pa.array(np.diff(offsets))]
 
     wanted = chosen.groupBy("same").agg(F.collect_list(F.struct("anchor", "content", "weight", "salts")).alias("wanted"))
-    packed = tb.with_columns(long_enough, "text", pack, "packed binary, size long", ["same"])
+    likely = sifted(long_enough, "same", chosen.select("same").distinct()).where("_maybe").select("same", "text")
+    packed = tb.with_columns(likely, "text", pack, "packed binary, size long", ["same"])
     sources = packed.groupBy("same").agg(F.first("packed").alias("packed"), F.first("size").alias("size")).join(wanted, "same")
     cut = sources.select("packed", "size", "wanted").mapInArrow(_cut_out(s), "anchor long, content long, weight long, salts int, bytes binary")
     unit = F.xxhash64("anchor", F.pmod(F.col("content"), F.col("salts")))
@@ -468,7 +464,12 @@ def remove_repeats(
     names = [c for c in (docs.columns if keep is None else keep) if c not in {f.split()[0] for f in added.split(", ")}]
     found = written(repeats(docs, s), "repeats")
     rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_same", F.md5("_text"))
-    joined = rows.join(found.withColumnsRenamed({"same": "_same", "found": "_found"}), "_same", "left").select(*names, "_text", "_found")
+    found = found.withColumnsRenamed({"same": "_same", "found": "_found"})
+    likely = sifted(rows, "_same", found, "_likely")
+    # Only texts that may have repeats meet the table of repeats.
+    met = likely.where("_likely").join(found, "_same", "left").select(*names, "_text", "_found")
+    clean = likely.where("not _likely").select(*names, "_text", F.lit(None).cast(found.schema["_found"].dataType).alias("_found"))
+    joined = met.unionByName(clean)
     schema = StructType([docs.schema[c] for c in names] + list(StructType.fromDDL(added).fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

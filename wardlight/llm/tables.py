@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardlight.session import scratch_path
 
@@ -16,3 +17,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SIFT_BITS = 1 << 25
+
+
+def sifted(df: DataFrame, column: str, keys: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """``df`` with ``flag``: false where ``column`` is certainly not among ``keys``.
+
+    A bitmap of hashed keys, so that rows without a partner need not be
+    shuffled to a join.  It has ``SIFT_BITS`` bits (4 MB) at most, whatever the
+    number of keys, and may therefore be broadcast; the more keys there are, the
+    more other rows pass too.
+    """
+
+    def place(name: str):
+        return F.pmod(F.xxhash64(name), F.lit(SIFT_BITS))
+
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(place(column))).alias("_bits")
+    maps = written(keys.groupBy(F.bitmap_bucket_number(place(column)).alias("_bucket")).agg(bits), "sift")
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(maps), "_bucket", "left")
+    at = F.bitmap_bit_position(place(column)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
