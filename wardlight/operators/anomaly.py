@@ -160,20 +160,20 @@ def fit_forest(
 ) -> DataFrame:
     """Trees as rows (tree, node, feature, cut, low, high, depth_end).
 
-    Sampling goes by a hash of the key, so it does not depend on partitioning.
-    A hash threshold thins the rows to a pool of about ``4 * trees * sample``
-    before the pool is ranked; every tree then takes its own ``sample`` rows.
+    A tree takes the ``sample`` rows with the smallest hash of (tree, key), so
+    the draw does not depend on partitioning.  Before they are ranked, rows whose
+    hash is beyond about four samples' share are left out of that tree.
     """
-    pool_size = trees * sample
-    total = features.count()
+    share = min(1.0, 4.0 * sample / max(1, features.count()))
     draw = F.xxhash64(F.lit(seed), *key)
     pool = features.select(*key, *[F.col(n).cast("double").alias(n) for n in names], draw.alias("_draw"))
-    if total > 4 * pool_size:
-        share = 4.0 * pool_size / total
-        pool = pool.filter(F.pmod(F.col("_draw"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
-    pool = pool.orderBy("_draw", *key).limit(pool_size).na.fill(0.0, names)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = W.partitionBy("tree").orderBy(F.xxhash64("tree", "_draw", *key), *key)
+    mine = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda tree: F.pmod(F.xxhash64(tree, F.col("_draw")), F.lit(1_000_003)) <= F.lit(int(share * 1_000_003)),
+    )
+    spread = pool.withColumn("tree", F.explode(mine)).na.fill(0.0, names)
+    rank = F.pmod(F.xxhash64("tree", "_draw"), F.lit(1_000_003))
+    order = W.partitionBy("tree").orderBy(rank, "_draw", *key)
     drawn = spread.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
     limit = math.ceil(math.log2(max(2, sample)))
 

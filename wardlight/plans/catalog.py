@@ -1023,6 +1023,29 @@ def zscore(spark, folder):
     return anomaly.zscore(anomaly.entity_features(x.sec(spark, folder)), ["events", "destinations"])
 
 
+@query
+def forest_scores(spark, folder):
+    """Scores by two trees whose cuts are given."""
+    forest = local_table(
+        spark,
+        [
+            (0, 0, 0, 100.0, 1, 2, 0.0),
+            (0, 1, -1, 0.0, -1, -1, 1.0),
+            (0, 2, 1, 30.0, 3, 4, 0.0),
+            (0, 3, -1, 0.0, -1, -1, 3.5),
+            (0, 4, -1, 0.0, -1, -1, 2.0),
+            (1, 0, 1, 50.0, 1, 2, 0.0),
+            (1, 1, -1, 0.0, -1, -1, 6.25),
+            (1, 2, -1, 0.0, -1, -1, 1.0),
+        ],
+        "tree int, node int, feature int, cut double, low int, high int, depth_end double",
+    )
+    events = t.table(spark, folder, "events").select(
+        "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k")
+    )
+    return anomaly.score_forest(events, ["value", "k"], forest).select("event_id", "anomaly_score")
+
+
 @query
 def isolation_forest(spark, folder):
     scored = anomaly.isolation_forest(anomaly.entity_features(x.sec(spark, folder)))

@@ -406,6 +406,15 @@ sql(
     "",
     "SELECT 'doc-' || doc_id || '.csv' AS file, CAST(0 AS INTEGER) AS position, text AS message, doc_id AS k FROM documents",
 )
+sql(
+    "forest_scores",
+    "",
+    """
+SELECT event_id, round(pow(2.0, -((CASE WHEN value < 100 THEN 1.0 WHEN k < 30 THEN 3.5 ELSE 2.0 END
+       + CASE WHEN k < 50 THEN 6.25 ELSE 1.0 END) / 2) / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)), 4) AS anomaly_score
+FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+""",
+)
 sql(
     "decompression_gate",
     "",
