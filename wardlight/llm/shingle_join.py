@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import blocks
 from wardlight.llm import textbytes as tb
 from wardlight.llm.components import components
-from wardlight.llm.tables import written
+from wardlight.llm.tables import sifted, written
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", s: Settings = Settings
 
     grouped = groups.withColumnRenamed("node", "id").withColumnRenamed("component", "key")
     chosen = written(grouped.join(classes, "id").select("id", "same", "mult", "key"), "candidates")
-    found_texts = texts.join(chosen, ["id", "same"]).dropDuplicates(["id"])
+    likely = sifted(texts, "id", chosen).where("_maybe").select("id", "same", "text")
+    found_texts = likely.join(chosen, ["id", "same"]).dropDuplicates(["id"])
 
     def sets(data, offsets):
         value, bounds = shingles(data, offsets, s.words)
