@@ -51,7 +51,7 @@ class Settings:
     length: int = 400
     stride: int = 100  # divides ``length``
     gram: int = 64  # bytes of an anchor
-    per_task: int = 4_096  # segments of one anchor that one task holds
+    per_task: int = 2_048  # segments of one anchor that one task holds
     shard_bytes: int = 1 << 18
     merge_bytes: int = 1 << 20
 

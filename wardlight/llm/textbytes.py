@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value per byte, and an odd base for the rolling hash.
