@@ -37,8 +37,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise the documents and pack them into training sequences."""
-    return queries.packed_pieces(docs)
+    """Tokenise the documents and pack them into training sequences, token ids included."""
+    return queries.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -419,3 +420,13 @@ def test_pipeline_on_awkward_documents(spark, awkward, labels, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = awkward.select(*corpus_pipeline.COLUMNS).limit(0)
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_pipeline_returns_the_token_ids(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 13), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.packed(spark, docs, "").toPandas().sort_values(["doc_id", "start"])
+    found = {k: np.frombuffer(b"".join(g.ids.map(bytes)), "<u4").tolist() for k, g in rows.groupby("doc_id")}
+    plain = tokenizers.Tokenizer.from_str(queries.word_tokenizer()).encode("one two three", add_special_tokens=False).ids
+    assert found == {1: [*plain, queries.END_ID], 2: [queries.END_ID]}
+    assert (rows.loss_tokens == rows.length).all() and (rows.ids_crc32 == rows.ids.map(zlib.crc32)).all()

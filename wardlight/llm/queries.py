@@ -171,9 +171,13 @@ def op9_packing(spark, folder):
     return packed_pieces(table(spark, folder, "documents"))
 
 
+def token_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of the packed documents, with their token ids."""
+    return packing.pack_texts(docs, word_tokenizer(), END_ID)
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack_texts(docs, word_tokenizer(), END_ID)
-    return pieces.select(
+    return token_pieces(docs).select(
         "doc_id",
         "start",
         "length",
