@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import quality_model, quality_rules, queries, repeats, shingle_join
+from wardlight.llm.tables import written
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,9 +25,18 @@ def robust_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    dropped = shingle_join.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one row of each group of near copies.
+
+    Rows are numbered first, so rows that repeat an id or have none take part
+    like any other.  The row with the smallest id stays; no id comes last.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = shingle_join.near_duplicates(rows, key="_row").where("n_links > 0")
+    linked = written(found.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row"), "linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    survivors = linked.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    dropped = written(linked.select("_row").join(survivors, "_row", "left_anti"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

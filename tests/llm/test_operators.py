@@ -430,3 +430,15 @@ def test_pipeline_returns_the_token_ids(spark):
     plain = tokenizers.Tokenizer.from_str(queries.word_tokenizer()).encode("one two three", add_special_tokens=False).ids
     assert found == {1: [*plain, queries.END_ID], 2: [queries.END_ID]}
     assert (rows.loss_tokens == rows.length).all() and (rows.ids_crc32 == rows.ids.map(zlib.crc32)).all()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rng = random.Random(11)
+    text, other, lone = (words(rng, 150) for _ in range(3))
+    near = text.replace(text.split()[70], "changed", 1)
+    rows = [(5, near), (5, near), (5, near), (7, text), (None, text), (None, text), (None, other), (None, other), (9, lone), (9, words(rng, 150))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.jaccard_join(spark, docs, "")
+    assert sorted_rows(kept, "doc_id", "text") == sorted([(5, near), (None, other), *rows[-2:]], key=repr)
+    cut = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(kept.collect(), docs.schema), "")
+    assert sorted_rows(cut, "doc_id", "text") == sorted_rows(kept, "doc_id", "text")
