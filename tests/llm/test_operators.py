@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wardlight.llm import archives, blocks, bytebpe, packing, preference, quality_model, quality_rules, queries
@@ -442,3 +443,24 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted_rows(kept, "doc_id", "text") == sorted([(5, near), (None, other), *rows[-2:]], key=repr)
     cut = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(kept.collect(), docs.schema), "")
     assert sorted_rows(cut, "doc_id", "text") == sorted_rows(kept, "doc_id", "text")
+
+
+def test_vectors_of_rare_lengths_are_indexed(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(2000, 16)))]
+    for size in range(3, 9):
+        v = rng.normal(size=size)
+        rows += [(9000 + 10 * size, v.tolist()), (9001 + 10 * size, (v + 0.001).tolist()), (9002 + 10 * size, (-v).tolist())]
+    s = vectors.Settings(sample=16)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(table, s=s).where("vec_id >= 9000").toPandas()
+    assert (got.n_links == (got.vec_id % 10 < 2)).all() and len(got) == 18
+    pivots = vectors.choose_pivots(vectors.usable(table, "vec_id", "embedding"), s)
+    assert set(pivots) == {16, *range(3, 9)} and 0 < len(pivots[16]) <= 16
+
+
+def test_pivots_of_one_length_are_its_first_vectors_by_hash(spark):
+    rows = vectors.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
+    s = vectors.Settings(sample=50, pivots=50, apart=2.0)
+    first = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(50).toPandas()
+    assert np.allclose(vectors.choose_pivots(rows, s)[64], vectors.unit_rows(np.array(first.v.tolist())))

@@ -5,8 +5,8 @@ order.  Inverted lists are kept for every set of ``shared`` pivots, so two
 vectors meet in a list exactly if their descriptions share that many pivots.
 Vectors that meet are verified by cosine in double precision.
 
-Pivots are a bounded sample (``pivots`` vectors out of at most ``sample``, no
-two of them close); every vector is indexed.  Equal vectors are one entry with
+Pivots are a bounded sample of each vector length (``pivots`` vectors out of at
+most ``sample``, no two of them close); every vector is indexed.  Equal vectors are one entry with
 a multiplicity.  Long lists are compared in blocks; only link counts and a
 spanning forest of each list leave a task.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import blocks
 from wardlight.llm.components import components
 from wardlight.llm.tables import written
+from wardlight.operators.ordering import first_n, small_side
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,19 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, s: Settings) -> dict[int, np.ndarray]:
-    """For each vector length, spread-out unit vectors from a bounded sample."""
-    taken = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(s.sample).select("v").toArrow()["v"].to_pylist()
+    """For each vector length, spread-out unit vectors from a bounded sample.
+
+    The sample of a length is its first ``sample`` vectors by hash.  A bound on
+    the hash, from the number of vectors, leaves little more than those to rank.
+    """
+    sized = rows.select("id", "v", F.size("v").alias("size"), F.xxhash64("id", F.lit("pivot")).alias("hash"))
+    lengths = small_side(sized.groupBy("size").agg(F.count("*").alias("n"), F.min("hash").alias("lowest")))
+    share = (s.sample + 8 * s.sample**0.5 + 32) / F.col("n")
+    low = (F.col("hash").cast("double") / 2.0**64 + 0.5 <= share) | (F.col("hash") == F.col("lowest"))
+    order = ["hash", "id", F.xxhash64("v")]
+    ranked = first_n(sized.join(lengths, "size").where(low), ["size"], order, s.sample, spread_by=F.xxhash64("v"))
+    found = ranked.select("v", "hash", "id", order[2].alias("tie")).toArrow().sort_by([(c, "ascending") for c in ("hash", "id", "tie")])
+    taken = found["v"].to_pylist()
     chosen: dict[int, np.ndarray] = {}
     for size in {len(v) for v in taken}:
         unit = unit_rows(np.array([v for v in taken if len(v) == size]))
@@ -84,8 +96,6 @@ def describe(rows: DataFrame, pivots: dict[int, np.ndarray], s: Settings) -> Dat
                 lists = batch.column("v")
                 sizes = np.array([len(x) for x in lists])
                 for size in np.unique(sizes):
-                    if size not in pivots:
-                        continue
                     here = np.flatnonzero(sizes == size)
                     part = batch.take(pa.array(here))
                     x = unit_rows(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
