@@ -83,6 +83,19 @@ def test_greedy_packing(skewed):
     assert parts.groupby(["key", "segment"]).size().max() == 100
 
 
+@pytest.mark.parametrize("segment_rows,max_rows,max_bytes", [(100, 20, 40_000), (7, 20, 40_000), (64, 1000, 3_000), (50, 1, 10**9)])
+def test_greedy_packing_spans_segments(spark, skewed, segment_rows, max_rows, max_bytes):
+    frame, _ = skewed
+    frame = frame.assign(key=frame["key"].where(frame["key"] != frame["key"].iloc[-1], None))
+    df = spark.createDataFrame(frame)
+    got = ledger.pack_batches_greedy(df, "key", "size", ["t", "id"], max_rows, max_bytes, segment_rows=segment_rows).toPandas()
+    assert len(got) == len(frame)
+    for key, rows in got.groupby("key", dropna=False):
+        rows = rows.sort_values(["t", "id"])
+        assert list(rows["batch_no"]) == _greedy(rows["size"], max_rows, max_bytes), key
+        assert list(rows["segment"]) == [k // segment_rows for k in range(len(rows))]
+
+
 def test_packing_bounds(skewed):
     _, df = skewed
     packed = ledger.pack_batches(df, "key", "size", ["t", "id"], 20, 40_000, largest_event=5000).toPandas()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from wardlight.functions import columns as c
 from wardlight.operators.correlate import latest_per_key
 from wardlight.operators.normalize import lookup
 from wardlight.operators.ordering import first_per_key, with_previous, with_running
+from wardlight.session import checkpointed
 
 FORWARD_BATCH = 200
 PACK_ROWS = 500
@@ -321,30 +323,94 @@ def pack_batches_greedy(
     max_bytes: int = PACK_BYTES,
     segment_rows: int = 50_000,
 ) -> DataFrame:
-    """Batches closed by whichever limit is reached first.
-
-    That rule is sequential, so each stream is cut into segments of exactly
-    ``segment_rows`` events and packed within a segment; a batch also ends at
-    a segment end.  No task packs more than one segment at a time.
+    """Batches closed by whichever limit is reached first, over the whole stream.
+
+    That rule is sequential, so each stream is cut into segments of
+    ``segment_rows`` events.  For each event that may be the first of a segment
+    to start a batch (one of the first ``max_rows``), the segment's summary
+    tells where the first batch of a later segment then starts, and how many
+    batches start in between.  The summaries are chained in order; then each
+    segment numbers its batches on its own.  Batches may span segments, and
+    ``segment_rows`` decides nothing but ``segment``.  A task holds one segment
+    (of ``max_rows`` events at least) and the ``max_rows`` events after it, or
+    one stream's summaries.
     Returns (stream, segment, batch_no, key order columns, size).
     """
-    numbered = with_running(events.select(stream, size, *order), [stream], order, number="_position")
-    segmented = numbered.withColumn("segment", F.floor((F.col("_position") - 1) / segment_rows))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_position")
-        batch, count, held, numbers = 0, 0, 0, []
-        for length in rows[size]:
-            if count and (count >= max_rows or held + length > max_bytes):
-                batch, count, held = batch + 1, 0, 0
-            count, held = count + 1, held + int(length)
-            numbers.append(batch)
-        return rows.assign(batch_no=numbers)
+    # A stream without a name is a stream too.
+    name = F.coalesce(F.concat(F.lit("="), F.col(stream).cast("string")), F.lit("")).alias("_stream")
+    numbered = with_running(events.select(stream, size, *order, name), ["_stream"], order, number="_position")
+    rows = segment_rows * -(-max(max_rows, 1) // segment_rows)  # a batch reaches into the next segment at most
+    at = F.col("_position") - 1
+    segmented = numbered.withColumns({"segment": F.floor(at / segment_rows), "_part": F.floor(at / rows)})
+
+    def next_starts(sizes: np.ndarray) -> np.ndarray:
+        """For each event the place of the first event after a batch that starts with it."""
+        if (sizes < 0).any():
+            raise ValueError("sizes must not be negative")
+        through = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(len(sizes))
+        fits = np.searchsorted(through, through[:-1] + max_bytes, side="right") - 1
+        return np.maximum(at + 1, np.minimum(at + max_rows, fits))
+
+    def summarise(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_position")
+        own, first = int(part["_owner"].iloc[0]), int(part["_position"].iloc[0])
+        held = int((part["_part"] == own).sum())
+        leave = next_starts(part["_size"].to_numpy(np.int64))[:held]
+        batches = np.ones(held, np.int64)
+        inside = np.flatnonzero(leave < held)
+        while len(inside):  # twice as many batches ahead each time
+            to = leave[inside]
+            leave[inside], batches[inside] = leave[to], batches[inside] + batches[to]
+            inside = inside[leave[inside] < held]
+        leave, batches = leave[: max(max_rows, 1)], batches[: max(max_rows, 1)]
+        runs = np.concatenate([[True], (np.diff(leave) != 0) | (np.diff(batches) != 0)])
+        return pd.DataFrame(
+            {
+                "_stream": part["_stream"].iloc[:1].to_numpy(),
+                "_part": [own],
+                "_first": [first],
+                "_held": [held],
+                "_from": [np.flatnonzero(runs)],
+                "_leave": [leave[runs] + first],
+                "_batches": [batches[runs]],
+            }
+        )
 
-    schema = T.StructType([*segmented.schema.fields, T.StructField("batch_no", T.LongType())])
-    return (
-        segmented.groupBy(stream, "segment").applyInPandas(pack, schema).drop("_position")
+    def chain(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("_part")
+        entry, batch, entries, numbers = 1, 0, [], []
+        for first, held, starts, leave, batches in zip(*(parts[c] for c in ("_first", "_held", "_from", "_leave", "_batches"))):
+            entries.append(entry)
+            numbers.append(batch)
+            if entry < first + held:
+                run = int(np.searchsorted(starts, entry - first, side="right")) - 1
+                entry, batch = int(leave[run]), batch + int(batches[run])
+        return parts[["_stream", "_part"]].assign(_entry=entries, _batch=numbers)
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_position")
+        follow = next_starts(part[size].to_numpy(np.int64))
+        starts = np.zeros(len(part), np.int64)
+        place = int(part["_entry"].iloc[0] - part["_position"].iloc[0])
+        while place < len(part):
+            starts[place] = 1
+            place = int(follow[place])
+        return part.assign(batch_no=int(part["_batch"].iloc[0]) - 1 + np.cumsum(starts))
+
+    # The first events of a part are read with the part before, whose last batch may take them.
+    reach = (at % rows < max_rows - 1) & (F.col("_part") > 0)
+    owners = F.when(reach, F.array(F.col("_part") - 1, "_part")).otherwise(F.array("_part"))
+    narrow = segmented.select("_stream", "_part", "_position", F.col(size).alias("_size"), F.explode(owners).alias("_owner"))
+    summaries = narrow.groupBy("_stream", "_owner").applyInPandas(
+        summarise,
+        "_stream string, _part long, _first long, _held long, _from array<long>, _leave array<long>, _batches array<long>",
     )
+    entries = summaries.groupBy("_stream").applyInPandas(chain, "_stream string, _part long, _entry long, _batch long")
+    entered = segmented.join(checkpointed(entries), ["_stream", "_part"])
+    schema = T.StructType([*entered.schema.fields, T.StructField("batch_no", T.LongType())])
+    packed = entered.groupBy("_stream", "_part").applyInPandas(pack, schema)
+    return packed.drop("_stream", "_part", "_position", "_entry", "_batch")
 
 
 def batch_health(outcomes: DataFrame) -> DataFrame:

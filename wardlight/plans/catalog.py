@@ -869,9 +869,11 @@ def pack_batches_greedy(spark, folder):
     packed = ledger.pack_batches_greedy(
         rows, "SourceType", "size", ["TimeGenerated", "EventRecordID"], max_rows=50, max_bytes=200_000
     )
-    return packed.groupBy("SourceType", "segment", "batch_no").agg(
-        F.count("*").alias("events"), F.sum("size").alias("bytes")
+    # A batch may span segments; it is listed under its first.
+    batches = packed.groupBy("SourceType", "batch_no").agg(
+        F.min("segment").alias("segment"), F.count("*").alias("events"), F.sum("size").alias("bytes")
     )
+    return batches.select("SourceType", "segment", "batch_no", "events", "bytes")
 
 
 @query
