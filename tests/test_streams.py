@@ -38,6 +38,17 @@ def test_normalize(spark, folder, pieces):
     assert rows(got.drop("UnmappedFields")) == rows(want.drop("UnmappedFields"))
 
 
+def test_normalize_accounts_for_every_message(spark, pieces):
+    raw = t.raw_messages(stream(spark, pieces))
+    n = F.split_part("id", F.lit(":"), F.lit(4)).cast("long") % 5
+    text = F.when(n == 0, F.repeat(F.lit("x"), 65_537)).when(n == 1, F.lit("not json")).when(n == 2, F.lit(None))
+    events, rejects = jobs.run_normalize(raw.withColumn("payload", F.when(n < 3, text).otherwise(F.col("payload"))), "n")
+    lost = dict(map(tuple, rejects.groupBy("EventType").agg(F.sum("EventCount")).collect()))
+    groups = dict(map(tuple, t.raw_messages(spark.read.parquet(pieces)).groupBy(n).count().collect()))
+    assert lost == {"EventSizeCap": groups[0], "ParseError": groups[1] + groups[2]}
+    assert events.count() == groups[3] + groups[4]
+
+
 def test_rate_limit_across_batches(spark, folder, pieces):
     got = jobs.stream_rate_limit(t.raw_messages(stream(spark, pieces)), 5, "3 days")
     kept = got.groupBy(

@@ -78,6 +78,22 @@ def size_rejects(gated: DataFrame, tag: str = "provenance_tag", at: str = "recei
     )
 
 
+def parse_rejects(rejects: DataFrame, tag: str = "provenance_tag", at: str = "received_at") -> DataFrame:
+    """Health rows for messages that could not be read, per source and hour."""
+    return (
+        rejects.groupBy(c.source_type(F.col(tag)).alias("SourceId"), F.date_trunc("hour", at).alias("TimeGenerated"), "reason")
+        .agg(F.count("*").alias("EventCount"), F.min("id").alias("first_id"))
+        .select(
+            "TimeGenerated",
+            F.col("reason").alias("EventType"),
+            F.lit("Warning").alias("Severity"),
+            "SourceId",
+            "EventCount",
+            F.concat(F.lit("first message: "), F.coalesce("first_id", F.lit(""))).alias("Detail"),
+        )
+    )
+
+
 def rate_limit(
     df: DataFrame,
     limit: int = EVENTS_PER_MINUTE,

@@ -1122,13 +1122,28 @@ def _stream(spark, folder):
     return t.stream_table(spark, folder, "events")
 
 
+def _normalized_stream(spark, folder):
+    return jobs.run_normalize(t.raw_messages(_stream(spark, folder)), "normalize")
+
+
 @query
 def stream_normalize(spark, folder):
-    out = jobs.run_available(jobs.stream_normalize(t.raw_messages(_stream(spark, folder))), "normalize")
+    out, _ = _normalized_stream(spark, folder)
     extra = F.get_json_object("UnmappedFields", "$.k").cast("int").alias("extra_k")
     return out.select(*NORMAL_COLUMNS, extra)
 
 
+@query
+def ingest_rejects(spark, folder):
+    """Health rows of a stream in which some messages are too large and some are cut short."""
+    k = F.pmod(F.split_part("id", F.lit(":"), F.lit(4)).cast("long"), F.lit(10))
+    broken = F.when(k == 3, F.repeat(F.lit("x"), 70_000)).when(k == 7, F.lit("{")).when(k == 9, F.lit(None))
+    raw = t.raw_messages(_stream(spark, folder))
+    raw = raw.withColumn("payload", F.when(k.isin(3, 7, 9), broken).otherwise(F.col("payload")))
+    _, rejects = jobs.run_normalize(raw, "rejects")
+    return rejects.groupBy("TimeGenerated", "EventType", "Severity", "SourceId").agg(F.sum("EventCount").alias("EventCount"))
+
+
 @query
 def stream_flood(spark, folder):
     flood = jobs.stream_flood(t.raw_messages(_stream(spark, folder)), 1)

@@ -350,6 +350,16 @@ FROM sec
 """
 sql("normalize_events", SEC, _NORMALIZED)
 sql("stream_normalize", SEC, _NORMALIZED)
+sql(
+    "ingest_rejects",
+    SEC,
+    """
+SELECT date_trunc('hour', IngestTimestamp) AS TimeGenerated,
+       CASE WHEN e % 10 = 3 THEN 'EventSizeCap' ELSE 'ParseError' END AS EventType,
+       'Warning' AS Severity, SourceType AS SourceId, count(*) AS EventCount
+FROM sec WHERE e % 10 IN (3, 7, 9) GROUP BY ALL
+""",
+)
 sql(
     "coerce_ints",
     SEC,

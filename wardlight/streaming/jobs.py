@@ -62,11 +62,54 @@ def run_batches(stream: DataFrame, label: str, write_batch, schema) -> DataFrame
 
 
 def stream_normalize(raw: DataFrame, limit_bytes: int = ingest.MAX_EVENT_BYTES) -> DataFrame:
-    """Size gate and normalisation; stateless, so it is the batch projection."""
+    """Size gate and normalisation; stateless, so it is the batch projection.
+
+    What it refuses is the second output of :func:`run_normalize`.
+    """
     gated = ingest.size_gate(raw, limit=limit_bytes).filter("accepted").drop("event_bytes", "accepted")
     return normalize.normalize_events(gated)
 
 
+def reject_rows(raw: DataFrame, limit_bytes: int = ingest.MAX_EVENT_BYTES) -> DataFrame:
+    """Health rows for every message that :func:`stream_normalize` refuses.
+
+    A message too large is not read; a missing one counts as unreadable.
+    """
+    gated = ingest.size_gate(raw, limit=limit_bytes)
+    unread = normalize.normalize_rejects(gated.filter(F.coalesce("accepted", F.lit(True))))
+    return ingest.size_rejects(gated).unionByName(ingest.parse_rejects(unread))
+
+
+def run_normalize(raw: DataFrame, label: str, limit_bytes: int = ingest.MAX_EVENT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Normalised events, and health rows for the messages refused, of what is there now.
+
+    Both are written per micro-batch under one checkpoint, so a source and
+    hour that spans batches has a health row in each.
+    """
+    spark = raw.sparkSession
+    out = scratch_path(spark, label)
+
+    def write_batch(frame: DataFrame, batch_id: int) -> None:
+        outputs = {"events": stream_normalize(frame, limit_bytes), "rejects": reject_rows(frame, limit_bytes)}
+        for name, rows in outputs.items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/{batch_id}")
+
+    query = (
+        raw.writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", f"{out}-state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
+        write_batch(spark.createDataFrame([], raw.schema), 0)  # nothing arrived: empty tables
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return (
+        reader.schema(stream_normalize(raw, limit_bytes).schema).parquet(f"{out}/events"),
+        reader.schema(reject_rows(raw, limit_bytes).schema).parquet(f"{out}/rejects"),
+    )
+
+
 def stream_dedup(events: DataFrame, key: str = "EventRecordID", lateness: str = LATENESS) -> DataFrame:
     """First arrival per record id within the watermark."""
     return events.withWatermark("TimeGenerated", lateness).dropDuplicatesWithinWatermark([key])
