@@ -445,6 +445,18 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted_rows(cut, "doc_id", "text") == sorted_rows(kept, "doc_id", "text")
 
 
+def test_jaccard_join_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(12)
+    a, b = words(rng, 150), words(rng, 150)
+    near = [a.replace(a.split()[k], "changed", 1) for k in (20, 70, 120)]
+    rows = [(1, a), (1, b), (1, b), (4, near[0]), (5, near[1]), (6, near[2]), (7, b.replace(b.split()[70], "changed", 1))]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    want = [(k, sum(5 * len(x & y) >= 4 * len(x | y) for y in sets) - 1) for (k, _), x in zip(rows, sets)]
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted_rows(got, "doc_id", "n_links") == sorted(want)
+    assert {r.component_id for r in got.collect()} == {1}
+
+
 def test_vectors_of_rare_lengths_are_indexed(spark):
     rng = np.random.default_rng(6)
     rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(2000, 16)))]

@@ -14,7 +14,8 @@ written out as pairs.
 
 Null texts count as empty; texts without words link with equal texts only.
 Rows without an id belong to no class and have no links.  Rows that repeat an
-id and its text are copies of each other.
+id and its text are copies of each other; one id with several texts is in as
+many classes, each with links of its own.
 """
 
 from __future__ import annotations
@@ -217,8 +218,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", s: Settings = Settings
 
     signed = written(tb.with_columns(texts, "text", sign, "signature binary", ["id", "same"]), "signatures")
     named = signed.where("id is not null")
-    classes = written(named.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("mult")), "classes")
-    own = named.where("signature is not null").join(classes, ["id", "same"]).select("id", "mult", "signature").dropDuplicates(["id"])
+    # Classes are numbered: their smallest ids may clash.
+    numbered = named.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
+    classes = written(numbered.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = named.where("signature is not null").join(classes, ["id", "same"])
+    own = member.select(F.col("node").alias("id"), "mult", "signature").dropDuplicates(["id"])
 
     lanes = [F.substring("signature", 1 + 2 * s.band * k, 2 * s.band) for k in range(s.bands)]
     keys = F.array(*[F.xxhash64(F.lit(k), lane) for k, lane in enumerate(lanes)])
@@ -228,10 +232,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", s: Settings = Settings
     pairs = blocks.block_units(met, s.bucket_block).mapInArrow(_candidates(s), "a long, b long")
     groups = components(pairs)
 
-    grouped = groups.withColumnRenamed("node", "id").withColumnRenamed("component", "key")
-    chosen = written(grouped.join(classes, "id").select("id", "same", "mult", "key"), "candidates")
+    grouped = groups.withColumnRenamed("component", "key")
+    chosen = written(grouped.join(classes, "node").select("id", "same", "mult", "node", "key"), "candidates")
     likely = sifted(texts, "id", chosen).where("_maybe").select("id", "same", "text")
-    found_texts = likely.join(chosen, ["id", "same"]).dropDuplicates(["id"])
+    found_texts = likely.join(chosen, ["id", "same"]).dropDuplicates(["node"]).drop("id").withColumnRenamed("node", "id")
 
     def sets(data, offsets):
         value, bounds = shingles(data, offsets, s.words)
@@ -242,13 +246,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", s: Settings = Settings
     sized = whole.join(whole.groupBy("key").agg(weight.cast("long").alias("n")), "key")
     checked = written(blocks.block_units(sized, s.verify_block).mapInArrow(_verify(s.threshold), "a long, b long, links long"), "links")
 
-    counts = checked.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    final = components(checked.where("a <> b").select("a", "b")).withColumnRenamed("node", "id")
-    per_class = classes.join(counts, "id", "left").join(final, "id", "left").select(
+    counts = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    final = written(components(checked.where("a <> b").select("a", "b")).join(classes.select("node", "id"), "node"), "members")
+    lowest = written(final.groupBy("component").agg(F.min("id").alias("component_id")), "lowest")
+    named_groups = final.join(lowest, "component").select("node", "component_id")
+    per_class = classes.join(counts, "node", "left").join(named_groups, "node", "left").select(
         "same",
         F.col("id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"),
     )
     rows = signed.select(F.col("id").alias(key), "same").withColumn("same", F.when(F.col(key).isNotNull(), F.col("same")))
     joined = rows.join(per_class, "same", "left")
