@@ -1,8 +1,9 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by an index of nearest pivots.
 
-Every vector is described by its ``nearest`` reference points (pivots), in
-order.  Inverted lists are kept for every set of ``shared`` pivots, so two
-vectors meet in a list exactly if their descriptions share that many pivots.
+Every vector is described by the set of its ``nearest`` reference points
+(pivots); their order is not used.  Inverted lists are kept for every set of ``shared`` pivots, so two
+vectors meet in a list exactly if their descriptions share that many pivots:
+equal keys find the pairs that counting shared pivots would, without the counts.
 Vectors that meet are verified by cosine in double precision.
 
 Pivots are a bounded sample of each vector length (``pivots`` vectors out of at
