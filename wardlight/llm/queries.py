@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import archives, bytebpe, packing, preference, quality_model, quality_rules, repeats, shingle_join, toxicity, vectors
+from wardlight.llm import archives, bytebpe, hard_negatives, packing, preference, quality_model, quality_rules, repeats
+from wardlight.llm import shingle_join, toxicity, url_rules, vectors, whitening
 from wardlight.llm.tables import written
 from wardlight.session import scratch_path
 
@@ -222,3 +223,77 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
 FROM d
 """
+
+
+#: Host rules, and pattern rules for what no host rule decides: sign-in pages and pages of listings.
+URL_RULES = [
+    url_rules.Rule("block", "net/"),
+    url_rules.Rule("allow", "example.net/en/"),
+    url_rules.Rule("block", "example.com/de/"),
+    url_rules.Rule("allow", "org/fr/"),
+    url_rules.Rule("block", "/login^", "pattern"),
+    url_rules.Rule("block", "?page=*&ref=", "pattern"),
+]
+
+
+@query
+def op11_url_rules(spark, folder):
+    return url_rules.judge(table(spark, folder, "pages"), URL_RULES, keep=["page_id"])
+
+
+ORACLES["op11_url_rules"] = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u
+), p AS (
+  SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
+), q AS (
+  SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
+    WHEN regexp_matches(url, '(?s)[?]page=.*&ref=') THEN '?page=*&ref='
+    WHEN regexp_matches(url, '/login([^A-Za-z0-9_.%-]|$)') THEN '/login^' END AS pattern FROM r
+)
+SELECT page_id, host, path, rule, pattern,
+  CASE WHEN rule IN ('net/', 'example.com/de/') OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM q
+"""
+
+
+@query
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
