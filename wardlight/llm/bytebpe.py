@@ -8,7 +8,7 @@ Each merge touches two neighbouring pairs, so a pre-token of n bytes takes
 about n log n steps, however long it is.
 
 Pre-tokens repeat, so each Python worker keeps the ids of those it has seen, up
-to a bound.  Null and empty texts give no ids; repeated rows give equal ids.
+to a bound in bytes.  Null and empty texts give no ids; repeated rows give equal ids.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from wardlight.llm import textbytes as tb
 
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
-CACHE_ENTRIES, CACHE_LENGTH = 800_000, 64
+CACHE_BYTES, CACHE_LENGTH = 128 << 20, 64
 
 
 def read_ranks(path: str, limit: int = 64 << 20) -> dict[bytes, int]:
@@ -112,14 +112,17 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.bytes = ranks, 0
+        self.tokens = token_list(ranks)
         self.split = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            self.bytes += len(piece) + len(ids) + tb.ENTRY_BYTES
+            if self.bytes > CACHE_BYTES:
                 self.clear()
+                self.bytes = 0
             self[piece] = ids
         return ids
 
@@ -157,7 +160,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
         encoder = tb.per_worker(name, lambda: Encoder(ranks, pattern))
         return [pa.array([encoder.encode(text) for text in _texts(data, offsets)], pa.binary())]
 
-    return tb.with_columns(docs, "text", work, "ids binary", keep)
+    return tb.with_columns(docs, "text", work, "ids binary", keep, name)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
@@ -166,13 +169,12 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: lis
 
     def work(data, offsets):
         encoder = tb.per_worker(name, lambda: Encoder(ranks, pattern))
-        tokens = tb.per_worker(f"{name} tokens", lambda: token_list(ranks))
         counts, of_ids, of_text = [], [], []
         for text in _texts(data, offsets):
             ids = encoder.encode(text)
             counts.append(len(ids) // 4)
             of_ids.append(sha256(ids).hexdigest())
-            of_text.append(sha256(decode(ids, tokens)).hexdigest())
+            of_text.append(sha256(decode(ids, encoder.tokens)).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
-    return tb.with_columns(docs, "text", work, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)
+    return tb.with_columns(docs, "text", work, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep, name)

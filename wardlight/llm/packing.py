@@ -199,17 +199,17 @@ class WordTokens(dict):
     """Ids of white-space-separated words by a ``tokenizers`` file, remembered by word.
 
     Such a tokenizer drops white space, so the ids of a text are those of its
-    words in turn.  Plain words go straight to the tokenizer's model, others
+    words in turn.  The remembered words are bounded in bytes.  Plain words go straight to the tokenizer's model, others
     through the whole tokenizer.
     """
 
-    def __init__(self, definition: str, end_id: int, entries: int = 800_000):
+    def __init__(self, definition: str, end_id: int, limit: int = 96 << 20):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.end, self.entries = np.array([end_id], "<u4").tobytes(), entries
+        self.end, self.limit, self.bytes = np.array([end_id], "<u4").tobytes(), limit, 0
         self.blank = bytes.maketrans(b"\t\n\r", b"   ")
 
     def __missing__(self, raw: bytes) -> bytes:
@@ -222,8 +222,10 @@ class WordTokens(dict):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         found = np.array(ids, "<u4").tobytes()
         if len(raw) <= 256:
-            if len(self) >= self.entries:
+            self.bytes += len(raw) + len(found) + tb.ENTRY_BYTES
+            if self.bytes > self.limit:
                 self.clear()
+                self.bytes = 0
             self[raw] = found
         return found
 
@@ -244,7 +246,7 @@ def pack_texts(docs: DataFrame, definition: str, end_id: int, limits: Limits = L
         tokens = tb.per_worker(name, lambda: WordTokens(definition, end_id))
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         kind = None
-        for batch in tb.slices(batches, "text"):
+        for batch in tb.slices(batches, "text", owner=name):
             kind = batch.column(key).type
 
             def packed(batch=batch):

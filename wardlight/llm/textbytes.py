@@ -6,6 +6,8 @@ slice (or the longest single text), not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE = 1 << 19
+#: What an entry of a dictionary of byte strings takes besides its bytes.
+ENTRY_BYTES = 170
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value per byte, and an odd base for the rolling hash.
@@ -34,17 +38,23 @@ IS_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers kept for good; longer runs are worked out anew.
+KEPT_POWERS = SLICE + 1
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below ``n``."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for slot, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[slot] = np.cumprod(steps)
+
+    def make(size: int, base: np.uint64) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[:1] = 1
+        return np.cumprod(steps)
+
+    if n > KEPT_POWERS:
+        return make(n, BASE), make(n, BASE_INVERSE)
+    if not _powers:
+        _powers.extend(make(KEPT_POWERS, base) for base in (BASE, BASE_INVERSE))
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -68,8 +78,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``limit`` bytes of text."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE, owner: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``limit`` bytes of text.
+
+    What another operator than ``owner`` left in the worker's store is let go.
+    """
+    release(owner)
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(lengths.astype(np.int64)) // limit
@@ -117,7 +133,9 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def with_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | None = None) -> DataFrame:
+def with_columns(
+    df: DataFrame, text: str, make, added: str, keep: list[str] | None = None, owner: str | None = None
+) -> DataFrame:
     """``df`` with columns computed from its ``text`` column, without a shuffle.
 
     ``make(data, offsets)`` gets a slice's bytes and row offsets and returns one
@@ -131,20 +149,37 @@ def with_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | N
     schema = StructType([source.schema[c] for c in kept] + list(new.fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", owner=owner):
             columns = make(*text_bytes(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *new.fieldNames()])
 
     return source.mapInArrow(work, schema)
 
 
-def per_worker(name: str, make: Callable[[], object]) -> object:
-    """``make()``, kept for as long as this Python worker lives.
+def _store() -> dict:
+    return sys.modules.setdefault("wardlight_worker_store", types.ModuleType("wardlight_worker_store")).__dict__.setdefault("held", {})
+
+
+def per_worker(owner: str, make: Callable[[], object]) -> object:
+    """``make()``, kept in this Python worker until another operator works in it.
 
     Spark gives a worker task after task; a cache of pure results held here
-    serves all of them.  What is held must be bounded.
+    serves all of them.  A worker holds one such value at a time, and what is
+    held must be bounded in bytes.
     """
-    store = sys.modules.setdefault("wardlight_worker_store", types.ModuleType("wardlight_worker_store")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    held = _store()
+    if owner not in held:
+        release()
+        held[owner] = make()
+    return held[owner]
+
+
+def release(owner: str | None = None) -> None:
+    """Let go of what other operators than ``owner`` hold, and give the memory back."""
+    held = _store()
+    if not held or owner in held:
+        return
+    held.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can be asked
+        ctypes.CDLL(None).malloc_trim(0)
