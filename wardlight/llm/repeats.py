@@ -51,9 +51,10 @@ class Settings:
     length: int = 400
     stride: int = 100  # divides ``length``
     gram: int = 64  # bytes of an anchor
-    per_task: int = 2_048  # segments of one anchor that one task holds
-    shard_bytes: int = 1 << 18
-    merge_bytes: int = 1 << 20
+    per_task: int = 1_024  # segments of one anchor that one task holds
+    slice_bytes: int = 1 << 18
+    shard_bytes: int = 1 << 17
+    merge_bytes: int = 1 << 19
 
 
 # -- anchors --------------------------------------------------------------------
@@ -220,7 +221,8 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, s: Settings) -> tu
     Returns flags by byte position (windows that repeat; windows that lead an
     interval of equal ones) and where each segment begins.  Each segment is
     followed by one byte that stands for its end.  Symbols are 32-bit hashes of
-    blocks; neighbours in an interval are checked by a 64-bit hash of the window.
+    blocks; an interval is parted, and where needed sorted, by a 64-bit hash of the
+    window, so that windows whose symbols collide are told apart.
     """
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -243,7 +245,11 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, s: Settings) -> tu
     if len(order):
         prints = hasher.ranges(order, order + s.length)
         lead[0] = True
-        lead[1:] |= prints[1:] != prints[:-1]
+        if (~lead[1:] & (prints[1:] != prints[:-1])).any():  # symbols collide
+            block = np.cumsum(lead)
+            again = np.lexsort((prints, block))
+            order, prints = order[again], prints[again]
+            lead[1:] |= prints[1:] != prints[:-1]
         interval = np.cumsum(lead) - 1
         weight = np.bincount(interval, weights[segment[order]])
         repeated[order] = weight[interval] > 1
@@ -262,7 +268,7 @@ def _occurrences(s: Settings):
     """Segments of every text, equal ones of a text together: (same, anchor, content, starts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, "text"):
+        for batch in tb.slices(batches, "text", s.slice_bytes):
             data, offsets = tb.text_bytes(batch.column("text"))
             found = find_segments(data, offsets, s)
             if not len(found.row):
@@ -289,7 +295,9 @@ def _occurrences(s: Settings):
 
 def _cut_out(s: Settings):
     """The chosen segments of each text with their bytes."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.release()
         for batch in batches:
             for packed, size, wanted in zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist(), batch.column("wanted")):
                 raw = pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
@@ -324,6 +332,7 @@ def _merged(s: Settings, buckets: int):
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.release()
         for table in blocks.whole_units(batches, max(1, s.merge_bytes // (2 * s.length))):
             anchor, content, weight, salts = (table[c].to_numpy() for c in ("anchor", "content", "weight", "salts"))
             texts = table["bytes"].to_pylist()
