@@ -41,3 +41,21 @@ def sifted(df: DataFrame, column: str, keys: DataFrame, flag: str = "_maybe") ->
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
+
+
+def first_by_hash(df: DataFrame, place: str, rows: int, size: str | None = None, most: int = 0) -> DataFrame:
+    """The rows of ``df`` whose ``place`` (a 64-bit hash) comes first, within bounds.
+
+    At most ``rows`` rows, and at most ``most`` of the sum of ``size``, are kept:
+    whole slices of the hash, of which there are 4096, in order.
+    """
+    slot = F.shiftrightunsigned(place, 52)
+    total = F.sum(size) if size else F.lit(0)
+    parts = df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), total.alias("size")).collect()
+    n = weight = last = 0
+    for part in sorted(parts, key=lambda r: r["slot"]):
+        n, weight = n + part["n"], weight + part["size"]
+        if n > rows or weight > most > 0:
+            break
+        last = part["slot"] + 1
+    return df.where(slot < last)
