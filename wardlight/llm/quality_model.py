@@ -10,8 +10,10 @@
    temperature fitted on rows kept out of training calibrates its output.
 
 Null and empty texts have no tokens: their vector is zero and they get the
-network's answer to a zero vector.  Repeated rows score alike.  Without any
-usable label the score is 0.5.  Extra input columns are ignored.
+network's answer to a zero vector; very long texts are pooled whole.  Repeated
+rows score alike; rows that tie in the order of the sample are equal.  Without any
+usable label the score is 0.5, and an empty table gives an empty result.  Input
+columns may have any names; one called ``score`` gives way.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textbytes as tb
+from wardlight.llm.tables import first_by_hash, written
 
 NEIGHBOURS = (1, 2)
 NONZERO = 2
@@ -199,16 +202,20 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality", key: str = "doc_id") -> Model:
     """Word vectors from all of ``docs``, the network from the labelled sample.
 
-    The sample holds at most about ``max_labelled`` keys, so it may be broadcast.
+    The sample holds at most about ``max_labelled`` keys, so it may be broadcast;
+    of the rows that have them at most twice as many are learnt from, the first
+    by a hash of key and text, in that order, however the table is cut.
     """
     vectors = word_vectors(docs, s)
     sample = labelled_sample(labels, key, label, s.max_labelled)
-    rows = docs.select(key, "text").join(F.broadcast(sample), key)
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), key)
+    rows = rows.withColumn("place", F.xxhash64(key, "text", F.lit("place")))
 
     def work(data, offsets):
         return [pa.array([v.tobytes() for v in pooled(data, offsets, vectors)], pa.binary())]
 
-    got = tb.with_columns(rows, "text", work, "vector binary", ["y"]).toArrow()
+    found = written(tb.with_columns(rows, "text", work, "vector binary", ["place", "y"]), "quality-sample")
+    got = first_by_hash(found, "place", 2 * s.max_labelled).toArrow().sort_by([(c, "ascending") for c in ("place", "y")])
     x = np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(got.num_rows, 3 * s.dims)
     return Model(vectors, fit(x.astype(np.float64), got["y"].to_numpy(), s))
 
