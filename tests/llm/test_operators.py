@@ -85,6 +85,82 @@ def test_scoring_awkward_tables(spark, awkward, labels):
         assert toxicity.score(docs, tox, ["doc_id"]).where("score is null").count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    known = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = spark.createDataFrame(docs.collect() * 2, docs.schema)
+    for module, settings in ((quality_model, quality_model.Settings(epochs=3)), (toxicity, toxicity.Settings(epochs=3))):
+        found = []
+        for n in (1, 7):
+            model = module.learn(docs.repartition(n), known, settings)
+            found.append(sorted((r.doc_id, r.score) for r in module.score(docs, model, ["doc_id"]).collect()))
+        assert found[0] == found[1]
+
+
+def test_samples_are_bounded(spark):
+    from wardlight.llm.tables import first_by_hash
+
+    rows = spark.range(20_000).withColumn("place", F.xxhash64("id")).withColumn("size", F.lit(3))
+    kept = first_by_hash(rows, "place", 5000)
+    assert 4900 < kept.count() <= 5000 and kept.count() == first_by_hash(rows.repartition(9), "place", 5000).count()
+    assert 2900 < first_by_hash(rows, "place", 5000, "size", 9000).count() <= 3000
+    assert first_by_hash(rows, "place", 10**9).count() == 20_000 and first_by_hash(rows.limit(0), "place", 5).count() == 0
+
+
+def test_convolution_matches_plain_loops():
+    rng = np.random.default_rng(1)
+    texts = [b"", b"one", b"one two three four", "é deux".encode(), b"a b a b a b"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    buckets, filters = 50, 2
+    words_, bounds = toxicity.words_of(data, offsets, buckets)
+    table = np.vstack([rng.normal(size=(buckets, len(toxicity.TAPS) * filters)), np.zeros((1, len(toxicity.TAPS) * filters))])
+    bias = rng.normal(size=len(toxicity.WIDTHS) * filters)
+    peaks, _ = toxicity.convolve(table, bias, words_, bounds)
+    for row in range(len(texts)):
+        mine = words_[bounds[row] : bounds[row + 1]]
+        n = len(mine) - 2  # two padding words at the end
+        for b, width in enumerate(toxicity.WIDTHS):
+            for f in range(filters):
+                best = -np.inf
+                for at in range(max(n, 0)):
+                    value = 0.0
+                    for k in range(width):
+                        for part in range(toxicity.PARTS):
+                            value += table[mine[at + k, part], toxicity.TAPS.index((width, k)) * filters + f]
+                    best = max(best, value)
+                want = (best if n else 0.0) + bias[b * filters + f]
+                assert peaks[row, b * filters + f] == pytest.approx(want)
+
+
+def test_calibration_fits_slope_and_shift():
+    rng = np.random.default_rng(0)
+    logits = rng.normal(size=4000) * 3
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * logits - 1)))).astype(float)
+    slope, shift = toxicity.calibration(logits, truth)
+    assert slope == pytest.approx(0.5, abs=0.06) and shift == pytest.approx(-1, abs=0.15)
+    slope, shift = toxicity.calibration(np.array([-1.0, -0.5, 0.5, 1.0]), np.array([0.0, 0, 1, 1]))
+    assert 0 < slope < 1000 and abs(shift) < 10 and toxicity.calibration(logits, np.ones(4000)) == (1.0, 0.0)
+
+
+def test_pooled_vectors_match_plain_loops():
+    rng = np.random.default_rng(2)
+    texts = [b"", b"x", b"a, b a", "été #a".encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    vectors_ = rng.normal(size=(64, 3)).astype(np.float32)
+    ids_, bounds = quality_model.tokens(data, offsets, 64)
+    got = quality_model.pooled(data, offsets, vectors_)
+    for row in range(len(texts)):
+        own = [vectors_[k].astype(float) for k in ids_[bounds[row] : bounds[row + 1]]]
+        n = len(own)
+        want = np.zeros((3, 3))
+        for i, v in enumerate(own):
+            want[0] += v / n
+            want[1] += v * v / n
+            if i + 1 < n:
+                want[2] += v * own[i + 1] / n
+        assert np.allclose(got[row], want.ravel(), atol=1e-6)
+
+
 def test_word_vectors_do_not_depend_on_partitions(spark, awkward):
     s = quality_model.Settings(buckets=256, dims=8)
     one = quality_model.word_vectors(awkward.coalesce(1), s)
@@ -133,6 +209,100 @@ def test_rules_on_awkward_tables(spark, awkward):
     assert quality_rules.judge(empty(stats), quality_rules.fit(empty(stats))).count() == 0
 
 
+def brute_distances(stats, s):
+    """Distances of the rows of one group: the estimate in plain numpy, over single rows."""
+    q = quality_rules
+    rows = stats.to_dict("records")
+    x = []
+    for r in rows:
+        w, c = max(r["n_words"], 1), max(r["word_chars"], 1)
+        x.append([np.log(w), r["word_chars"] / w, np.log1p(1000 * r["n_symbols"] / c), 100 * r["n_dup_lines"] / w, r["n_repeat_words"] / w])
+    x = np.floor(1000 * np.array(x) + 0.5)
+    fine = np.array([not r["base_failed"] for r in rows])
+    distinct, m = np.unique(x[fine], axis=0, return_counts=True)
+
+    def distance(mean, cov, z):
+        return np.array([(v - mean) @ np.linalg.inv(cov) @ (v - mean) for v in z])
+
+    def moments(z, weight, share):
+        mean = sum(w * v for w, v in zip(weight, z)) / weight.sum()
+        cov = sum(w * np.outer(v - mean, v - mean) for w, v in zip(weight, z)) / weight.sum()
+        return mean, q.consistency(share) * cov + s.ridge
+
+    best, falls = None, []
+    for mean, cov in q.find_starts(distinct, m, s):
+        last = np.inf
+        while True:
+            level = np.floor(64 * np.log2(1 + distance(mean, cov, x[fine])))
+            weight, left = np.zeros(fine.sum()), s.share * fine.sum()
+            for k in np.unique(level):
+                weight[level == k] = min(1.0, left / (level == k).sum())
+                left -= weight[level == k].sum()
+            new = moments(x[fine], weight, s.share)
+            value = np.linalg.slogdet(new[1])[1]
+            falls.append((last, value))
+            if value >= last - 1e-9:
+                break
+            (mean, cov), last = new, value
+        if best is None or last < best[0]:
+            best = (last, mean, cov)
+    near = distance(best[1], best[2], x[fine]) <= 12.832502
+    return best[0], distance(*moments(x[fine][near], np.ones(near.sum()), 0.975), x), distinct, m
+
+
+def test_outlier_estimate_matches_plain_loops(spark):
+    rng = random.Random(11)
+    rows = [(k, words(rng, rng.randint(55, 300)) + " #" * rng.choice([0, 0, 1, 3]) + "\nsame line\nsame line" * rng.choice([0, 0, 0, 2])) for k in range(150)]
+    rows += [(1000 + k, " ".join(w + "$$" for w in words(rng, 80).split())) for k in range(12)] + [(3, rows[3][1]), (2000, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    s = quality_rules.Settings()
+    stats = quality_rules.statistics(docs)
+    judged = quality_rules.judge(stats, quality_rules.fit(stats, s)).toPandas()
+    logdet, want, distinct, m = brute_distances(judged, s)
+    assert np.allclose(judged.distance2, want, rtol=1e-6, atol=1e-8)
+    assert (judged.kept == (~judged.base_failed & (want <= quality_rules.chi2_quantile(1 - s.tail)))).all()
+    # No start of many finds a clearly smaller determinant on the group's rows.
+    gen = np.random.default_rng(1)
+    tried = []
+    for _ in range(200):
+        drawn = distinct[gen.choice(len(distinct), 6, replace=False)]
+        cov = np.cov(drawn.T, bias=True) + s.ridge
+        tried.append(quality_rules.concentrated(distinct, m.astype(float), drawn.mean(0), cov, s, 100)[0])
+    assert logdet <= min(tried) + 0.02
+
+
+def test_determinants_fall(spark):
+    gen = np.random.default_rng(2)
+    x = np.vstack([gen.normal(size=(300, 5)) * 1000, gen.normal(size=(60, 5)) * 300 + 9000])
+    s = quality_rules.Settings()
+    mean, cov = x[:6].mean(0), np.cov(x[:6].T, bias=True) + s.ridge
+    seen = []
+    for steps in range(1, 12):
+        seen.append(quality_rules.concentrated(x, np.ones(len(x)), mean, cov, s, steps)[0])
+    assert all(b <= a for a, b in zip(seen, seen[1:])) and seen[-1] < seen[0]
+    start = quality_rules.find_starts(x, np.ones(len(x)), s)[0]
+    assert np.abs(start[0]).max() < 500  # not drawn towards the outliers
+
+
+def test_chi_squared_quantiles():
+    for share, want in ((0.5, 4.351460), (0.75, 6.625680), (0.975, 12.832502), (0.999, 20.515006)):
+        assert quality_rules.chi2_quantile(share) == pytest.approx(want, abs=1e-5)
+    draws = (np.random.default_rng(0).normal(size=(400_000, 7)) ** 2).sum(1)
+    assert quality_rules.chi2_below(6.0, 7) == pytest.approx((draws <= 6).mean(), abs=3e-3)
+
+
+def test_rules_pass_on_columns_of_any_name(spark):
+    rng = random.Random(5)
+    names = ["c0", "p00", "x0", "k_lang", "k_source", "g_lang", "row", "start", "level", "m", "n", "logdet", "distance2", "kept", "n_words"]
+    rows = [(k, words(rng, 80), "en", "s", *[f"{name}{k}" for name in names]) for k in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    stats = quality_rules.statistics(docs)
+    judged = quality_rules.judge(stats, quality_rules.fit(stats))
+    for r in judged.collect():
+        assert all(r[name] == f"{name}{r.doc_id}" for name in names[:-3])
+        assert isinstance(r.kept, bool) and isinstance(r.distance2, float) and isinstance(r.n_words, int)
+
+
 # -- near duplicates ----------------------------------------------------------------
 
 
@@ -374,7 +544,9 @@ def test_archives_of_awkward_pages(spark, tmp_path):
     records = archives.arc_to_records(arcs)
     assert records.count() == len(rows) and {bytes(r.content).split(b"\n")[1][:1] for r in arcs.collect()} == {b"1", b"2"}
     path = str(tmp_path / "warc")
-    archives.write_warc(archives.warc_records(archives.mark_revisits(records)), path, records_per_file=2)
+    archives.write_warc(archives.warc_records(archives.mark_revisits(records)), path, file_bytes=900)
+    sizes = [len(archives.inflate(bytes(r.content))) for r in spark.read.format("binaryFile").load(path + "/*.gz").collect()]
+    assert len(sizes) > 2 and sorted(sizes)[-2] <= 1_800 and max(sizes) > 180_000
     got = archives.read_warc(spark, path)
     kinds = sorted((r.page_key is None, r.page_key, r.warc_type, r.payload_bytes) for r in got.collect() if r.page_key is not None)
     assert kinds == [(False, -3, "response", 180_000), (False, 1, "revisit", 6), (False, 2, "revisit", 0), (False, 5, "response", 0), (False, 7, "response", 6), (False, 7, "response", 6)]
@@ -467,7 +639,7 @@ def test_vectors_of_rare_lengths_are_indexed(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = vectors.near_duplicates(table, s=s).where("vec_id >= 9000").toPandas()
     assert (got.n_links == (got.vec_id % 10 < 2)).all() and len(got) == 18
-    pivots = vectors.choose_pivots(vectors.usable(table, "vec_id", "embedding"), s)
+    pivots = pivots_of(vectors.choose_pivots(vectors.usable(table, "vec_id", "embedding"), s))
     assert set(pivots) == {16, *range(3, 9)} and 0 < len(pivots[16]) <= 16
 
 
@@ -475,4 +647,79 @@ def test_pivots_of_one_length_are_its_first_vectors_by_hash(spark):
     rows = vectors.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
     s = vectors.Settings(sample=50, pivots=50, apart=2.0)
     first = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(50).toPandas()
-    assert np.allclose(vectors.choose_pivots(rows, s)[64], vectors.unit_rows(np.array(first.v.tolist())))
+    assert np.allclose(pivots_of(vectors.choose_pivots(rows, s))[64], vectors.unit_rows(np.array(first.v.tolist())))
+
+
+def pivots_of(table):
+    return {r["size"]: np.frombuffer(r["points"]).reshape(-1, r["size"]) for r in table.collect()}
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs that are barely alike, among vectors without any structure: at least 0.97 are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.99, (len(x), 1))
+    y = cos * x + np.sqrt(1 - cos**2) * aside
+    rows = [(2 * k + side, v.tolist()) for side, part in enumerate((x, y)) for k, v in enumerate(part)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert (got.n_links <= 1).all() and (got.component_id == got.vec_id - got.n_links * (got.vec_id % 2)).all()
+    assert got.n_links.mean() >= 0.97
+
+
+def test_weights_of_shared_pivots():
+    rng = np.random.default_rng(3)
+    s = vectors.Settings()
+    near = np.array([rng.permutation(12)[:7] for _ in range(40)]).astype(np.int16)
+    left, right = np.array([(a, b) for a in range(40) for b in range(40)]).T
+    weight, place = vectors.shared_pivots(near, left, right, s)
+    for a, b, w, p in zip(left, right, weight, place):
+        common = [(list(near[a]).index(v), list(near[b]).index(v)) for v in set(near[a]) & set(near[b])]
+        assert w == sum(7 - max(pair) for pair in common)
+        assert {(r, int(q)) for r, q in enumerate(p) if q < 1000} == set(common)
+
+
+def test_windows_whose_symbols_collide_are_still_met(monkeypatch):
+    """All blocks share one symbol, so intervals mix windows of different content."""
+    rng = random.Random(4)
+    parts = ["".join(rng.choice("ab") for _ in range(8)) for _ in range(6)]
+    texts = [(parts[rng.randrange(6)] + parts[rng.randrange(6)]).encode() for _ in range(30)]
+    texts = sorted(set(texts))
+    real = repeats.tb.Hasher.ranges
+
+    def weak(self, starts, ends):
+        found = real(self, starts, ends)
+        short = (np.asarray(ends) - np.asarray(starts)) == 4
+        return np.where(short, np.uint64(7 << 32), found)
+
+    monkeypatch.setattr(repeats.tb.Hasher, "ranges", weak)
+    s = repeats.Settings(length=8, stride=4, gram=4)
+    flags, _, bounds = repeats.repeated_windows(texts, np.ones(len(texts)), s)
+    windows = Counter(t[i : i + 8] for t in texts for i in range(len(t) - 7))
+    want = [windows[t[i : i + 8]] > 1 and i + 8 <= len(t) for t in texts for i in range(len(t) + 1)]
+    assert flags.tolist() == want
+
+
+def test_worker_store_holds_one_value_at_a_time():
+    from wardlight.llm import textbytes as tb
+
+    tb.release()
+    first = tb.per_worker("a", dict)
+    assert tb.per_worker("a", dict) is first
+    tb.release("a")
+    assert tb.per_worker("a", dict) is first
+    tb.per_worker("b", list)
+    assert tb.per_worker("a", dict) is not first
+    tb.release()
+    assert not tb._store()
+
+
+def test_caches_are_bounded_in_bytes():
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokens = packing.WordTokens(file.read(), 2, limit=20_000)
+    plain = [tokens.encode(f"word{k} other{k}".encode()).tolist() for k in range(500)]
+    assert len(tokens) < 120 and plain == [tokens.encode(f"word{k} other{k}".encode()).tolist() for k in range(500)]

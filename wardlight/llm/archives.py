@@ -11,7 +11,10 @@ Among records with equal payloads of at least ``least_bytes`` bytes the one
 with the largest key stays a response, others become revisits that refer to
 it.  Null payloads count as empty; a null key sorts below every other; rows
 that repeat a key and its payload stay responses together.  A null URL is
-written as ``-``.  Malformed ARC data raises ValueError with the file and place.
+written as ``-``.  Very long payloads are kept whole, in a file of their own; ties
+in the largest key are settled by record id; an empty table gives empty archives and
+no records.  Columns of the input other than key, URL and payload are not read.
+Malformed ARC data raises ValueError with the file and place.
 """
 
 from __future__ import annotations
@@ -259,14 +262,31 @@ def _serialise(r: dict) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2_000) -> None:
-    """Serialised records as gzipped WARC files of at most ``records_per_file``.
+def write_warc(records: DataFrame, path: str, file_bytes: int = 16 << 20) -> None:
+    """Serialised records as gzipped WARC files of at most about ``file_bytes`` before compression.
 
-    Spark's own text writer puts the closing blank lines after each record, so
-    the files may lie in any store that Spark can write to.
+    A file holds the records of one row, joined here; a record longer than the
+    bound has a file of its own.  Spark's own text writer puts the closing blank
+    lines after the last one, so the files may lie in any store that Spark can
+    write to, and a task that is run again writes its files again.
     """
-    writer = records.select(F.col("record").cast("string")).write.option("lineSep", END.decode())
-    writer.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for record in batch.column("record"):
+                raw = record.as_py()
+                if held and size + len(raw) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], ["record"])
+                    held, size = [], 0
+                held.append(raw)
+                size += len(raw) + len(END)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], ["record"])
+
+    writer = records.mapInArrow(joined, "record binary").select(F.col("record").cast("string")).write
+    writer.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(path: str, data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -289,7 +309,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Records of all WARC files under ``path``; digests are verified.
 
     A revisit's payload is not in the archive: its digest and length are those
-    that it declares.  Memory follows the largest file.
+    that it declares.  Memory follows the largest file, which :func:`write_warc` bounds.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
