@@ -241,9 +241,12 @@ def brute_distances(stats, s):
             new = moments(x[fine], weight, s.share)
             value = np.linalg.slogdet(new[1])[1]
             falls.append((last, value))
-            if value >= last - 1e-9:
+            if value < last:
+                (mean, cov), kept = new, value
+            if value >= last - s.falls:
+                last = kept
                 break
-            (mean, cov), last = new, value
+            last = value
         if best is None or last < best[0]:
             best = (last, mean, cov)
     near = distance(best[1], best[2], x[fine]) <= 12.832502

@@ -121,6 +121,7 @@ class Settings:
     max_repeated: int = 50  # per cent of the words
     share: float = 0.75  # of a group that must lie within the estimate
     steps: int = 12  # concentration steps at most
+    falls: float = 1e-3  # by less than this the logarithm of a determinant no longer falls
     least: int = 50  # usable rows that a group needs for an estimate of its own
     sample: int = 512  # distinct vectors of a group, about, that starts are sought in
     draws: int = 40
@@ -298,20 +299,19 @@ def fit(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
     for _ in range(s.steps):
         parts = keyed.join(model.where("not done"), ["g_lang", "g_source"])
         level = F.least((OCTAVE * F.log2(1 + _distance())).cast("int"), F.lit(CLASSES - 1)).alias("level")
+        # The estimate so far goes along, to be kept where the next one is no better.
+        so_far = [F.first(c).alias(c) for c in NAMES[3:]]
         # Written, so that the sums are dealt out by class and only then met by group.
-        parts = written(parts.groupBy("g_lang", "g_source", "start", level).agg(*_sums()), "quality-classes")
-        new = parts.groupBy("g_lang", "g_source", "start").applyInPandas(_concentrate(s), MODEL).withColumnsRenamed({c: f"new_{c}" for c in NAMES[3:]})
-        met = model.join(new, NAMES[:3], "left")
-        falls = F.coalesce(F.col("new_logdet") < F.col("logdet") - 1e-9, F.lit(False))
-        taken = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in NAMES[3:]]
-        model = written(met.select(*NAMES[:3], *taken, (~falls).alias("done")), "quality-model")
+        parts = written(parts.groupBy("g_lang", "g_source", "start", level).agg(*_sums(), *so_far), "quality-classes")
+        new = parts.groupBy("g_lang", "g_source", "start").applyInPandas(_concentrate(s), f"{MODEL}, done boolean")
+        model = written(model.where("done").unionByName(new), "quality-model")
         if model.where("not done").isEmpty():
             break
     best = model.groupBy("g_lang", "g_source").agg(F.min_by(F.struct(*NAMES[3:]), F.struct("logdet", "start")).alias("best")).select("g_lang", "g_source", "best.*")
     near = keyed.join(best, ["g_lang", "g_source"]).where(_distance() <= chi2_quantile(0.975))
     parts = written(near.groupBy("g_lang", "g_source", F.pmod(F.xxhash64(*X), F.lit(64)).alias("level")).agg(*_sums()), "quality-near")
-    final = parts.withColumn("start", F.lit(0)).groupBy("g_lang", "g_source", "start").applyInPandas(_concentrate(s, reweight=True), MODEL)
-    return written(groups.join(final, ["g_lang", "g_source"]).drop("g_lang", "g_source", "start", "logdet"), "quality-model")
+    final = parts.withColumn("start", F.lit(0)).groupBy("g_lang", "g_source", "start").applyInPandas(_concentrate(s, reweight=True), f"{MODEL}, done boolean")
+    return written(groups.join(final, ["g_lang", "g_source"]).drop("g_lang", "g_source", "start", "logdet", "done"), "quality-model")
 
 
 def _starts(keyed: DataFrame, s: Settings) -> DataFrame:
@@ -357,7 +357,11 @@ def _concentrate(s: Settings, reweight: bool = False):
             products[i, j] = products[j, i] = weight @ parts[f"s{i}{j}"].to_numpy()
         mean, cov = estimate(float(weight @ n), sums, products, s, 0.975 if reweight else s.share)
         first = parts.iloc[0]
-        return pd.DataFrame([(first.g_lang, first.g_source, int(first.start), *values(mean, cov))], columns=NAMES)
+        found = values(mean, cov)
+        done = not reweight and not found[-1] < first["logdet"] - s.falls
+        if done and found[-1] >= first["logdet"]:
+            found = tuple(float(first[c]) for c in NAMES[3:])
+        return pd.DataFrame([(first.g_lang, first.g_source, int(first.start), *found, done)], columns=[*NAMES, "done"])
 
     return work
 
