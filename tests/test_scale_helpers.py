@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import correlate, ingest, ledger
-from wardlight.operators.ordering import exact_percentiles, first_n, with_previous, with_running
+from wardlight.operators.ordering import first_n, percentiles, small_side, with_previous, with_running
 
 
 @pytest.fixture(scope="module")
@@ -55,9 +55,26 @@ def test_first_n_is_exact(skewed):
 def test_percentiles(spark, n):
     values = np.random.default_rng(n).integers(0, 100_000, n)
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
-    row = exact_percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, width=777).collect()[0]
-    assert row.p50 == pytest.approx(np.quantile(values, 0.5))
-    assert row.p95 == pytest.approx(np.quantile(values, 0.95))
+    for bins in (2, 16, 4096):
+        got = percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, bins)
+        assert got["p50"] == pytest.approx(np.quantile(values, 0.5))
+        assert got["p95"] == pytest.approx(np.quantile(values, 0.95))
+
+
+def test_percentiles_of_wild_values(spark):
+    """The range of the values costs passes, not memory; nulls do not count."""
+    values = [-(2**63), 2**63 - 1, 5, 5, 6, 7, None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert percentiles(df, "v", {"a": 0.0, "b": 0.5, "c": 1.0}, 64) == {"a": -(2**63), "b": 5.5, "c": 2**63 - 1}
+    assert percentiles(df.limit(0), "v", {"a": 0.5}) == {"a": None}
+
+
+def test_small_sides_are_small_in_bytes(spark):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert hinted(small_side(wide)) and not hinted(small_side(wide, max_bytes=500_000)) and not hinted(small_side(wide, max_rows=99))
 
 
 def _greedy(sizes, max_rows, max_bytes):

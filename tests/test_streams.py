@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import correlate, ingest, normalize, rules
 from wardlight.sources import telemetry as t
-from wardlight.streaming import jobs
+from wardlight.streaming import jobs, state, store
 
 HOUR = 3_600_000
 
@@ -91,3 +91,154 @@ def test_detect_across_batches(spark, folder, pieces):
     done = F.unix_millis("batch_end") <= (last - 300_000) // 900_000 * 900_000
     closed = jobs.stream_detect(t.as_security_events(stream(spark, pieces)), rules.AD_RULES)
     assert rows(closed.select(*columns)) == rows(hits.filter(done).select(*columns))
+
+
+def test_rate_limit_state_expires(spark, pieces, tmp_path):
+    """Four batches and one row long after them: only that row's window is still held."""
+    path = str(tmp_path / "later")
+    for k, part in enumerate(sorted(spark.read.parquet(pieces).select(F.col("_metadata.file_modification_time").alias("m")).distinct().collect())):
+        rows_ = spark.read.parquet(pieces).where(F.col("_metadata.file_modification_time") == F.lit(part.m))
+        rows_.coalesce(1).write.mode("append").parquet(path)
+    last = spark.read.parquet(pieces).limit(1).withColumn("ts", F.lit("2031-01-01").cast("timestamp_ntz")).select(*spark.read.parquet(pieces).columns)
+    last.coalesce(1).write.mode("append").parquet(path)
+    raw = t.raw_messages(stream(spark, path))
+    kept, checkpoint = state.run_with_state(state.rate_limited(raw, 5, "3 days", salts=4), "rate")
+    assert kept.where("received_at < '2030-01-01'").count() == ingest.rate_limit(t.raw_messages(spark.read.parquet(pieces)), 5, window="3 days").count()
+    for operator in (0, 1):
+        held = state.read_state(spark, checkpoint, "used", operator).select("key.starts", "value.passed").collect()
+        assert len(held) == 1 and held[0].starts > 1_900_000_000_000 and held[0].passed == 1
+
+
+def test_rate_limit_passes_values_unchanged(spark, tmp_path):
+    rows_ = [("a:1", f"id{k}", f"2024-01-01 00:00:{k % 60:02d}.123456", None if k % 2 else 2**60 + k, [k, None]) for k in range(40)]
+    df = spark.createDataFrame(rows_, "provenance_tag string, id string, at string, n long, more array<long>").withColumn("received_at", F.col("at").cast("timestamp")).drop("at")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got, _ = state.run_with_state(state.rate_limited(stream(spark, str(tmp_path / "in")), 25), "rate")
+    want = ingest.rate_limit(df, 25)
+    assert got.dtypes == df.dtypes and rows(got) == rows(want) and got.count() == 25
+
+
+def test_states_need_the_right_store(spark, pieces):
+    before = spark.conf.get(state.PROVIDER)
+    spark.conf.set(state.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match="keyed state needs"):
+            state.rate_limited(t.raw_messages(stream(spark, pieces)), 5)
+        with state.keyed_state(spark):
+            state.rate_limited(t.raw_messages(stream(spark, pieces)), 5)
+        assert "HDFS" in spark.conf.get(state.PROVIDER)
+    finally:
+        spark.conf.set(state.PROVIDER, before)
+
+
+def test_partial_matches_of_two_rules(spark, folder, pieces):
+    """What the state holds at the end is what the batch rules leave open; a busy entity is one key."""
+    first, second = F.col("EventID") == 4768, F.col("EventID") == 4769
+    rule_set = [
+        state.SequenceRule("by user", first, second, "SubjectUserName", 24 * HOUR),
+        state.SequenceRule("any host", first, second, "ChannelName", 2 * HOUR),
+    ]
+    events = t.as_security_events(stream(spark, pieces))
+    found, checkpoint = state.run_with_state(state.sequences(events, rule_set), "two")
+    sec = t.security_events(spark, folder)
+    mark = sec.where(first | second).agg(F.max(F.unix_millis("TimeGenerated"))).first()[0] - 300_000
+    held = state.entity_state(spark, checkpoint, F.timestamp_millis(F.lit(mark)))
+    for rule in rule_set:
+        pairs = correlate.sequence_next(sec, first, second, rule.entity, rule.span_ms)
+        done = (F.floor(F.unix_millis("first_at") / rule.span_ms) + 2) * rule.span_ms <= mark
+        assert rows(found.where(F.col("rule_id") == rule.rule_id).drop("rule_id")) == rows(pairs.where(done))
+        waiting = sec.where(first & (F.col(rule.entity) != "") & (F.unix_millis("TimeGenerated") + rule.span_ms >= mark))
+        want = waiting.groupBy(F.col(rule.entity).alias("entity_key"), F.col("TimeGenerated").alias("window_start")).agg(
+            F.count("*").alias("event_count"), F.min("EventRecordID").alias("id")
+        )
+        got = held.where(F.col("rule_id") == rule.rule_id).withColumn("id", F.get_json_object("payload", "$.first_id"))
+        assert rows(got.select("entity_key", "window_start", "event_count", "id")) == rows(want)
+        assert got.where(F.unix_millis("expiry") - F.unix_millis("window_start") != rule.span_ms).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, folder, tmp_path_factory):
+    """The events in four files, each over the whole time."""
+    out = str(tmp_path_factory.mktemp("mixed"))
+    events = t.table(spark, folder, "events")
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def test_every_row_is_counted_or_late(spark, folder, mixed):
+    sec = t.security_events(spark, folder)
+    events = t.as_security_events(stream(spark, mixed))
+    late, counts = jobs.late_rows(events, "TimeGenerated", "5 days", window="1 day")
+    counted = jobs.run_available(jobs.stream_threshold(events, "HostName", 1, "1 day", lateness="5 days"), "t")
+    mark = sec.agg(F.max(F.unix_millis("TimeGenerated"))).first()[0] - 5 * 24 * HOUR
+    day = F.window("TimeGenerated", "1 day")
+    still_open = sec.where(F.unix_millis(day.end) > mark)
+    late_open = late.where(F.unix_millis(day.end) > mark)
+    assert late_open.isEmpty() and late.count() > 0
+    assert counted.agg(F.sum("events")).first()[0] + late.count() + still_open.count() == sec.count()
+    total = counts.agg(F.sum("rows"), F.sum("late")).first()
+    assert total[0] == sec.count() and total[1] == late.count() and counts.count() == 4
+
+
+def test_every_match_is_in_a_hit_or_late(spark, folder, mixed):
+    sec = t.security_events(spark, folder)
+    events = t.as_security_events(stream(spark, mixed))
+    hits, late = jobs.detect_with_late(events, rules.AD_RULES, delay="10 days", flush=True)
+    matches = rules.detect_rules(sec, rules.AD_RULES)
+    assert late.count() > 0 and hits.agg(F.sum("hit_count")).first()[0] + late.count() == matches.count()
+    assert rows(late.select("rule_id", "EventRecordID").subtract(matches.select("rule_id", "EventRecordID"))) == []
+
+
+def test_detect_without_matches(spark, tmp_path, folder):
+    t.table(spark, folder, "events").limit(0).coalesce(1).write.parquet(str(tmp_path / "none"))
+    hits, late = jobs.detect_with_late(t.as_security_events(stream(spark, str(tmp_path / "none"))), rules.AD_RULES, flush=True)
+    assert hits.count() == 0 and late.count() == 0 and "hit_id" in hits.columns
+
+
+def test_sketches_are_close_to_exact_counts(spark, tmp_path):
+    wide = spark.range(60_000).select(
+        F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("user"),
+        F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(9000)).cast("string")).alias("target"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 5).alias("TimeGenerated"),
+    )
+    path = str(tmp_path / "wide")
+    for k in range(3):
+        wide.where((F.col("id") >= 20_000 * k) & (F.col("id") < 20_000 * (k + 1))).coalesce(1).write.mode("append").parquet(path)
+    sketches = jobs.run_available(jobs.stream_fanout(stream(spark, path), "user", "target", "1 hour"), "f")
+    assert sketches.where(F.octet_length("sketch") > 5000).isEmpty()
+    got = {(r.entity, r.window_start): r.targets for r in jobs.fanout_windows(sketches, 100, "1 day").collect()}
+    closed = sketches.select("step_start").distinct()
+    inside = wide.withColumn("step_start", F.window("TimeGenerated", "1 hour").start).join(closed, "step_start")
+    exact = correlate.fanout(inside, "user", "target", 100, "1 day").collect()
+    assert len(exact) == len(got) > 6
+    for r in exact:
+        assert abs(got[r.entity, r.window_start] - r.targets) <= 0.06 * r.targets
+
+
+def test_store_has_every_event_once(spark, folder, tmp_path):
+    """Restarts between batches, compaction between restarts, a compaction that broke off."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "store")
+    events = t.table(spark, folder, "events")
+    want = rows(t.security_events(spark, folder).select("EventRecordID"))
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+        store.stream_events(t.as_security_events(stream(spark, source)), path)
+        store.stream_events(t.as_security_events(stream(spark, source)), path)  # nothing new
+        if k == 1:
+            assert store.compact(spark, path, 202402) > 0 and store.compact(spark, path, 202402) == 0
+        if k == 2:
+            store.read_store(spark, path).write.partitionBy("event_month").parquet(f"{path}/compacted/run=broken")
+    assert rows(store.read_store(spark, path).select("EventRecordID")) == want
+    before = store._live(spark, path).select("_file").distinct().count()
+    assert store.compact(spark, path, 209901) == before
+    assert store._live(spark, path).isEmpty() and rows(store.read_store(spark, path).select("EventRecordID")) == want
+
+
+def test_health_stream_appends_once(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "health")
+    for k in range(3):
+        spark.createDataFrame([(f"e{k}", k)], "EventType string, EventCount long").coalesce(1).write.mode("append").parquet(source)
+        store.stream_health(stream(spark, source), path)
+    got = spark.read.schema("EventType string, EventCount long").json(f"{path}/live")
+    assert rows(got) == [("e0", 0), ("e1", 1), ("e2", 2)]

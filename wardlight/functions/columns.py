@@ -101,9 +101,11 @@ def source_type(tag: Column) -> Column:
 
 
 def truncate_bytes(col: Column, limit: int) -> Column:
-    """At most ``limit`` bytes of UTF-8; a cut character is replaced."""
-    cut = F.make_valid_utf8(F.substring(F.encode(col, "UTF-8"), 1, limit).cast("string"))
-    return F.when(F.octet_length(col) > limit, cut).otherwise(col)
+    """At most ``limit`` bytes of UTF-8; a character that does not fit whole is left out."""
+    raw = F.encode(col, "UTF-8")
+    # One of four neighbouring lengths ends with a character.
+    whole = [F.try_validate_utf8(F.substring(raw, 1, limit - k).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(col) > limit, F.coalesce(*whole, F.make_valid_utf8(F.substring(raw, 1, limit - 2).cast("string")))).otherwise(col)
 
 
 def time_text(col: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import columns as c
 from wardlight.operators.ordering import first_n, small_side
+from wardlight.operators.timeslice import in_slice, moment
 
 MAX_EVENT_BYTES = 65536
 EVENTS_PER_MINUTE = 10000
@@ -175,8 +176,7 @@ def overlap_pull(
     df: DataFrame, last_end, end, overlap: str = "5 minutes", at: str = "TimeGenerated"
 ) -> DataFrame:
     """Rows of ``[last_end - overlap, end)``; the overlap is removed by dedup."""
-    start = F.lit(last_end).cast("timestamp") - F.expr(f"interval {overlap}")
-    return df.filter((F.col(at) >= start) & (F.col(at) < F.lit(end).cast("timestamp")))
+    return in_slice(df, moment(last_end) - F.expr(f"interval {overlap}"), end, at)
 
 
 def pull_slices(
@@ -189,11 +189,3 @@ def pull_slices(
         .withColumn("queries", F.ceil(F.col("rows") / rows_per_query))
     )
 
-
-def time_slice(df: DataFrame, start, end, at: str = "TimeGenerated", month: str = "event_month") -> DataFrame:
-    """Half-open time filter that also prunes month partitions when present."""
-    low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    out = df.filter((F.col(at) >= low) & (F.col(at) < high))
-    if month in df.columns:
-        out = out.filter(F.col(month).between(F.date_format(low, "yyyyMM"), F.date_format(high, "yyyyMM")))
-    return out

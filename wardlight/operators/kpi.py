@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.operators.ordering import exact_percentiles
+from wardlight.operators.ordering import percentiles
+from wardlight.operators.timeslice import back_from
+from wardlight.session import checkpointed, local_table
 
 SEVERITIES = ["High", "Medium", "Low", "Informational"]
 
@@ -24,7 +26,7 @@ def events_by_source(
     events: DataFrame, as_of, back: str = "24 hours", source: str = "SourceType", top: int | None = None
 ) -> DataFrame:
     counted = (
-        events.filter(since("TimeGenerated", as_of, back))
+        back_from(events, as_of, back)
         .groupBy(source)
         .agg(F.count("*").alias("event_count"))
         .orderBy(F.desc("event_count"), source)
@@ -67,7 +69,7 @@ def score_histogram(hits: DataFrame, as_of, back: str = "24 hours") -> DataFrame
 
 def hourly_volume(events: DataFrame, as_of, back: str = "24 hours", source: str = "SourceType") -> DataFrame:
     return (
-        events.filter(since("TimeGenerated", as_of, back))
+        back_from(events, as_of, back)
         .groupBy(F.date_trunc("hour", "TimeGenerated").alias("hour"), source)
         .agg(F.count("*").alias("event_count"))
     )
@@ -93,6 +95,7 @@ def hit_timeline_matrix(hits: DataFrame, severities: list[str] = SEVERITIES) ->
     counted = hits.groupBy(F.date_trunc("hour", "created_at").alias("hour")).agg(
         *[F.count_if(F.col("severity") == name).alias(name) for name in severities]
     )
+    counted = checkpointed(counted)  # a row an hour; the hits are read once
     hours = counted.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select(
         F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour")
     )
@@ -105,28 +108,26 @@ def latency_millis() -> Column:
 
 def pipeline_latency(events: DataFrame, as_of, back: str = "24 hours", approximate: bool = False) -> DataFrame:
     """Average and 95th percentile of ingest minus event time, in seconds."""
-    rows = events.filter(
-        since("TimeGenerated", as_of, back) & (F.col("IngestTimestamp") >= F.col("TimeGenerated"))
-    ).select(latency_millis().alias("ms"))
+    late = F.col("IngestTimestamp") >= F.col("TimeGenerated")
+    rows = back_from(events, as_of, back).filter(late).select(latency_millis().alias("ms"))
     seconds = lambda col: F.round(col / 1000.0, 6)
     if approximate:
         return rows.agg(
             seconds(F.avg("ms")).alias("avg_seconds"),
             seconds(F.percentile_approx("ms", 0.95, 10000)).alias("p95_seconds"),
         )
-    # Both inputs hold exactly one row.
-    mean = rows.agg(F.avg("ms").alias("mean_ms"))
-    p95 = exact_percentiles(rows, "ms", {"p95": 0.95})
-    return mean.select(F.lit(1).alias("_one"), "mean_ms").join(
-        p95.withColumn("_one", F.lit(1)), "_one"
-    ).select(seconds(F.col("mean_ms")).alias("avg_seconds"), seconds(F.col("p95")).alias("p95_seconds"))
+    held = checkpointed(rows)  # one number an event; the table itself is scanned once
+    mean, found = held.agg(F.avg("ms")).first()[0], percentiles(held, "ms", {"p95": 0.95})
+    one = local_table(events.sparkSession, [(mean, found["p95"])], "mean_ms double, p95 double")
+    return one.select(seconds(F.col("mean_ms")).alias("avg_seconds"), seconds(F.col("p95")).alias("p95_seconds"))
+
 
 
 def source_stats(
     events: DataFrame, as_of, hours: int = 24, source: str = "SourceType"
 ) -> DataFrame:
     return (
-        events.filter(since("TimeGenerated", as_of, f"{hours} hours"))
+        back_from(events, as_of, f"{hours} hours")
         .groupBy(source)
         .agg(
             F.max("TimeGenerated").alias("last_seen"),
@@ -172,19 +173,39 @@ def ledger_totals(ledger: DataFrame, as_of, back: str = "24 hours") -> DataFrame
     )
 
 
-def stats_bundle(events: DataFrame, hits: DataFrame, ledger: DataFrame, as_of) -> DataFrame:
+def stats_bundle(events: DataFrame, hits: DataFrame, ledger: DataFrame, as_of, top: int = 20) -> DataFrame:
     """(section, entry): every aggregate of the summary as JSON text rows.
 
-    Holds counts only, never the content of an event.
+    Holds counts only, never the content of an event.  Each table is scanned once:
+    events are counted by source over both horizons together, hits by rule,
+    severity and score (which has four decimals), and the sections are made of
+    these counts.
     """
+    day = since("TimeGenerated", as_of, "24 hours")
+    sources = checkpointed(
+        back_from(events, as_of, "7 days").groupBy("SourceType").agg(F.count_if(day).alias("day"), F.count("*").alias("week"))
+    )
+    recent = since("created_at", as_of, "24 hours")
+    score = F.when(recent, F.col("anomaly_score"))
+    counted = checkpointed(
+        hits.groupBy("rule_id", "severity", score.alias("score")).agg(F.count_if(recent).alias("n"), F.max("created_at").alias("last"))
+    )
+    found = counted.filter("n > 0")
+
+    def by_source(column: str) -> DataFrame:
+        rows = sources.filter(F.col(column) > 0).select("SourceType", F.col(column).alias("event_count"))
+        return rows.orderBy(F.desc("event_count"), "SourceType").limit(top)
+
+    at = lambda p: F.round(F.percentile("score", p, F.col("n")), 6)
+    rules = found.groupBy("rule_id", "severity").agg(F.sum("n").alias("hits"), F.max("score").alias("max_score"))
     parts = {
-        "events_24h_by_source": events_by_source(events, as_of, "24 hours", top=20),
-        "events_7d_by_source": events_by_source(events, as_of, "7 days", top=20),
-        "top_hits_24h": top_rules(hits, as_of),
-        "score_percentiles_24h": score_percentiles(hits, as_of),
-        "severity_24h": severity_breakdown(hits, as_of),
+        "events_24h_by_source": by_source("day"),
+        "events_7d_by_source": by_source("week"),
+        "top_hits_24h": rules.orderBy(F.desc("hits"), "rule_id", "severity").limit(top),
+        "score_percentiles_24h": found.filter("score > 0").agg(at(0.95).alias("p95"), at(0.99).alias("p99")),
+        "severity_24h": found.groupBy("severity").agg(F.sum("n").alias("hits")),
         "forwarded_24h": ledger_totals(ledger, as_of),
-        "batch_marker": hits.agg(F.max("created_at").alias("last_batch_at")),
+        "batch_marker": counted.agg(F.max("last").alias("last_batch_at")),
     }
     out = None
     for name, frame in parts.items():

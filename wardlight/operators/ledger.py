@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from wardlight.functions import columns as c
 from wardlight.operators.correlate import latest_per_key
 from wardlight.operators.normalize import lookup
 from wardlight.operators.ordering import first_per_key, with_previous, with_running
+from wardlight.operators.timeslice import in_slice, in_slices
 from wardlight.session import checkpointed
 
 FORWARD_BATCH = 200
@@ -152,18 +155,21 @@ def new_evidence(matches: DataFrame, earlier: DataFrame) -> DataFrame:
 def incident_evidence(incident_list: DataFrame, events: DataFrame) -> DataFrame:
     """Event count, first and last event, hosts and users per incident.
 
-    The incident id is part of the upload tag.  Events are folded per incident
-    before the join, so a large incident is never shuffled row by row.
+    The incident id is part of the upload tag.  Events are folded per incident, host
+    and user before anything is counted twice or joined, so a large incident is never
+    shuffled row by row.
     """
     tag = F.col("ProvenanceTag")
     rolled = (
         events.filter(tag.startswith("manual-upload:incident:"))
         .withColumn("incident_id", F.split_part(tag, F.lit(":"), F.lit(3)))
+        .groupBy("incident_id", "HostName", "SubjectUserName")
+        .agg(F.count("*").alias("n"), F.min("TimeGenerated").alias("first"), F.max("TimeGenerated").alias("last"))
         .groupBy("incident_id")
         .agg(
-            F.count("*").alias("event_count"),
-            F.min("TimeGenerated").alias("first_event"),
-            F.max("TimeGenerated").alias("last_event"),
+            F.sum("n").alias("event_count"),
+            F.min("first").alias("first_event"),
+            F.max("last").alias("last_event"),
             F.count_distinct("HostName").alias("hosts"),
             F.count_distinct("SubjectUserName").alias("users"),
         )
@@ -329,11 +335,12 @@ def pack_batches_greedy(
     ``segment_rows`` events.  For each event that may be the first of a segment
     to start a batch (one of the first ``max_rows``), the segment's summary
     tells where the first batch of a later segment then starts, and how many
-    batches start in between.  The summaries are chained in order; then each
-    segment numbers its batches on its own.  Batches may span segments, and
-    ``segment_rows`` decides nothing but ``segment``.  A task holds one segment
-    (of ``max_rows`` events at least) and the ``max_rows`` events after it, or
-    one stream's summaries.
+    batches start in between.  Summaries are composed in pairs, pairs of pairs and
+    so on, which takes as many rounds as the number of segments has binary digits;
+    the way back gives every segment its entry, and each numbers its batches on
+    its own.  Batches may span segments, and ``segment_rows`` decides nothing but
+    ``segment``.  A task holds one segment (of ``max_rows`` events at least) and
+    the ``max_rows`` events after it, or two summaries.
     Returns (stream, segment, batch_no, key order columns, size).
     """
     # A stream without a name is a stream too.
@@ -377,17 +384,6 @@ def pack_batches_greedy(
             }
         )
 
-    def chain(parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("_part")
-        entry, batch, entries, numbers = 1, 0, [], []
-        for first, held, starts, leave, batches in zip(*(parts[c] for c in ("_first", "_held", "_from", "_leave", "_batches"))):
-            entries.append(entry)
-            numbers.append(batch)
-            if entry < first + held:
-                run = int(np.searchsorted(starts, entry - first, side="right")) - 1
-                entry, batch = int(leave[run]), batch + int(batches[run])
-        return parts[["_stream", "_part"]].assign(_entry=entries, _batch=numbers)
-
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_position")
         follow = next_starts(part[size].to_numpy(np.int64))
@@ -402,17 +398,67 @@ def pack_batches_greedy(
     reach = (at % rows < max_rows - 1) & (F.col("_part") > 0)
     owners = F.when(reach, F.array(F.col("_part") - 1, "_part")).otherwise(F.array("_part"))
     narrow = segmented.select("_stream", "_part", "_position", F.col(size).alias("_size"), F.explode(owners).alias("_owner"))
-    summaries = narrow.groupBy("_stream", "_owner").applyInPandas(
-        summarise,
-        "_stream string, _part long, _first long, _held long, _from array<long>, _leave array<long>, _batches array<long>",
-    )
-    entries = summaries.groupBy("_stream").applyInPandas(chain, "_stream string, _part long, _entry long, _batch long")
-    entered = segmented.join(checkpointed(entries), ["_stream", "_part"])
+    summaries = checkpointed(narrow.groupBy("_stream", "_owner").applyInPandas(summarise, _SUMMARY))
+    entered = segmented.join(_entries(summaries), ["_stream", "_part"])
     schema = T.StructType([*entered.schema.fields, T.StructField("batch_no", T.LongType())])
     packed = entered.groupBy("_stream", "_part").applyInPandas(pack, schema)
     return packed.drop("_stream", "_part", "_position", "_entry", "_batch")
 
 
+_SUMMARY = "_stream string, _part long, _first long, _held long, _from array<long>, _leave array<long>, _batches array<long>"
+_ENTRY = "_stream string, _part long, _entry long, _batch long"
+
+
+def _through(part, entry: int, batch: int) -> tuple[int, int]:
+    """Where a batch that starts at ``entry`` leaves a summarised part, and the number of the next one."""
+    if entry >= part._first + part._held:
+        return entry, batch
+    run = int(np.searchsorted(part._from, entry - part._first, side="right")) - 1
+    return int(part._leave[run]), batch + int(part._batches[run])
+
+
+def _entries(summaries: DataFrame) -> DataFrame:
+    """(_stream, _part, _entry, _batch): the first batch start of every part, by a prefix scan over summaries."""
+
+    def compose(pair: pd.DataFrame) -> pd.DataFrame:
+        """Two neighbours as one part; entries are those of the first."""
+        rows = [SimpleNamespace(**r) for r in pair.sort_values("_part").to_dict("records")]
+        first = rows[0]
+        left = [_through(rows[-1], int(e), int(b)) if len(rows) > 1 else (int(e), int(b)) for e, b in zip(first._leave, first._batches)]
+        return pd.DataFrame(
+            {
+                "_stream": [first._stream],
+                "_part": [first._part // 2],
+                "_first": [first._first],
+                "_held": [sum(r._held for r in rows)],
+                "_from": [first._from],
+                "_leave": [[e for e, _ in left]],
+                "_batches": [[b for _, b in left]],
+            }
+        )
+
+    def enter(parts: pd.DataFrame) -> pd.DataFrame:
+        """Entries of two neighbours from that of the part they make up."""
+        rows = [SimpleNamespace(**r) for r in parts.sort_values("_part").to_dict("records")]
+        entry, batch, out = int(rows[0]._entry), int(rows[0]._batch), []
+        for row in rows:
+            out.append((row._stream, row._part, entry, batch))
+            entry, batch = _through(row, entry, batch)
+        return pd.DataFrame(out, columns=["_stream", "_part", "_entry", "_batch"])
+
+    last = summaries.agg(F.max("_part")).first()[0] or 0
+    levels = [summaries.select(*(f.split()[0] for f in _SUMMARY.split(", ")))]
+    half = F.expr("_part div 2")
+    for _ in range(last.bit_length()):
+        levels.append(checkpointed(levels[-1].groupBy("_stream", half.alias("_pair")).applyInPandas(compose, _SUMMARY)))
+    entries = levels.pop().select("_stream", "_part", F.lit(1).cast("long").alias("_entry"), F.lit(0).cast("long").alias("_batch"))
+    for level in reversed(levels):
+        above = entries.withColumnsRenamed({"_part": "_pair", "_stream": "_above"})
+        met = level.join(above, (F.col("_stream") == F.col("_above")) & (half == F.col("_pair"))).drop("_above")
+        entries = checkpointed(met.groupBy("_stream", "_pair").applyInPandas(enter, _ENTRY))
+    return checkpointed(entries)
+
+
 def batch_health(outcomes: DataFrame) -> DataFrame:
     """Health row per batch over (batch_id, sent_at, hit_id, delivered)."""
     sent = outcomes.groupBy("batch_id").agg(
@@ -436,11 +482,16 @@ def batch_health(outcomes: DataFrame) -> DataFrame:
 
 def replay_range(events: DataFrame, delivered: DataFrame, start, end, key: str = "EventRecordID") -> DataFrame:
     """Events of ``[start, end)`` that were not delivered."""
-    chosen = events.filter(
-        (F.col("TimeGenerated") >= F.lit(start).cast("timestamp"))
-        & (F.col("TimeGenerated") < F.lit(end).cast("timestamp"))
-    )
-    return chosen.join(delivered.select(key).distinct(), key, "left_anti")
+    return in_slice(events, start, end).join(delivered.select(key).distinct(), key, "left_anti")
+
+
+def replay_ranges(events: DataFrame, delivered: DataFrame, ranges: DataFrame, key: str = "EventRecordID") -> DataFrame:
+    """Events of several ranges (batch_id, start, end) that were not delivered, with the batch to send them in.
+
+    An event of two ranges is given for each.  Only the months that some range
+    reaches are read.
+    """
+    return in_slices(events, ranges).join(delivered.select(key).distinct(), key, "left_anti").drop("start", "end")
 
 
 # -- retention --------------------------------------------------------------
@@ -459,13 +510,19 @@ def retention_type(events_tag: str = "ProvenanceTag", channel: str = "ChannelNam
 def apply_retention(
     events: DataFrame, as_of, days: dict[str, int] | None = None, default_days: int = 30
 ) -> DataFrame:
-    """Events still inside the retention of their source type."""
-    table = lookup(events.sparkSession, days or s.RETENTION_DAYS, "_type string, _days int")
+    """Events still inside the retention of their source type.
+
+    What is older than the longest retention is not read.
+    """
+    days = days or s.RETENTION_DAYS
+    table = lookup(events.sparkSession, days, "_type string, _days int")
+    longest = F.make_dt_interval(F.lit(max(default_days, *days.values())))
     kept_from = F.lit(as_of).cast("timestamp") - F.make_dt_interval(
         F.coalesce("_days", F.lit(default_days))
     )
     return (
-        events.withColumn("_type", retention_type())
+        in_slice(events, F.lit(as_of).cast("timestamp") - longest)
+        .withColumn("_type", retention_type())
         .join(F.broadcast(table), "_type", "left")
         .filter(F.col("TimeGenerated") >= kept_from)
         .select(*events.columns)

@@ -109,10 +109,13 @@ def parse_fields(payload: Column) -> Column:
     objects is parsed inside brackets, where a second one shows.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).try_cast("array<variant>")
+    # The pattern is looked for only where there is a second brace at all.
     parsed = F.when(
-        payload.rlike(r"\}\s*,?\s*\{"), F.when(F.size(boxed) == 1, F.try_element_at(boxed, F.lit(1)))
+        (F.locate("{", payload, 2) > 0) & payload.rlike(r"\}\s*,?\s*\{"),
+        F.when(F.size(boxed) == 1, F.try_element_at(boxed, F.lit(1))),
     ).otherwise(F.try_parse_json(payload))
-    return F.when(payload.rlike(r"\}\s*$"), parsed.try_cast("map<string,variant>"))
+    ends = F.rtrim(payload, F.lit(" \t\n\x0b\f\r")).endswith("}")
+    return F.when(ends, parsed.try_cast("map<string,variant>"))
 
 
 def known_fields(payload: Column, names: list[str]) -> Column:
@@ -368,7 +371,9 @@ def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
 
     ``parsed`` carries ``fields`` plus the server-assigned ProvenanceTag and
     IngestTimestamp.  Collector keys in the content are ignored, integers fall
-    back to 0, text is cut at 64 KB, the rest goes to UnmappedFields (256 KB).
+    back to 0, text is cut at 64 KB, the rest goes to UnmappedFields.  A rest of
+    more than 256 KB becomes a JSON object of its size and its beginning; the
+    column ``was_cut`` tells of either.
     """
     work = parsed.withColumn("fields", F.col(fields)) if fields != "fields" else parsed
     own = F.map_filter(
@@ -376,7 +381,7 @@ def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
     )
     typed = [n for n in s.CANONICAL_COLUMNS if n not in (*s.SERVER_COLUMNS, "UnmappedFields")]
     work = work.withColumn("fields", own).withColumn("known", known_fields(F.to_json("fields"), typed))
-    out = {}
+    out, cut = {}, []
     for name in typed:
         if name == "TimeGenerated":
             out[name] = F.date_trunc(
@@ -392,13 +397,20 @@ def map_upload(parsed: DataFrame, fields: str = "fields") -> DataFrame:
             out[name] = F.substring(c.text(field(name)), 1, s.HASH_WIDTHS[name])
         else:
             out[name] = c.truncate_bytes(c.text(field(name)), FIELD_BYTES)
+            cut.append(F.octet_length(c.text(field(name))) > FIELD_BYTES)
     rest = unmapped_json(F.col("fields"), typed)
-    out["UnmappedFields"] = c.truncate_bytes(rest, UNMAPPED_BYTES)
+    cut.append(F.octet_length(rest) > UNMAPPED_BYTES)
+    # Written as JSON text a byte takes six at most.
+    head = F.struct(F.octet_length(rest).alias("_bytes"), c.truncate_bytes(rest, UNMAPPED_BYTES // 6 - 16).alias("_beginning"))
+    out["UnmappedFields"] = F.when(cut[-1], F.to_json(head)).otherwise(rest)
     out["ProvenanceTag"] = F.col("ProvenanceTag")
     out["IngestTimestamp"] = F.col("IngestTimestamp")
     keep = [x for x in work.columns if x not in ("fields", "known", *s.SERVER_COLUMNS)]
     return work.select(
-        *keep, *[out[n].alias(n) for n in s.CANONICAL_COLUMNS], (rest != "").alias("had_unmapped")
+        *keep,
+        *[out[n].alias(n) for n in s.CANONICAL_COLUMNS],
+        (rest != "").alias("had_unmapped"),
+        F.coalesce(c.any_of(cut), F.lit(False)).alias("was_cut"),
     )
 
 

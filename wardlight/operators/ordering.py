@@ -11,9 +11,12 @@ checkpoint before it is read twice.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.session import checkpointed
 
@@ -88,15 +91,26 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
-def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A narrow join side, broadcast if it has been counted to be small.
+def small_side(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """A join side, broadcast if its rows and bytes have been counted to be small.
 
     The side is written out first, so counting it and joining it read the same
-    rows and its own input is scanned once.  Beyond ``max_rows`` there is no
-    hint and Spark shuffles both sides.
+    rows and its own input is scanned once.  Beyond ``max_rows`` rows or
+    ``max_bytes`` bytes there is no hint and Spark shuffles both sides.
     """
     fixed = checkpointed(df)
-    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+    width = sum(_width(f) for f in fixed.schema.fields)
+    rows, size = fixed.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(fixed) if rows <= max_rows and size <= max_bytes else fixed
+
+
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0)) + 16
+    if isinstance(field.dataType, T.AtomicType):
+        return F.lit(16)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0)) + 16
 
 
 def first_n(
@@ -136,77 +150,55 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(rank)).filter("_rn = 1").drop("_rn")
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, points: dict[str, float], width: int = 1000
-) -> DataFrame:
-    """Interpolated percentiles of a whole-number column, one row.
+def percentiles(df: DataFrame, value: str, points: dict[str, float], bins: int = 4096) -> dict[str, float | None]:
+    """Exact interpolated percentiles of a whole-number column, in fixed memory.
 
-    A histogram of distinct values is built first (map-side combined), then
-    narrowed to the coarse bins that hold the wanted ranks.  Only coarse bins,
-    ``range / width`` of them, meet in one task.
+    The range of the values is cut into ``bins`` steps, counts tell which step
+    holds a wanted rank, and that step is cut again until it is one value wide.
+    Each pass is one aggregate of at most ``bins`` counts for each range still
+    open (two ranks a point), whatever the values are: an outlier costs passes,
+    about one for each factor ``bins`` of the range, not memory.  ``df`` is read
+    once a pass, so it should be held; null values do not count, and without
+    values every percentile is None.
     """
-    fine = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    fine = fine.withColumn("bin", F.floor(F.col("v") / width))
-    coarse = fine.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-    order = W.orderBy("bin")
-    everything = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    spans = coarse.select(
-        "bin",
-        (F.sum("bin_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("bin_n")).alias("lo"),
-        F.sum("bin_n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("hi"),
-        F.sum("bin_n").over(everything).alias("total"),
-    )
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.floor((F.col("total") - 1) * p).alias("low_rank"),
-                F.ceil((F.col("total") - 1) * p).alias("high_rank"),
-                ((F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p)).alias("share"),
-            )
-            for name, p in points.items()
-        ]
-    )
-    wanted = (
-        spans.withColumn("rank", F.explode(ranks))
-        .select("bin", "lo", "hi", "rank.*")
-        .select(
-            "bin",
-            "lo",
-            "hi",
-            "name",
-            "share",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("low").alias("side"), F.col("low_rank").alias("at")),
-                    F.struct(F.lit("high").alias("side"), F.col("high_rank").alias("at")),
-                )
-            ).alias("want"),
-        )
-        .filter((F.col("want.at") >= F.col("lo")) & (F.col("want.at") < F.col("hi")))
-    )
-    inside = W.partitionBy("name", "want.side").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    hits = (
-        fine.join(wanted, "bin")
-        .withColumn("upto", F.col("lo") + F.sum("n").over(inside))
-        .filter((F.col("want.at") < F.col("upto")) & (F.col("want.at") >= F.col("upto") - F.col("n")))
-    )
-    sides = hits.agg(
-        *[
-            F.max(F.when((F.col("name") == name) & (F.col("want.side") == side), F.col("v"))).alias(
-                f"_{name}_{side}"
+    rows = df.select(F.col(value).cast("decimal(20,0)").alias("v")).where("v is not null")
+    total, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not total:
+        return dict.fromkeys(points)
+    ranks = {p: (total - 1) * share for p, share in points.items()}
+    wanted = {int(r) for r in ranks.values()} | {min(int(r) + 1, total - 1) for r in ranks.values()}
+    found: dict[int, int] = {}
+    # Ranges by their ends: the ranks in them, and how many values lie before.
+    ranges = {(int(low), int(high)): (sorted(wanted), 0)}
+    while ranges:
+        for low, high in [ends for ends in ranges if ends[0] == ends[1]]:
+            found.update(dict.fromkeys(ranges.pop((low, high))[0], low))
+        if not ranges:
+            break
+        ends = list(ranges)
+        steps = [-(-(high - low + 1) // bins) for low, high in ends]
+        at = [
+            F.when(
+                F.col("v").between(F.lit(Decimal(low)), F.lit(Decimal(high))),
+                F.struct(F.lit(k).alias("k"), F.expr(f"cast((v - {low}BD) div {step}BD as int)").alias("bin")),
             )
-            for name in points
-            for side in ("low", "high")
-        ],
-        *[F.max(F.when(F.col("name") == name, F.col("share"))).alias(f"_{name}_share") for name in points],
-    )
-    return sides.select(
-        *[
-            (
-                F.col(f"_{name}_low")
-                + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * F.col(f"_{name}_share")
-            ).alias(name)
-            for name in points
+            for k, ((low, high), step) in enumerate(zip(ends, steps))
         ]
-    )
+        # Ranges do not overlap: a value lies in one at most.
+        counted = rows.select(F.coalesce(*at).alias("at")).where("at is not null").groupBy("at.k", "at.bin").count().collect()
+        narrower = {}
+        for k, ((low, high), step) in enumerate(zip(ends, steps)):
+            left, before = ranges[low, high]
+            for row in sorted((r for r in counted if r["k"] == k), key=lambda r: r["bin"]):
+                inside = [r for r in left if before <= r < before + row["count"]]
+                if inside:
+                    start = low + row["bin"] * step
+                    narrower[start, min(start + step - 1, high)] = (inside, before)
+                before += row["count"]
+        ranges = narrower
+    out = {}
+    for name, rank in ranks.items():
+        below, above = found[int(rank)], found[min(int(rank) + 1, total - 1)]
+        part = rank - int(rank)
+        out[name] = below + (above - below) * part if part and above != below else below
+    return out

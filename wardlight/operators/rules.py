@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight import schema as s
 from wardlight.functions import columns as c
 from wardlight.operators.normalize import PROMOTED, promote_fields
-from wardlight.operators.ordering import small_side
-from wardlight.session import local_table
+from wardlight.operators.ordering import first_n, small_side
+from wardlight.operators.timeslice import in_slice
+from wardlight.session import checkpointed, local_table
 
 # Rule field -> canonical column.
 RULE_FIELDS = {
@@ -335,11 +335,7 @@ def detect_rules(
     One scan for all rules.  The time bounds are half-open, and the pinned
     event ids become an IN filter that reaches the Parquet scan.
     """
-    rows = with_rule_fields(events)
-    if start is not None:
-        rows = rows.filter(F.col("TimeGenerated") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        rows = rows.filter(F.col("TimeGenerated") < F.lit(end).cast("timestamp"))
+    rows = with_rule_fields(in_slice(events, start, end))
     ids = _event_ids(rules)
     if ids is not None:
         rows = rows.filter(F.col("EventID").isin(*ids))
@@ -520,10 +516,10 @@ def rule_dry_run(events: DataFrame, rule: dict, start, end, sample: int = 20) ->
     At most ``sample`` ids are shown per host; the count covers all matches.
     """
     found = detect_rules(events, [rule], start, end, ["HostName", "TimeGenerated", "EventRecordID"])
-    newest = W.partitionBy("HostName").orderBy(F.col("TimeGenerated").desc(), F.col("EventRecordID").desc())
+    found = checkpointed(found)  # the matches only; the events are scanned once
+    order = [F.col("TimeGenerated").desc(), F.col("EventRecordID").desc()]
     shown = (
-        found.withColumn("_rn", F.row_number().over(newest))
-        .filter(F.col("_rn") <= sample)
+        first_n(found, ["HostName"], order, sample, spread_by=F.col("EventRecordID"))
         .groupBy("HostName")
         .agg(F.array_join(F.array_sort(F.collect_list("EventRecordID")), ",").alias("sample_ids"))
     )

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from wardlight import schema as s
 from wardlight.functions import columns as c
+from wardlight.operators.membership import bitmap_of, maybe_member
+from wardlight.operators.timeslice import back_from, in_slice
+from wardlight.session import checkpointed
 
 PAGE_ROWS = 100
 MAX_ROWS = 10_000
@@ -49,7 +52,7 @@ def list_events(
     tag: str | None = None,
 ) -> DataFrame:
     """Events under all given filters; both time bounds are included."""
-    tests = _between("TimeGenerated", start, end)
+    tests = []
     for name, value in (
         ("HostName", host),
         ("EventID", event_id),
@@ -59,7 +62,7 @@ def list_events(
     ):
         if value is not None:
             tests.append(F.col(name) == value)
-    return events.filter(c.all_of(tests))
+    return in_slice(events, start, end, closed=True).filter(c.all_of(tests))
 
 
 def newest_page(
@@ -103,17 +106,17 @@ def search_condition(kind: str, value: str) -> Column:
     return c.any_of([F.col(n) == value for n in names])
 
 
-def check_range(start, end) -> None:
-    """A search range is forward and at most 30 days."""
+def check_range(start, end, max_days: int = MAX_DAYS) -> None:
+    """A search range is forward and at most ``max_days`` long."""
     low, high = pd.Timestamp(start), pd.Timestamp(end)
     if low >= high:
         raise ValueError("start must be before end")
-    if high - low > pd.Timedelta(days=MAX_DAYS):
-        raise ValueError(f"a search covers at most {MAX_DAYS} days")
+    if high - low > pd.Timedelta(days=max_days):
+        raise ValueError(f"a search covers at most {max_days} days")
 
 
 def search(
-    events: DataFrame, kind: str, value: str, start, end, incident_id: str | None = None
+    events: DataFrame, kind: str, value: str, start, end, incident_id: str | None = None, max_days: int = MAX_DAYS
 ) -> DataFrame:
     """All events of the range that match; see :func:`capped` for the cap.
 
@@ -121,13 +124,13 @@ def search(
     """
     if start is None:
         start = str(pd.Timestamp(end) - pd.Timedelta(hours=24))
-    check_range(start, end)
-    tests = [*_between("TimeGenerated", start, end), search_condition(kind, value)]
+    check_range(start, end, max_days)
+    tests = [search_condition(kind, value)]
     if incident_id is not None:
         if not re.fullmatch(r"[A-Za-z0-9_\-]+", incident_id):
             raise ValueError("an incident id holds letters, digits, '_' and '-'")
         tests.append(F.col("ProvenanceTag").startswith(f"manual-upload:incident:{incident_id}:"))
-    return events.filter(c.all_of(tests))
+    return in_slice(events, start, end, closed=True).filter(c.all_of(tests))
 
 
 def capped(rows: DataFrame, cap: int = MAX_ROWS, key: str = "EventRecordID") -> tuple[DataFrame, DataFrame]:
@@ -136,8 +139,12 @@ def capped(rows: DataFrame, cap: int = MAX_ROWS, key: str = "EventRecordID") ->
     return newest_page(rows, cap, key=key), over
 
 
-def searchable_values(events: DataFrame, keep: list[str]) -> DataFrame:
-    """(type, value, column, keep...): every non-empty searchable value."""
+def searchable_values(events: DataFrame, keep: list[str], indicators: DataFrame | None = None) -> DataFrame:
+    """(type, value, column, keep...): every non-empty searchable value.
+
+    With ``indicators`` (type, value) values that are certainly none of them are
+    dropped inside their event, before one row is made of each.
+    """
     spots = [(kind, n) for kind, names in SEARCH_COLUMNS.items() for n in names]
     spots += [("FileHash", n) for n in HASH_COLUMNS.values()]
     items = [
@@ -149,27 +156,34 @@ def searchable_values(events: DataFrame, keep: list[str]) -> DataFrame:
         )
         for kind, n in spots
     ]
-    return events.select(F.explode(F.array_compact(F.array(*items))).alias("v"), *keep).select("v.*", *keep)
+    found = F.array_compact(F.array(*items))
+    if indicators is not None:
+        held, bits = bitmap_of(indicators, ["type", "value"])
+        events = events.join(F.broadcast(held))  # one row
+        found = F.filter(found, lambda v: maybe_member(F.col("_pieces"), bits, v["type"], v["value"]))
+    return events.select(F.explode(found).alias("v"), *keep).select("v.*", *keep)
 
 
 def ioc_match(events: DataFrame, indicators: DataFrame, keep: list[str]) -> DataFrame:
     """Every (indicator, event, column) match of a table of (type, value).
 
-    The join carries no hint: Spark broadcasts the indicators while they are
-    small and splits skewed values when they are not.
+    A bitmap of the indicators, of bounded size, sifts the values of each event
+    first.  The join itself carries no hint: Spark broadcasts the indicators while
+    they are small and splits skewed values when they are not.
     """
-    wanted = indicators.select("type", "value").distinct()
-    return searchable_values(events, keep).join(wanted, ["type", "value"])
+    wanted = checkpointed(indicators.select("type", "value").distinct())
+    return searchable_values(events, keep, wanted).join(wanted, ["type", "value"])
 
 
 def ioc_counts(events: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Sightings per indicator.  Values are folded before they meet the table."""
-    seen = searchable_values(events, ["TimeGenerated"]).groupBy("type", "value").agg(
+    """Sightings per indicator.  Values are sifted, then folded, before they meet the table."""
+    wanted = checkpointed(indicators.select("type", "value").distinct())
+    seen = searchable_values(events, ["TimeGenerated"], wanted).groupBy("type", "value").agg(
         F.count("*").alias("sightings"),
         F.min("TimeGenerated").alias("first_seen"),
         F.max("TimeGenerated").alias("last_seen"),
     )
-    return seen.join(indicators.select("type", "value").distinct(), ["type", "value"])
+    return seen.join(wanted, ["type", "value"])
 
 
 def categories() -> dict[str, Column]:
@@ -234,7 +248,7 @@ def _since(at: str, as_of, back: str) -> Column:
 
 
 def hunt_recent(events: DataFrame, as_of, back: str = "1 hour", limit: int = 100) -> DataFrame:
-    rows = events.filter(_since("TimeGenerated", as_of, back))
+    rows = back_from(events, as_of, back)
     return newest_page(rows, limit).select(
         "TimeGenerated", "HostName", "EventID", "SubjectUserName", "SrcIpAddr", "ProvenanceTag"
     )
@@ -252,7 +266,7 @@ def hunt_top_rules(hits: DataFrame, as_of, back: str = "24 hours", limit: int =
 
 def hunt_by_source(events: DataFrame, as_of, back: str = "24 hours", source: str = "ProvenanceTag") -> DataFrame:
     return (
-        events.filter(_since("TimeGenerated", as_of, back))
+        back_from(events, as_of, back)
         .groupBy(source)
         .agg(F.count("*").alias("event_count"))
         .orderBy(F.desc("event_count"), source)

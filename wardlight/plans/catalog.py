@@ -14,9 +14,9 @@ from wardlight.operators import anomaly, correlate, graph, ingest, kpi, ledger,
 from wardlight.plans import samples as x
 from wardlight.plans.samples import AS_OF, END, START, WHOLE
 from wardlight.session import local_table, scratch_path
-from wardlight.sources import files, sinks
+from wardlight.sources import evidence, files, retention, sinks
 from wardlight.sources import telemetry as t
-from wardlight.streaming import jobs
+from wardlight.streaming import jobs, state, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +74,45 @@ def parse_evidence(spark, folder):
     return parsed.select("file", "position", fields.alias("r")).select("file", "position", "r.message", "r.k")
 
 
+@query
+def evidence_arrays(spark, folder):
+    """Documents as JSON arrays, one a file, lexed by many tasks."""
+    path = scratch_path(spark, "evidence")
+    docs = t.table(spark, folder, "documents")
+    x.write_json_arrays(docs.select(F.col("text").alias("message"), F.col("doc_id").alias("k"), F.struct("lang", "source").alias("of")), path)
+    records, _ = evidence.read_evidence(spark, path)
+    fields = F.from_json("record", "message string, k bigint, of struct<lang string, source string>")
+    return records.select(fields.alias("r")).select("r.message", "r.k", "r.of.lang", "r.of.source")
+
+
+@query
+def evidence_csv(spark, folder):
+    """Documents as CSV files with quoted line breaks, lexed by many tasks."""
+    path = scratch_path(spark, "evidence")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = t.table(spark, folder, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted, "lang").alias("row"))
+    x.write_with_header(docs, "k,message,lang", path)
+    records, _ = evidence.read_evidence(spark, path)
+    fields = F.from_json("record", "message string, k string, lang string")
+    return records.select(fields.alias("r")).select("r.message", F.col("r.k").cast("bigint").alias("k"), "r.lang")
+
+
+@query
+def evidence_logs(spark, folder):
+    """Documents as log files, JSON lines and an array under a log's name; positions within the files."""
+    path = scratch_path(spark, "evidence")
+    docs = t.table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    docs.filter("doc_id % 3 = 0").select("text").write.text(f"{path}/plain")
+    objects = docs.filter("doc_id % 3 = 1").select(F.col("text").alias("message"))
+    objects.select(F.explode(F.array(F.to_json(F.struct("message")), F.lit("not an object"))).alias("value")).write.text(f"{path}/objects")
+    x.write_json_arrays(docs.filter("doc_id % 3 = 2").select(F.col("text").alias("message")), f"{path}/arrays", ".log")
+    records, verdicts = evidence.read_evidence(spark, path)
+    kept = records.join(verdicts.filter("verdict = 'accepted'"), "file")
+    numbers = kept.groupBy("file").agg((F.max("position") + 1 - F.countDistinct("position")).alias("gaps"))
+    message = F.get_json_object("record", "$.message")
+    return kept.join(numbers, "file").groupBy(message.alias("message")).agg(F.count("*").alias("n"), F.max("gaps").alias("gaps"))
+
+
 @query
 def tag_provenance(spark, folder):
     src = c.source_type(F.col("provenance_tag"))
@@ -138,9 +177,37 @@ def utf8_gate(spark, folder):
 
 @query
 def upload_summary(spark, folder):
-    mapped = normalize.map_upload(x.uploads(spark, folder))
-    names = mapped.select("file").distinct()
-    return files.upload_summary(names, mapped)
+    """Uploads in which some records, or all of a file, cannot be mapped."""
+    rows = x.uploads(spark, folder)
+    number = F.split_part("row_id", F.lit(":"), F.lit(4)).cast("long")
+    wrong = (number % 5 == 1) & (F.split_part("file", F.lit("."), F.lit(1)) != "host7") | F.col("file").isin("host3.jsonl", "host12.jsonl")
+    mapped = normalize.map_upload(rows.filter(~wrong))
+    return files.upload_summary(rows.select("file").distinct(), mapped, rows.filter(wrong).select("file"))
+
+
+@query
+def upload_cuts(spark, folder):
+    """Uploads with values beyond the bounds of a field and of the unmapped rest."""
+    docs = t.table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    record = F.map_from_arrays(
+        F.array(F.lit("CommandLine"), F.lit("HostName"), F.lit("note")),
+        F.array(F.repeat("text", F.lit(40)), F.lit("h"), F.repeat("text", F.when(F.col("doc_id") % 2 == 0, 200).otherwise(0))),
+    )
+    rows = docs.select(
+        "doc_id",
+        normalize.parse_fields(F.to_json(record)).alias("fields"),
+        F.lit("manual-upload:x:0").alias("ProvenanceTag"),
+        F.lit(AS_OF).cast("timestamp").alias("IngestTimestamp"),
+        F.octet_length("text").alias("size"),
+    )
+    mapped = normalize.map_upload(rows)
+    return mapped.select(
+        "doc_id",
+        "was_cut",
+        (F.octet_length("CommandLine") <= normalize.FIELD_BYTES).alias("field_fits"),
+        (F.octet_length("UnmappedFields") <= normalize.UNMAPPED_BYTES).alias("rest_fits"),
+        F.try_parse_json("UnmappedFields").isNotNull().alias("rest_reads"),
+    )
 
 
 @query
@@ -152,6 +219,51 @@ def overlap_pull(spark, folder):
     return normalize.dedup_events(first.unionByName(second)).select(*EVENT_KEYS)
 
 
+@query
+def pull_slices(spark, folder):
+    return ingest.pull_slices(x.sec(spark, folder), rows_per_query=4, step="6 hours")
+
+
+@query
+def stream_drop(spark, folder):
+    path = scratch_path(spark, "drop")
+    t.table(spark, folder, "documents").select("text").write.text(path)
+    found = jobs.run_available(files.stream_drop(spark, path), "drop")
+    return found.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query
+def event_store(spark, folder):
+    """Events streamed to the store in two runs, its first month compacted between them and after."""
+    path = scratch_path(spark, "store")
+    stream, folders = x.arrivals(spark, folder)
+    for part in folders:
+        x.arrive(spark, part, stream)
+        store.stream_events(t.as_security_events(x.arrival_stream(spark, stream)), path)
+        store.compact(spark, path, 202402)
+    return store.read_store(spark, path).select(*EVENT_KEYS)
+
+
+@query
+def stream_late(spark, folder):
+    """Of four arrivals in any order of time: what came behind the watermark, and what did not."""
+    stream, folders = x.arrivals(spark, folder)
+    for part in folders:
+        x.arrive(spark, part, stream)
+    events = t.as_security_events(x.arrival_stream(spark, stream))
+    late, counts = jobs.late_rows(events, "TimeGenerated", "10 days")
+    kept = jobs.run_available(jobs.stream_dedup(events, lateness="10 days").select("EventRecordID", "SourceType"), "kept")
+    both = late.select("SourceType", F.lit(True).alias("late")).unionByName(kept.select("SourceType", F.lit(False).alias("late")))
+    return both.groupBy("SourceType", "late").agg(F.count("*").alias("events"))
+
+
+@query
+def stream_fanout(spark, folder):
+    events = t.as_security_events(_stream(spark, folder))
+    steps = jobs.run_available(jobs.stream_fanout(events, "SubjectUserName", "DstIpAddr", "1 hour"), "fanout")
+    return jobs.fanout_windows(steps, 2, "1 day")
+
+
 @query
 def write_events(spark, folder):
     path = scratch_path(spark, "events")
@@ -460,12 +572,16 @@ def search_incident(spark, folder):
 
 @query
 def ioc_match(spark, folder):
-    return search.ioc_match(x.sec(spark, folder), x.indicators(spark, folder), ["EventRecordID"])
+    return search.ioc_match(_hashed(x.sec(spark, folder)), x.indicators(spark, folder), ["EventRecordID"])
+
+
+def _hashed(events: DataFrame) -> DataFrame:
+    return events.withColumn("FileMD5", F.md5(F.col("HostName").cast("binary")))
 
 
 @query
 def ioc_counts(spark, folder):
-    return search.ioc_counts(x.sec(spark, folder), x.indicators(spark, folder))
+    return search.ioc_counts(_hashed(x.sec(spark, folder)), x.indicators(spark, folder))
 
 
 @query
@@ -611,8 +727,12 @@ def rules_precise(spark, folder):
 @query
 def self_rules(spark, folder):
     audit = ledger.rule_audit(x.rule_changes(spark, folder)).select("TimeGenerated", "EventType", "Detail")
-    records = ingest.union_sources(x.health(spark, folder).select("TimeGenerated", "EventType", "Detail"), audit)
-    return rules.self_rules(records)
+    at = F.lit(AS_OF).cast("timestamp")
+    judged = files.decompression_gate(x.archives(spark, folder), cap=2.0)
+    trips = files.decompression_health(judged, at).select("TimeGenerated", "EventType", "Detail")
+    lost = ledger.ledger_delta_records(reconcile_counts(spark, folder), at).select("TimeGenerated", "EventType", "Detail")
+    health = x.health(spark, folder).select("TimeGenerated", "EventType", "Detail")
+    return rules.self_rules(ingest.union_sources(health, audit, trips, lost))
 
 
 @query
@@ -748,6 +868,23 @@ def pending_batches(spark, folder):
     return ledger.pending_batches(x.hits(spark, folder))
 
 
+@query
+def delivery_marking(spark, folder):
+    """What waits after the first two batches of five have been delivered and marked."""
+    hits = x.hits(spark, folder)
+    sent = ledger.pending_batches(hits, 5).filter("batch_no < 2").select("hit_id")
+    return ledger.pending_batches(ledger.undelivered(hits, sent), 5)
+
+
+@query
+def new_evidence(spark, folder):
+    """Matches of the second half of the month that a run a day longer has not seen."""
+    events = x.sec(spark, folder)
+    earlier = rules.detect_rules(events, rules.AD_RULES, START, "2024-01-17 00:00:00")
+    matches = rules.detect_rules(events, rules.AD_RULES, "2024-01-16 00:00:00", END)
+    return ledger.new_evidence(matches, earlier).select("rule_id", "EventRecordID", "TimeGenerated")
+
+
 @query
 def security_records(spark, folder):
     records = ledger.security_records(x.hits(spark, folder))
@@ -895,6 +1032,29 @@ def replay_range(spark, folder):
     return ledger.replay_range(events, delivered, START, END).select(*EVENT_KEYS)
 
 
+@query
+def replay_ranges(spark, folder):
+    """Two ranges of two batches, replayed from an event table partitioned by month."""
+    path = scratch_path(spark, "events")
+    events = x.sec(spark, folder)
+    sinks.write_events(events, path)
+    ranges = local_table(
+        spark, [("a", "2024-01-03", "2024-01-05"), ("b", "2024-01-04", "2024-01-04"), ("c", "2024-01-04", "2024-01-09")], "batch_id string, s string, e string"
+    ).select("batch_id", F.col("s").cast("timestamp").alias("start"), F.col("e").cast("timestamp").alias("end"))
+    found = ledger.replay_ranges(sinks.read_events(spark, path), events.filter("DstPort <> 445"), ranges)
+    return found.select("batch_id", *EVENT_KEYS)
+
+
+@query
+def purge_events(spark, folder):
+    """What is left of an event table after its retention has been applied to the files, twice."""
+    path = scratch_path(spark, "events")
+    sinks.write_events(x.sec(spark, folder), path)
+    for _ in range(2):
+        retention.purge_events(spark, path, AS_OF)
+    return sinks.read_events(spark, path).select(*EVENT_KEYS)
+
+
 @query
 def batch_health(spark, folder):
     return ledger.batch_health(x.outcomes(spark, folder))
@@ -973,7 +1133,19 @@ def stats_bundle(spark, folder):
     bundle = kpi.stats_bundle(
         x.sec(spark, folder), x.hits(spark, folder), x.forward_rows(spark, folder), AS_OF
     )
-    return bundle.groupBy("section").agg(F.count("*").alias("entries"))
+    fields = F.from_json(
+        "entry",
+        "SourceType string, stream_tag string, rule_id string, severity string, event_count double, hits double, total double, "
+        "max_score double, p95 double, p99 double, last_batch_at timestamp",
+    )
+    e = bundle.select("section", fields.alias("e")).select("section", "e.*")
+    value = F.coalesce("event_count", "hits", "total", "p95", F.unix_seconds("last_batch_at").cast("double"))
+    return e.select(
+        "section",
+        F.concat_ws("|", "SourceType", "stream_tag", "rule_id", "severity").alias("name"),
+        value.alias("value"),
+        F.coalesce("max_score", "p99").alias("more"),
+    )
 
 
 @query
@@ -1168,9 +1340,25 @@ def stream_sessions(spark, folder):
 def stream_sequence(spark, folder):
     events = t.as_security_events(_stream(spark, folder))
     first, second = F.col("EventID") == 4768, F.col("EventID") == 4769
-    return jobs.run_available(
-        jobs.stream_sequence(events, first, second, "SubjectUserName", 6 * HOUR), "sequence"
-    )
+    with state.keyed_state(spark):
+        return jobs.run_available(jobs.stream_sequence(events, first, second, "SubjectUserName", 6 * HOUR), "sequence")
+
+
+@query
+def entity_state(spark, folder):
+    """Partial matches of two rules still open at the end of the stream, read back from its state."""
+    stream = t.as_security_events(_stream(spark, folder))
+    requested, granted, logon = (F.col("EventID") == n for n in (4768, 4769, 4624))
+    rule_set = [
+        state.SequenceRule("ticket-use", requested, granted, "SubjectUserName", 6 * HOUR),
+        state.SequenceRule("logon-after-request", requested, logon, "HostName", 2 * HOUR),
+    ]
+    with state.keyed_state(spark):
+        _, checkpoint = state.run_with_state(state.sequences(stream, rule_set), "entity-state")
+        last = x.sec(spark, folder).filter(requested | granted | logon).agg(F.max("TimeGenerated")).first()[0]
+        mark = F.lit(last) - F.expr(f"interval {state.LATENESS}")
+        held = state.entity_state(spark, checkpoint, mark)
+        return held.withColumn("first_id", F.get_json_object("payload", "$.first_id")).drop("payload")
 
 
 @query
@@ -1196,5 +1384,6 @@ def stream_detect(spark, folder):
 
 @query
 def stream_rate_limit(spark, folder):
-    kept = jobs.stream_rate_limit(t.raw_messages(_stream(spark, folder)), 3, "1 hour")
+    with state.keyed_state(spark):
+        kept = jobs.stream_rate_limit(t.raw_messages(_stream(spark, folder)), 3, "1 hour")
     return kept.select("id", "provenance_tag", "received_at")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+_CLOSED = "(SELECT max({0}) - INTERVAL '5 minutes' FROM sec)"
 SEC = r"""
 WITH base AS (
   SELECT event_id AS e, user_id AS u, value,
@@ -155,6 +156,11 @@ sql(
     "",
     f"SELECT line, count(*) AS n FROM (SELECT unnest({_LINES.format('text')}) AS line FROM documents) GROUP BY line",
 )
+sql(
+    "stream_drop",
+    "",
+    f"SELECT line, count(*) AS n FROM (SELECT unnest({_LINES.format('text')}) AS line FROM documents) GROUP BY line",
+)
 sql(
     "parse_evidence",
     "",
@@ -198,6 +204,25 @@ SELECT EventRecordID, CASE WHEN DstPort = 53 THEN 'flood' WHEN SourceType <> 'fo
 FROM sec
 """,
 )
+sql(
+    "evidence_arrays",
+    "",
+    "SELECT text AS message, doc_id AS k, lang, source FROM documents",
+)
+sql(
+    "evidence_csv",
+    "",
+    "SELECT coalesce(text, '') AS message, doc_id AS k, lang FROM documents",
+)
+sql(
+    "evidence_logs",
+    "",
+    r"""
+SELECT message, count(*) AS n, 0 AS gaps FROM (
+  SELECT regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g') AS raw, CASE WHEN doc_id % 3 = 0 THEN trim(raw) ELSE raw END AS message, doc_id % 3 AS kind FROM documents)
+WHERE kind > 0 OR (message IS NOT NULL AND message <> '') GROUP BY message
+""",
+)
 sql(
     "size_gate",
     "",
@@ -246,9 +271,45 @@ sql(
     "upload_summary",
     SEC,
     """
-SELECT HostName || '.jsonl' AS file, count(*) AS events_parsed, count(*) AS events_written,
-       count(*) FILTER (k % 2 = 0) AS events_unmapped, CAST(0 AS BIGINT) AS error_count, 'success' AS status
-FROM sec GROUP BY HostName
+SELECT HostName || '.jsonl' AS file, count(*) AS events_parsed, count(*) FILTER (NOT wrong) AS events_written,
+       count(*) FILTER (NOT wrong AND k % 2 = 0) AS events_unmapped, count(*) FILTER (wrong) AS error_count,
+       CASE WHEN bool_and(wrong) THEN 'failed' WHEN bool_or(wrong) THEN 'partial' ELSE 'success' END AS status
+FROM (SELECT *, HostName IN ('host3', 'host12') OR e % 5 = 1 AND HostName <> 'host7' AS wrong FROM sec) GROUP BY HostName
+""",
+)
+sql(
+    "upload_cuts",
+    "",
+    """
+SELECT doc_id, 40 * n > 65536 OR (doc_id % 2 = 0 AND 200 * (n + escapes) + 11 > 262144) AS was_cut, TRUE AS field_fits, TRUE AS rest_fits, TRUE AS rest_reads
+FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, octet_length(encode(to_json(coalesce(text, ''))::VARCHAR)) - 2 - n AS escapes FROM documents)
+""",
+)
+sql(
+    "pull_slices",
+    SEC,
+    """
+SELECT time_bucket(INTERVAL '6 hours', TimeGenerated) AS slice_start, count(*) AS rows, CAST(ceil(count(*) / 4.0) AS BIGINT) AS queries
+FROM sec GROUP BY ALL
+""",
+)
+sql("event_store", SEC, f"SELECT {KEYS} FROM sec")
+sql(
+    "stream_late",
+    SEC,
+    """
+SELECT SourceType, late, count(*) AS events FROM (
+  SELECT s.SourceType, coalesce(s.TimeGenerated <= (SELECT max(TimeGenerated) FROM sec b WHERE b.e % 4 < s.e % 4 - 1) - INTERVAL '10 days', FALSE) AS late FROM sec s)
+GROUP BY ALL
+""",
+)
+sql(
+    "stream_fanout",
+    SEC,
+    f"""
+SELECT SubjectUserName AS entity, date_trunc('day', TimeGenerated) AS window_start, count(DISTINCT DstIpAddr) AS targets FROM sec
+WHERE date_trunc('hour', TimeGenerated) + INTERVAL '1 hour' <= {_CLOSED.format("TimeGenerated")}
+GROUP BY ALL HAVING count(DISTINCT DstIpAddr) >= 2
 """,
 )
 sql("overlap_pull", SEC, f"SELECT {KEYS} FROM sec")
@@ -538,8 +599,19 @@ _IOC = (
     + """, ioc AS (
   SELECT 'IP' AS type, '10.1.0.' || s_suppkey AS value FROM supplier
   UNION SELECT 'Username', 'user' || s_suppkey FROM supplier
+  UNION SELECT 'Hostname', 'host' || (3 * s_suppkey) FROM supplier
+  UNION SELECT 'Port', CAST(440 + s_suppkey % 8 AS VARCHAR) FROM supplier
+  UNION SELECT 'EventID', CAST(4600 + s_suppkey % 70 AS VARCHAR) FROM supplier
+  UNION SELECT 'ProcessName', 'C:\\tools\\p' || s_suppkey || '.exe' FROM supplier
+  UNION SELECT 'FileHash', md5('host' || s_suppkey) FROM supplier
 ), seen AS (
-  SELECT 'IP' AS type, SrcIpAddr AS value, 'SrcIpAddr' AS "column", EventRecordID, TimeGenerated FROM sec
+  SELECT 'Hostname' AS type, HostName AS value, 'HostName' AS "column", EventRecordID, TimeGenerated FROM sec
+  UNION ALL SELECT 'Port', CAST(DstPort AS VARCHAR), 'DstPort', EventRecordID, TimeGenerated FROM sec
+  UNION ALL SELECT 'EventID', CAST(EventID AS VARCHAR), 'EventID', EventRecordID, TimeGenerated FROM sec
+  UNION ALL SELECT 'ProcessName', ProcessImagePath, 'ProcessImagePath', EventRecordID, TimeGenerated FROM sec WHERE ProcessImagePath <> ''
+  UNION ALL SELECT 'FileHash', md5(HostName), 'FileMD5', EventRecordID, TimeGenerated FROM sec
+  UNION ALL
+  SELECT 'IP', SrcIpAddr, 'SrcIpAddr', EventRecordID, TimeGenerated FROM sec
   UNION ALL SELECT 'IP', DstIpAddr, 'DstIpAddr', EventRecordID, TimeGenerated FROM sec
   UNION ALL SELECT 'Username', SubjectUserName, 'SubjectUserName', EventRecordID, TimeGenerated FROM sec
   UNION ALL SELECT 'Username', TargetUserName, 'TargetUserName', EventRecordID, TimeGenerated FROM sec
@@ -718,6 +790,11 @@ sql(
 SELECT 'SELF-002' AS rule_id, 'High' AS severity, TimeGenerated, EventType FROM flood
 UNION ALL
 SELECT 'SELF-003', 'High', TimeGenerated, 'RuleChangeAudit' FROM audit WHERE new_status IN ('draft', 'disabled')
+UNION ALL
+SELECT 'SELF-004', 'High', TIMESTAMP '2024-01-31', 'DecompressionCapTrip' FROM documents WHERE doc_id % 3 = 0
+UNION ALL
+SELECT 'SELF-005', 'High', TIMESTAMP '2024-01-31', 'LedgerDelta' FROM sec GROUP BY strftime(TimeGenerated, '%Y%m'), SourceType
+HAVING count(*) FILTER (DstPort = 445) > greatest(count(*) * 0.05, 50.0)
 """,
 )
 _HIT_COLUMNS = (
@@ -909,6 +986,20 @@ SELECT hit_id, rule_id, severity, hit_count, created_at, position, (position - 1
 FROM (SELECT *, row_number() OVER (ORDER BY created_at, hit_id) AS position FROM hits WHERE forwarded_at IS NULL)
 """,
 )
+sql(
+    "delivery_marking",
+    HITS,
+    """
+SELECT hit_id, rule_id, severity, hit_count, created_at, row_number() OVER (ORDER BY created_at, hit_id) AS position,
+  (row_number() OVER (ORDER BY created_at, hit_id) - 1) // 5 AS batch_no
+FROM (SELECT * FROM hits WHERE forwarded_at IS NULL QUALIFY row_number() OVER (ORDER BY created_at, hit_id) > 10)
+""",
+)
+sql(
+    "new_evidence",
+    MATCHES,
+    "SELECT rule_id, EventRecordID, TimeGenerated FROM matches WHERE TimeGenerated >= TIMESTAMP '2024-01-17' AND TimeGenerated < TIMESTAMP '2024-01-31'",
+)
 sql(
     "security_records",
     HITS,
@@ -1026,6 +1117,25 @@ FROM (
 ) GROUP BY SourceType, batch_key
 """,
 )
+sql(
+    "pack_batches_greedy",
+    SEC.replace("WITH base", "WITH RECURSIVE base", 1)
+    + """, numbered AS MATERIALIZED (
+  SELECT SourceType, CAST(k * 100 + 200 AS BIGINT) AS size, row_number() OVER (PARTITION BY SourceType ORDER BY TimeGenerated, EventRecordID) AS n
+  FROM sec
+), walk AS (
+  SELECT SourceType, n, size, CAST(0 AS BIGINT) AS batch_no, CAST(1 AS BIGINT) AS held, size AS bytes FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT m.SourceType, m.n, m.size, w.batch_no + CASE WHEN w.held >= 50 OR w.bytes + m.size > 200000 THEN 1 ELSE 0 END,
+         CASE WHEN w.held >= 50 OR w.bytes + m.size > 200000 THEN 1 ELSE w.held + 1 END,
+         CASE WHEN w.held >= 50 OR w.bytes + m.size > 200000 THEN m.size ELSE w.bytes + m.size END
+  FROM walk w JOIN numbered m ON m.SourceType = w.SourceType AND m.n = w.n + 1
+)""",
+    """
+SELECT SourceType, min((n - 1) // 50000) AS segment, batch_no, count(*) AS events, CAST(sum(size) AS BIGINT) AS bytes
+FROM walk GROUP BY SourceType, batch_no
+""",
+)
 _DAYS = (
     "CASE WHEN SourceType = 'wef' AND EventID = 10 THEN 14 WHEN SourceType = 'wef' THEN 14"
     " WHEN SourceType = 'forensic' THEN 30 ELSE 7 END"
@@ -1035,6 +1145,19 @@ sql(
     SEC,
     f"SELECT {KEYS} FROM sec WHERE TimeGenerated >= TIMESTAMP '2024-01-31' - to_days({_DAYS})",
 )
+sql(
+    "purge_events",
+    SEC,
+    f"SELECT {KEYS} FROM sec WHERE TimeGenerated >= TIMESTAMP '2024-01-31' - to_days({_DAYS})",
+)
+sql(
+    "replay_ranges",
+    SEC,
+    f"""
+SELECT batch_id, {KEYS} FROM sec, (VALUES ('a', TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-05'), ('c', TIMESTAMP '2024-01-04', TIMESTAMP '2024-01-09')) r(batch_id, low, high)
+WHERE TimeGenerated >= low AND TimeGenerated < high AND DstPort = 445
+""",
+)
 sql(
     "purge_report",
     SEC
@@ -1158,22 +1281,24 @@ SELECT stream_tag, CAST(sum(n) AS BIGINT) AS total FROM (
 WHERE forwarded_at >= TIMESTAMP '2024-01-01' AND forwarded_at < TIMESTAMP '2024-01-31' GROUP BY stream_tag
 """,
 )
+_DAY = "{0} >= TIMESTAMP '2024-01-30' AND {0} < TIMESTAMP '2024-01-31'"
 sql(
     "stats_bundle",
     HITS,
     f"""
-SELECT 'events_24h_by_source' AS section, count(DISTINCT SourceType) AS entries FROM sec
-  WHERE TimeGenerated >= TIMESTAMP '2024-01-30' AND TimeGenerated < TIMESTAMP '2024-01-31'
-UNION ALL SELECT 'events_7d_by_source', count(DISTINCT SourceType) FROM sec
-  WHERE TimeGenerated >= TIMESTAMP '2024-01-24' AND TimeGenerated < TIMESTAMP '2024-01-31'
-UNION ALL SELECT 'top_hits_24h', count(DISTINCT (rule_id, severity)) FROM hits
-  WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < TIMESTAMP '2024-01-31'
-UNION ALL SELECT 'score_percentiles_24h', 1
-UNION ALL SELECT 'severity_24h', count(DISTINCT severity) FROM hits
-  WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < TIMESTAMP '2024-01-31'
-UNION ALL SELECT 'forwarded_24h', count(DISTINCT SourceType) FROM sec
-  WHERE TimeGenerated >= TIMESTAMP '2024-01-30' AND TimeGenerated < TIMESTAMP '2024-01-31'
-UNION ALL SELECT 'batch_marker', 1
+SELECT 'events_24h_by_source' AS section, SourceType AS name, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS more FROM sec
+  WHERE {_DAY.format("TimeGenerated")} GROUP BY SourceType
+UNION ALL SELECT 'events_7d_by_source', SourceType, count(*), NULL FROM sec
+  WHERE TimeGenerated >= TIMESTAMP '2024-01-24' AND TimeGenerated < TIMESTAMP '2024-01-31' GROUP BY SourceType
+UNION ALL SELECT 'top_hits_24h', rule_id || '|' || severity, count(*), max(anomaly_score) FROM hits
+  WHERE {_DAY.format("created_at")} GROUP BY rule_id, severity
+UNION ALL SELECT 'score_percentiles_24h', '', round(quantile_cont(anomaly_score, 0.95), 6), round(quantile_cont(anomaly_score, 0.99), 6) FROM hits
+  WHERE {_DAY.format("created_at")} AND anomaly_score > 0
+UNION ALL SELECT 'severity_24h', severity, count(*), NULL FROM hits WHERE {_DAY.format("created_at")} GROUP BY severity
+UNION ALL SELECT 'forwarded_24h', stream_tag, sum(n), NULL FROM (
+  SELECT SourceType AS stream_tag, count(*) AS n, max(TimeGenerated) AS last FROM sec GROUP BY strftime(TimeGenerated, '%Y%m%d'), SourceType)
+  WHERE {_DAY.format("last")} GROUP BY stream_tag
+UNION ALL SELECT 'batch_marker', '', epoch(max(created_at)), NULL FROM hits
 """,
 )
 sql(
@@ -1356,7 +1481,6 @@ UNION ALL SELECT name, 2 FROM two WHERE name <> 'user8' AND name NOT IN (SELECT
 
 # -- streams: the batch answer, for what the watermark has closed --------------
 
-_CLOSED = "(SELECT max({0}) - INTERVAL '5 minutes' FROM sec)"
 sql(
     "stream_flood",
     SEC,
@@ -1396,6 +1520,18 @@ SELECT entity, first_at, first_events, first_id, next_at, next_id FROM pairs
 WHERE (ms // 21600000 + 2) * 21600000 <= (SELECT max(ms) FROM sec WHERE EventID IN (4768, 4769)) - 300000
 """,
 )
+sql(
+    "entity_state",
+    SEC,
+    """
+SELECT rule_id, entity AS entity_key, min(TimeGenerated) AS window_start, count(*) AS event_count, min(TimeGenerated) + to_milliseconds(span) AS expiry,
+  min(EventRecordID) AS first_id
+FROM (SELECT 'ticket-use' AS rule_id, SubjectUserName AS entity, 21600000 AS span, * FROM sec WHERE EventID = 4768
+  UNION ALL SELECT 'logon-after-request', HostName, 7200000, * FROM sec WHERE EventID = 4768)
+WHERE entity <> '' AND TimeGenerated + to_milliseconds(span) >= (SELECT max(TimeGenerated) FROM sec WHERE EventID IN (4768, 4769, 4624)) - INTERVAL '5 minutes'
+GROUP BY rule_id, entity, span, ms
+""",
+)
 _LOGONS = "EventID = 4624"
 _FLOWS = "DstPort = 445"
 sql(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.operators import ingest, rules
+from wardlight.session import scratch_path
 from wardlight.sources import telemetry as t
 
 AS_OF = t.AS_OF
@@ -39,6 +40,46 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def write_json_arrays(df: DataFrame, path: str, suffix: str = ".json") -> None:
+    """Rows as JSON arrays, one for each partition, in files with ``suffix``."""
+
+    def framed(batches):
+        last = None
+        for batch in batches:
+            lines = batch["value"].tolist()
+            if lines:
+                yield pd.DataFrame({"value": [("[" if last is None else ",") + lines[0], *("," + x for x in lines[1:])]})
+                last = lines[-1]
+        yield pd.DataFrame({"value": ["[]" if last is None else "]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(framed, "value string")
+    rows.write.text(path)
+    rename_parts(df.sparkSession, path, suffix)
+
+
+def write_with_header(df: DataFrame, header: str, path: str, suffix: str = ".csv") -> None:
+    """Rows of text under a header line, one file for each partition, in files with ``suffix``."""
+
+    def framed(batches):
+        yield pd.DataFrame({"value": [header]})
+        for batch in batches:
+            yield pd.DataFrame({"value": batch["row"]})
+
+    df.select("row").mapInPandas(framed, "value string").write.text(path)
+    rename_parts(df.sparkSession, path, suffix)
+
+
+def rename_parts(spark: SparkSession, path: str, suffix: str) -> None:
+    """Give the part files of a written text table another suffix."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name[: -len(".txt")] + suffix))
+
+
 def sec(spark: SparkSession, folder: str) -> DataFrame:
     return t.security_events(spark, folder)
 
@@ -227,7 +268,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def indicators(spark: SparkSession, folder: str) -> DataFrame:
-    """Indicator table: every supplier names an address and a user."""
+    """Indicator table: every supplier names one indicator of each of the seven types."""
     key = F.col("s_suppkey").cast("string")
     pair = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
     return t.table(spark, folder, "supplier").select(
@@ -235,6 +276,32 @@ def indicators(spark: SparkSession, folder: str) -> DataFrame:
             F.array(
                 pair("IP", F.concat(F.lit("10.1.0."), key)),
                 pair("Username", F.concat(F.lit("user"), key)),
+                pair("Hostname", F.concat(F.lit("host"), (3 * F.col("s_suppkey")).cast("string"))),
+                pair("Port", (440 + F.col("s_suppkey") % 8).cast("string")),
+                pair("EventID", (4600 + F.col("s_suppkey") % 70).cast("string")),
+                pair("ProcessName", F.concat(F.lit("C:\\tools\\p"), key, F.lit(".exe"))),
+                pair("FileHash", F.md5(F.concat(F.lit("host"), key).cast("binary"))),
             )
         )
     )
+
+
+def arrivals(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
+    """The events in four parts by number, whatever their time: where a stream reads, and the parts."""
+    path = scratch_path(spark, "arrivals")
+    events = t.table(spark, folder, "events")
+    parts = []
+    for k in range(4):
+        parts.append(f"{path}/part-{k}")
+        events.filter(F.col("event_id") % 4 == k).write.parquet(parts[-1])
+    return f"{path}/stream", parts
+
+
+def arrive(spark: SparkSession, part: str, stream: str) -> None:
+    """Append a part to what the stream reads, as one file; a part is one micro-batch."""
+    spark.read.parquet(part).coalesce(1).write.mode("append").parquet(stream)
+
+
+def arrival_stream(spark: SparkSession, stream: str) -> DataFrame:
+    schema = spark.read.parquet(stream).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stream)

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import columns as c
 from wardlight.operators.normalize import parse_fields
-from wardlight.operators.ordering import small_side, with_running
+from wardlight.operators.ordering import small_side
 
 DROP_PATTERN = "*.{json,jsonl,txt}"
 # Extensions an upload may have.
 UPLOAD_EXTENSIONS = ["json", "jsonl", "csv", "log", "txt"]
 MAX_FILE_BYTES = 100 * 1024 * 1024
 RATIO_CAP = 20.0
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
 def scan_drop(spark: SparkSession, folder: str, pattern: str = DROP_PATTERN) -> DataFrame:
@@ -147,46 +147,56 @@ def decompression_health(judged: DataFrame, at: Column) -> DataFrame:
 
 def _lines(content: Column) -> Column:
     return F.filter(
-        F.transform(F.split(content, _LINE_END), lambda x: c.strip(x)), lambda x: F.length(x) > 0
+        F.transform(F.split(content, LINE_END), lambda x: c.strip(x)), lambda x: F.length(x) > 0
     )
 
 
-def _csv_records(content: Column) -> Column:
-    """Rows of a CSV text with a header, as JSON objects.
+#: Separators within quotes, hidden behind a NUL, which text that passed the gate does not hold.
+_HIDDEN = [(",", "\0c"), ("\n", "\0n"), ("\r", "\0r")]
+
+
+def _shown(x: Column, back: bool = False) -> Column:
+    for plain, mark in _HIDDEN:
+        x = F.replace(x, F.lit(mark), F.lit(plain)) if back else F.replace(x, F.lit(plain), F.lit(mark))
+    return x
+
+
+def csv_rows(content: Column) -> Column:
+    """The rows of a CSV text that are not empty, separators within quotes hidden.
 
-    Splits on commas and line ends outside quotes; a doubled quote is a quote.
-    Every second part between quotes is quoted: there the separators are hidden
-    behind a NUL, which text that passed the gate does not hold.
+    Every second part between quotes is quoted; a doubled quote is a quote.
     """
-    hidden = [(",", "\0c"), ("\n", "\0n"), ("\r", "\0r")]
+    parts = F.transform(F.split(content, '"'), lambda x, i: F.when(i % 2 == 1, _shown(x)).otherwise(x))
+    return F.filter(F.split(F.array_join(parts, '"'), "[\r\n]+"), lambda x: F.length(x) > 0)
 
-    def shown(x: Column, back: bool = False) -> Column:
-        for plain, mark in hidden:
-            x = F.replace(x, F.lit(mark), F.lit(plain)) if back else F.replace(x, F.lit(plain), F.lit(mark))
-        return x
 
-    parts = F.transform(F.split(content, '"'), lambda x, i: F.when(i % 2 == 1, shown(x)).otherwise(x))
-    rows = F.filter(F.split(F.array_join(parts, '"'), "[\r\n]+"), lambda x: F.length(x) > 0)
+def csv_cells(row: Column) -> Column:
+    """The values of a row of :func:`csv_rows`."""
 
     def cell(x: Column) -> Column:
         inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-        return shown(F.when(x.startswith('"'), inner).otherwise(x), back=True)
+        return _shown(F.when(x.startswith('"'), inner).otherwise(x), back=True)
 
-    cells = lambda row: F.transform(F.split(row, ","), cell)
-    header = cells(F.try_element_at(rows, F.lit(1)))
-    pair = lambda row: F.map_from_entries(
-        F.filter(
-            F.arrays_zip(header.alias("key"), F.slice(cells(row), F.lit(1), F.size(header)).alias("value")),
-            lambda e: e["key"].isNotNull() & e["value"].isNotNull(),
-        )
-    )
+    return F.transform(F.split(row, ","), cell)
+
+
+def csv_object(header: Column, row: Column) -> Column:
+    """A row as a JSON object; cells beyond the header, or beyond the row, are left out."""
+    pairs = F.arrays_zip(header.alias("key"), F.slice(csv_cells(row), F.lit(1), F.size(header)).alias("value"))
+    return F.to_json(F.map_from_entries(F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull())))
+
+
+def _csv_records(content: Column) -> Column:
+    """Rows of a CSV text with a header, as JSON objects."""
+    rows = csv_rows(content)
+    header = csv_cells(F.try_element_at(rows, F.lit(1)))
     body = F.when(F.size(rows) > 1, F.slice(rows, F.lit(2), F.size(rows) - 1)).otherwise(
         F.array().cast("array<string>")
     )
-    return F.transform(body, lambda row: F.to_json(pair(row)))
+    return F.transform(body, lambda row: csv_object(header, row))
 
 
-def _is_object(json_text: Column) -> Column:
+def is_object(json_text: Column) -> Column:
     return parse_fields(json_text).isNotNull()
 
 
@@ -207,7 +217,7 @@ def parse_evidence(files: DataFrame, content: str = "content", max_events: int |
     """
     text = F.col(content)
     lines = _lines(text)
-    objects = F.filter(lines, _is_object)
+    objects = F.filter(lines, is_object)
     whole = F.transform(
         F.filter(
             F.coalesce(
@@ -246,7 +256,7 @@ def parse_drop_lines(lines: DataFrame) -> DataFrame:
     computed map-side, so a file may be of any size.
     """
     work = lines.select("file", "received_at", c.strip(F.col("line")).alias("line")).filter("line <> ''")
-    work = work.withColumn("_object", _is_object(F.col("line")))
+    work = work.withColumn("_object", is_object(F.col("line")))
     flags = small_side(work.groupBy("file").agg(F.max("_object").alias("_has_objects")))
     loose = extension(F.col("file")).isin("log", "txt")
     return (
@@ -262,15 +272,6 @@ def parse_drop_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_records(records: DataFrame, order: list[str], max_events: int) -> DataFrame:
-    """An event cap for line files of any size: a running number per file."""
-    return (
-        with_running(records, ["file"], order, number="_n")
-        .filter(F.col("_n") <= max_events)
-        .drop("_n")
-    )
-
-
 def upload_summary(files: DataFrame, mapped: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Per file: parsed, written, unmapped, errors and the resulting status.
 
