@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.session import scratch_path
@@ -19,6 +21,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the broadcasts and shuffles of finished jobs from the executors.
+
+    Its cleaner acts on what the driver's collectors find unused; by itself the
+    driver, which holds little, would not collect between the steps of a pipeline.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 SIFT_BITS = 1 << 25
 
 
