@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import quality_model, quality_rules, queries, repeats, shingle_join
-from wardlight.llm.tables import written
+from wardlight.llm.tables import tidy, written
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,8 +30,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are numbered first, so rows that repeat an id or have none take part
     like any other.  The row with the smallest id stays; no id comes last.
     """
+    tidy(spark)
     rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = shingle_join.near_duplicates(rows, key="_row").where("n_links > 0")
+    tidy(spark)
     linked = written(found.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row"), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
     survivors = linked.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
@@ -41,6 +43,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; a character goes as a whole."""
+    tidy(spark)
     cut = repeats.remove_repeats(docs, keep=["doc_id", "lang", "source"], whole_characters=True)
     text = F.col("kept_bytes").cast("string")
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -48,6 +51,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise the documents and pack them into training sequences, token ids included."""
+    tidy(spark)
     return queries.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
