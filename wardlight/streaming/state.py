@@ -106,6 +106,9 @@ class _Allowance(StatefulProcessor):
         pass
 
 
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def rate_limited(
     raw: DataFrame,
     limit: int,
@@ -137,7 +140,8 @@ def rate_limited(
             c.salt(F.col(key), salts).alias("salt"),
             F.col(at).alias("at"),
             F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"),
-            F.struct(*raw.columns).alias("row"),  # one column, so that its values keep their types
+            # One text, so that its values come back as they were: numbers beside nulls would not.
+            F.to_json(F.struct(*raw.columns), _EXACT).alias("row"),
         )
     )
     schema = rows.schema
@@ -145,7 +149,7 @@ def rate_limited(
         rows = rows.groupBy(*keys).transformWithStateInPandas(
             _Allowance(limit), schema, "Append", "EventTime", eventTimeColumnName="at"
         )
-    return rows.select("row.*")
+    return rows.select(F.from_json("row", raw.schema, _EXACT).alias("row")).select("row.*")
 
 
 # -- sequences --------------------------------------------------------------------
