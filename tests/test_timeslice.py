@@ -90,3 +90,15 @@ def test_sifted_values_are_few(spark, folder):
     assert sorted(map(tuple, matches.collect())) == sorted(map(tuple, whole.select(*matches.columns).collect()))
     assert matches.count() <= spread <= 2 * matches.count()
     assert search.ioc_match(sec, wanted.limit(0), ["EventRecordID"]).count() == 0
+
+
+def test_no_row_carries_the_whole_filter(spark, folder):
+    """A value meets one piece of the bitmap; a cross join would copy all of it into every event."""
+    sec = t.security_events(spark, folder)
+    wanted = spark.range(3000).select(F.lit("Username").alias("type"), F.concat(F.lit("user"), "id").alias("value"))
+    met = search.searchable_values(sec, ["EventRecordID"], wanted)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    whole = search.searchable_values(sec, ["EventRecordID"]).join(wanted, ["type", "value"])
+    got = search.ioc_match(sec, wanted, ["EventRecordID"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(*got.columns).collect()))

@@ -1,9 +1,10 @@
-"""A membership filter of bounded size, tested on values before they are spread over rows.
+"""A membership filter of bounded size, tested on values before they are shuffled.
 
 The filter is a bitmap of hashes, ``BITS_PER_VALUE`` bits for each value of the
 table but at most ``MAX_BITS`` (16 MB) in all, whatever the table: that is what
-may be broadcast.  A value without its bit is certainly not in the table; others
-still have to be joined to it.
+may be broadcast, in pieces of 4 KB.  A value meets the one piece that its hash
+falls in, so no row ever carries the whole bitmap.  A value without its bit is
+certainly not in the table; others still have to be joined to it.
 """
 
 from __future__ import annotations
@@ -25,22 +26,29 @@ def filter_bits(values: int) -> int:
 
 
 def bitmap_of(table: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """(one row with ``_pieces``, number of bits): the hashes of a table's rows."""
+    """(rows of ``_piece`` and its ``_bits``, number of bits): the hashes of a table's rows.
+
+    A piece without a hash has no row.
+    """
     bits = filter_bits(table.count())
-    place = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # Spark numbers pieces and bits from one
-    pieces = table.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    place = _place(columns, bits) + 1  # Spark numbers pieces and bits from one
+    pieces = table.select(place.alias("place")).groupBy((F.bitmap_bucket_number("place") - 1).alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits")
     )
-    every = table.sparkSession.range(1, bits // PIECE + 1).withColumnRenamed("id", "bucket")
-    parts = F.sort_array(F.collect_list(F.struct("bucket", "bits")))  # at most MAX_BITS
-    held = every.join(pieces, "bucket", "left").agg(F.transform(parts, lambda p: p["bits"]).alias("_pieces"))
-    return checkpointed(held), bits
+    return checkpointed(pieces), bits
+
+
+def _place(columns: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
 
-def maybe_member(pieces: Column, bits: int, *values: Column) -> Column:
-    """False where the values are certainly not a row of the table."""
-    place = F.pmod(F.xxhash64(*values), F.lit(bits))
-    piece, at = F.get(pieces, (place / PIECE).cast("int")), (place % PIECE).cast("int")
-    byte = F.substring(piece, F.floor(at / 8).cast("int") + 1, F.lit(1))
+def sifted(values: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``values`` that may be in ``table`` by ``columns``."""
+    pieces, bits = bitmap_of(table, columns)
+    placed = values.withColumn("_place", _place(columns, bits))
+    placed = placed.withColumn("_piece", F.shiftright("_place", PIECE.bit_length() - 1))
+    at = (F.col("_place") % PIECE).cast("int")
+    byte = F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))
     number = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.coalesce(number.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), at % 8 + 1)) != 0, F.lit(False))
+    met = placed.join(F.broadcast(pieces), "_piece")  # at most MAX_BITS
+    return met.where(F.getbit(number, at % 8) != 0).select(*values.columns)

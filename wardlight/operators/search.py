@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlight import schema as s
 from wardlight.functions import columns as c
-from wardlight.operators.membership import bitmap_of, maybe_member
+from wardlight.operators.membership import sifted
 from wardlight.operators.timeslice import back_from, in_slice
 from wardlight.session import checkpointed
 
@@ -143,7 +143,7 @@ def searchable_values(events: DataFrame, keep: list[str], indicators: DataFrame
     """(type, value, column, keep...): every non-empty searchable value.
 
     With ``indicators`` (type, value) values that are certainly none of them are
-    dropped inside their event, before one row is made of each.
+    dropped where they are read, before any is shuffled.
     """
     spots = [(kind, n) for kind, names in SEARCH_COLUMNS.items() for n in names]
     spots += [("FileHash", n) for n in HASH_COLUMNS.values()]
@@ -156,12 +156,8 @@ def searchable_values(events: DataFrame, keep: list[str], indicators: DataFrame
         )
         for kind, n in spots
     ]
-    found = F.array_compact(F.array(*items))
-    if indicators is not None:
-        held, bits = bitmap_of(indicators, ["type", "value"])
-        events = events.join(F.broadcast(held))  # one row
-        found = F.filter(found, lambda v: maybe_member(F.col("_pieces"), bits, v["type"], v["value"]))
-    return events.select(F.explode(found).alias("v"), *keep).select("v.*", *keep)
+    values = events.select(F.explode(F.array_compact(F.array(*items))).alias("v"), *keep).select("v.*", *keep)
+    return values if indicators is None else sifted(values, indicators, ["type", "value"])
 
 
 def ioc_match(events: DataFrame, indicators: DataFrame, keep: list[str]) -> DataFrame:
