@@ -129,3 +129,14 @@ def test_lines_and_gates(narrow, tmp_path):
     of = {r.file.rsplit("/", 1)[1]: r.verdict for r in verdicts.collect()}
     refused = {"binary.json", "nul.csv", "nul.txt"}
     assert of == {name: "BINARY_CONTENT_REJECTED" if name in refused else "accepted" for name in of} and refused < set(of) and not refused & set(got)
+
+
+def test_empty_partitions_are_no_files(spark, tmp_path):
+    """Only rows become records: a partition without any leaves no array that a log would show as a line."""
+    from wardlight.plans import samples
+
+    rows = spark.range(10).repartition(4, F.col("id") % 2).select(F.col("id").cast("string").alias("message"))
+    samples.write_json_arrays(rows, str(tmp_path / "logs"), ".log")
+    records, verdicts = evidence.read_evidence(spark, str(tmp_path / "logs"))
+    assert sorted(json.loads(r.record)["message"] for r in records.collect()) == sorted(map(str, range(10)))
+    assert {r.verdict for r in verdicts.collect()} == {"accepted"}
