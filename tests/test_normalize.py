@@ -178,3 +178,14 @@ def test_dedup_is_idempotent_and_keeps_the_first(spark, sec):
     once = normalize.dedup_events(again.unionByName(sec))
     assert once.count() == sec.count() == normalize.dedup_events(once).count()
     assert once.exceptAll(sec).count() == 0
+
+
+def test_ingest_at_the_time_of_the_event_is_shown(spark, tmp_path):
+    """A dash stands for an absent time only; an event may be taken in within the millisecond."""
+    from wardlight.plans.catalog import QUERIES
+
+    row = "select 5L event_id, timestamp_ntz'2024-01-02 03:04:05' ts, 1L user_id, 'click' event_type, 0.0D value, '{\"k\": 3}' props"
+    spark.sql(row).write.parquet(str(tmp_path / "events.parquet"))
+    shown = QUERIES["display_times"](spark, str(tmp_path)).first()
+    assert shown.event_time == "2024-01-02 03:04:05 UTC (05:04:05 +02:00)"
+    assert shown.ingest_time == "2024-01-02 03:04:05 UTC (21:34:05 -05:30)"
