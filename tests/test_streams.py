@@ -242,3 +242,46 @@ def test_health_stream_appends_once(spark, tmp_path):
         store.stream_health(stream(spark, source), path)
     got = spark.read.schema("EventType string, EventCount long").json(f"{path}/live")
     assert rows(got) == [("e0", 0), ("e1", 1), ("e2", 2)]
+
+
+def test_state_is_asked_once_a_key_not_once_a_moment():
+    """A key's moments go to its state in one call and are read in one when time has passed, over however many spans."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls, self.timers = [], 0, set()
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10_000
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def clear(self):
+            self.rows, self.calls = [], self.calls + 1
+
+    held, partial = Held(), state._Partial()
+    partial.init(held)
+    moments = [(ms, 10, 1, f"f{ms}", f"s{ms}" if ms % 2 else None) for ms in range(0, 20_000, 7)]
+    rows = pd.DataFrame(moments, columns=["ms", "span", "firsts", "first_id", "next_id"])
+    list(partial.handleInputRows(("r", "e", 0), iter([rows]), None))
+    assert held.timers == {20} and held.calls == 1
+    (found,) = partial.handleExpiredTimer(("r", "e", 0), held, None)
+    assert held.calls == 3
+    done = [ms for ms, *_ in moments if (ms // 10 + 2) * 10 <= 10_000]
+    assert list(found["first_id"]) == [f"f{ms}" for ms in reversed(done) if (ms + 7) % 2]
+    assert sorted(m[0] for m in held.rows if m[2]) == [ms for ms, *_ in moments if ms not in set(done)]
