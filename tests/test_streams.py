@@ -285,3 +285,34 @@ def test_state_is_asked_once_a_key_not_once_a_moment():
     done = [ms for ms, *_ in moments if (ms // 10 + 2) * 10 <= 10_000]
     assert list(found["first_id"]) == [f"f{ms}" for ms in reversed(done) if (ms + 7) % 2]
     assert sorted(m[0] for m in held.rows if m[2]) == [ms for ms, *_ in moments if ms not in set(done)]
+
+
+def test_join_meets_by_address_and_step_of_time(spark, folder, pieces):
+    """A logon is held against the flow minutes of its time, not all of its address; none is lost at a step's edge."""
+    logons, flows = (t.as_security_events(stream(spark, pieces)) for _ in range(2))
+    joined = jobs.stream_join(logons, flows, "6 hours")
+    condition = joined._jdf.queryExecution().analyzed().toString()
+    assert "logon_step" in condition and "flow_step" in condition
+    got = jobs.run_available(joined, "join")
+    sec = t.security_events(spark, folder)
+    minute = (F.date_trunc("minute", "TimeGenerated") + F.expr("interval 1 minute - interval 1 microsecond")).alias("flow_minute")
+    minutes = sec.where("DstPort = 445").groupBy(F.col("SrcIpAddr").alias("address"), minute).agg(F.count("*").alias("flows"))
+    last = [sec.where(kind).agg(F.max("TimeGenerated")).first()[0] for kind in ("EventID = 4624", "DstPort = 445")]
+    mark = F.lit(min(last)) - F.expr("interval 5 minutes")
+    found = sec.where("EventID = 4624").join(minutes, F.col("SrcIpAddr") == F.col("address")).where(
+        (F.abs(F.unix_micros("flow_minute") - F.unix_micros("TimeGenerated")) <= 6 * HOUR * 1000) & (F.col("flow_minute") < mark)
+    )
+    want = found.select(F.col("EventRecordID").alias("logon_id"), "address", F.col("TimeGenerated").alias("logon_at"), "flow_minute", "flows")
+    assert rows(got) == rows(want) != []
+
+
+def test_an_arrival_is_read_by_many_tasks(spark, folder, tmp_path, monkeypatch):
+    """One file is one micro-batch, but its row groups are small."""
+    import pyarrow.parquet as pq
+
+    from wardlight.plans import samples
+
+    monkeypatch.setattr(samples, "ARRIVAL_BLOCK", 4096)
+    samples.arrive(spark, f"{folder}/events.parquet", str(tmp_path / "stream"))
+    (file,) = (tmp_path / "stream").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
