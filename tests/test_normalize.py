@@ -189,3 +189,33 @@ def test_ingest_at_the_time_of_the_event_is_shown(spark, tmp_path):
     shown = QUERIES["display_times"](spark, str(tmp_path)).first()
     assert shown.event_time == "2024-01-02 03:04:05 UTC (05:04:05 +02:00)"
     assert shown.ingest_time == "2024-01-02 03:04:05 UTC (21:34:05 -05:30)"
+
+
+def test_upper_maps_are_columns(spark):
+    """A merge takes its upper map from a column, not by reading the record again for every key of the lower."""
+    payload = '{"System": {"Provider": {"Name": "p"}, "EventID": 4}, "EventData": {"IpAddress": "::ffff:10.0.0.1", "EventID": 5}}'
+    frame = spark.createDataFrame([(payload,)], "payload string").select(normalize.parse_fields(F.col("payload")).alias("fields"))
+    flat = normalize.unwrap_nested(frame)
+    assert flat.columns == ["fields"]
+    assert json.loads(flat.select(F.to_json("fields").alias("j")).first().j) == {"Provider": "p", "EventID": 5, "IpAddress": "10.0.0.1"}
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "_system" in plan and "_data" in plan
+
+
+def test_each_run_is_decoded_once(spark):
+    frame = spark.range(1).select(F.base64(F.encode(F.lit("a text of some length to be wrapped over lines " * 4), "UTF-8")).alias("CommandLine"))
+    found = normalize.decode_base64(frame.repartition(1))
+    assert found.first().DecodedText == "a text of some length to be wrapped over lines " * 4
+    assert found._jdf.queryExecution().analyzed().toString().lower().count("try_to_binary") == 1
+
+
+def test_upload_rest_is_written_once(spark):
+    """The rest is a column of its own; text that ends in many blanks is still an object."""
+    text = json.dumps({"CommandLine": "x" * 70_000, "note": "y" * 300_000}) + " " * 200
+    frame = spark.createDataFrame([(text,), (text + "x",)], "payload string").select(
+        normalize.parse_fields(F.col("payload")).alias("fields"), F.lit("t").alias("ProvenanceTag"), F.current_timestamp().alias("IngestTimestamp")
+    )
+    mapped = normalize.map_upload(frame.where("fields is not null"))
+    row = mapped.collect()[0]
+    assert row.was_cut and row.CommandLine == "x" * 65536 and json.loads(row.UnmappedFields)["_bytes"] == 300_011
+    assert mapped.count() == 1 and "_rest" in mapped._jdf.queryExecution().analyzed().toString()
