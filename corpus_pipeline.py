@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import quality_model, quality_rules, queries, repeats, shingle_join
-from wardlight.llm.tables import tidy, written
+from wardlight.llm.tables import small_batches, tidy, written
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,12 +14,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose quality score is 0.3 or more."""
+    small_batches(spark)
     model = quality_model.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.score(docs, model).where("score >= 0.3").select(*COLUMNS)
 
 
 def robust_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the base rules and lie within their group's estimate."""
+    small_batches(spark)
+    tidy(spark)
     model = quality_rules.fit(quality_rules.statistics(docs, keep=["lang", "source"]))
     return quality_rules.judge(quality_rules.statistics(docs), model).where("kept").select(*COLUMNS)
 
@@ -30,6 +33,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are numbered first, so rows that repeat an id or have none take part
     like any other.  The row with the smallest id stays; no id comes last.
     """
+    small_batches(spark)
     tidy(spark)
     rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = shingle_join.near_duplicates(rows, key="_row").where("n_links > 0")
@@ -43,6 +47,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; a character goes as a whole."""
+    small_batches(spark)
     tidy(spark)
     cut = repeats.remove_repeats(docs, keep=["doc_id", "lang", "source"], whole_characters=True)
     text = F.col("kept_bytes").cast("string")
@@ -51,6 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise the documents and pack them into training sequences, token ids included."""
+    small_batches(spark)
     tidy(spark)
     return queries.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
 

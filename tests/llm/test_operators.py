@@ -726,3 +726,31 @@ def test_caches_are_bounded_in_bytes():
         tokens = packing.WordTokens(file.read(), 2, limit=20_000)
     plain = [tokens.encode(f"word{k} other{k}".encode()).tolist() for k in range(500)]
     assert len(tokens) < 120 and plain == [tokens.encode(f"word{k} other{k}".encode()).tolist() for k in range(500)]
+
+
+def test_pipeline_stages_hand_small_batches_to_python(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from wardlight.llm import tables
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 300) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    before = spark.conf.get(tables.BATCH_SETTING, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES[-1:]:
+            spark.conf.unset(tables.BATCH_SETTING)
+            assert stage(spark, docs, "").count() >= 4000, name
+            seen = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+            assert sum(seen) > 13_000_000 and max(seen) <= 2 * tables.BATCH_BYTES
+        spark.conf.set(tables.BATCH_SETTING, "5000000")
+        tables.small_batches(spark)
+        assert spark.conf.get(tables.BATCH_SETTING) == "5000000"
+    finally:
+        spark.conf.unset(tables.BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(tables.BATCH_SETTING, before)
