@@ -728,6 +728,34 @@ def test_caches_are_bounded_in_bytes():
     assert len(tokens) < 120 and plain == [tokens.encode(f"word{k} other{k}".encode()).tolist() for k in range(500)]
 
 
+def test_transforms_are_sorted_as_deep_as_the_merge_looks(monkeypatch):
+    from wardlight.llm import textbytes as tb
+
+    # Two long equal strings (apart from their ends) must not take rounds beyond ``length``.
+    symbol = np.array([1] * 40 + [0] + [1] * 40 + [0], np.uint32)
+    begins = np.repeat(np.array([0, 41], np.int32), 41)
+    sorts = []
+    real = repeats.stable_order
+
+    def counted(values):
+        sorts.append(len(values))
+        return real(values)
+
+    monkeypatch.setattr(repeats, "stable_order", counted)
+    found = repeats.build(symbol, 0, 82, begins, 1, 4)
+    assert len(sorts) == 3  # the symbols, then two doublings
+    text = [tuple(symbol[p : (41 if p < 41 else 82)][:4]) for p in found.position]
+    assert text == sorted(text) and sorted(found.position.tolist()) == list(range(82))
+    # Keys that order windows give the rightmost smallest hash, and running windows the hashes of their ranges.
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 9, 900).astype(np.uint64) << np.uint64(60)
+    for width in (1, 7, 337):
+        want = [max(range(i, i + width), key=lambda j: (-int(hashes[j]), j)) for i in range(900 - width + 1)]
+        assert repeats.window_minima(hashes, width).tolist() == want
+    hasher = tb.Hasher(rng.integers(0, 3, 500).astype(np.uint8))
+    assert (hasher.windows(64) == hasher.ranges(np.arange(437), np.arange(437) + 64)).all() and not len(hasher.windows(501))
+
+
 def test_pipeline_stages_hand_small_batches_to_python(spark):
     import corpus_pipeline
     import pyarrow as pa
