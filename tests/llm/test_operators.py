@@ -782,3 +782,18 @@ def test_pipeline_stages_hand_small_batches_to_python(spark):
         spark.conf.unset(tables.BATCH_SETTING)
         if before is not None:
             spark.conf.set(tables.BATCH_SETTING, before)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # More rows of either label than the sample had, dealt into several shards.
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id % 50, if(id % 2 = 0, ' vile', ' mild')) as text", "'en' as lang")
+    known = docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as toxic")
+    model = toxicity.learn(docs, known, toxicity.Settings(epochs=1, shard=1000))
+    apart = docs.selectExpr("xxhash64(doc_id, text, 'place') as place").where("pmod(shiftrightunsigned(place, 32), 5) = 0").count()
+    assert model.seen == 6000 - apart and 0.7 * 6000 < model.seen < 0.9 * 6000
+    # Long texts count as well: here they are the only ones of their label.
+    texts = [("calm words here " * 5, 0)] * 30 + [("vile words here " * 87_000, 1)] * 8
+    docs = spark.createDataFrame([(k, t, "en", y) for k, (t, y) in enumerate(texts)], "doc_id long, text string, lang string, toxic int")
+    model = toxicity.learn(docs, docs.select("doc_id", "toxic"), toxicity.Settings(epochs=2))
+    found = toxicity.score(docs, model, ["doc_id"]).select("doc_id", "score").toPandas()
+    assert found.score[found.doc_id >= 30].min() > found.score[found.doc_id < 30].max()
