@@ -10,6 +10,8 @@ from wardlight.llm.tables import small_batches, tidy, written
 from wardlight.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Repeated passages go from this many words on, and from 400 bytes on, whichever they have first.
+PASSAGE_WORDS = 51
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +48,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated passages out of the texts; a character goes as a whole."""
+    """Cut repeated passages of over 50 words, or of 400 bytes, out of the texts; a character goes as a whole."""
     small_batches(spark)
     tidy(spark)
-    cut = repeats.remove_repeats(docs, keep=["doc_id", "lang", "source"], whole_characters=True)
+    cut = repeats.remove_repeats(docs, keep=["doc_id", "lang", "source"], whole_characters=True, passage_words=PASSAGE_WORDS)
     text = F.col("kept_bytes").cast("string")
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -797,3 +797,50 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     model = toxicity.learn(docs, docs.select("doc_id", "toxic"), toxicity.Settings(epochs=2))
     found = toxicity.score(docs, model, ["doc_id"]).select("doc_id", "score").toPandas()
     assert found.score[found.doc_id >= 30].min() > found.score[found.doc_id < 30].max()
+
+
+@pytest.mark.parametrize("extra", [{}, {"per_task": 2, "merge_bytes": 30, "shard_bytes": 20}])
+def test_repeated_words_match_brute_force(spark, monkeypatch, extra):
+    import re
+    from dataclasses import replace
+
+    real = repeats.word_settings
+    monkeypatch.setattr(repeats, "word_settings", lambda n: replace(real(n), gram=2, **extra))
+    rng = random.Random(8)
+    some = [words(rng, 9).split(" ") for _ in range(3)]
+    texts = []
+    for _ in range(100):
+        t = words(rng, rng.randint(1, 30)).split(" ")
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randint(0, len(t))
+            t = t[:k] + rng.choice(some) + t[k:]
+        texts.append(rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\n\t", " é "]).join(t))
+    texts += [None, "", " \n", "z " * 30, texts[5], "é" * 90, "é" * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.remove_repeats(docs, repeats.Settings(length=48, stride=12, gram=16), whole_characters=True, passage_words=6)
+    data, gone = brute_repeats(texts, 48)
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in data]
+    counts = Counter(tuple(t[a:b] for a, b in own[i : i + 6]) for t, own in zip(data, spans) for i in range(len(own) - 5))
+    plain = [g.copy() for g in gone]
+    for t, own, g in zip(data, spans, gone):
+        hit = {i + d for i in range(len(own) - 5) if counts[tuple(t[a:b] for a, b in own[i : i + 6])] > 1 for d in range(6)}
+        for i in hit:  # with the white space up to the next word, if that goes, too
+            g[own[i][0] : own[i + 1][0] if i + 1 in hit else own[i][1]] = True
+        for k in range(len(t)):  # characters go as a whole; they have two bytes at most here
+            if t[k] & 0xC0 == 0x80:
+                g[k - 1] = g[k] = g[k - 1] or g[k]
+    assert sum(g.sum() for g in gone) > sum(g.sum() for g in plain) > 0
+    rows = {r.doc_id: (bytes(r.kept_bytes), r.n_removed) for r in got.collect()}
+    want = {k: (np.frombuffer(t, np.uint8)[~g].tobytes(), int(g.sum())) for k, (t, g) in enumerate(zip(data, gone))}
+    assert {k: (rows[k], want[k], texts[k]) for k in want if rows[k] != want[k]} == {}
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words(spark):
+    rng = random.Random(13)
+    long_, short = words(rng, 51), words(rng, 50)
+    assert len(long_) < 400
+    own = [words(rng, 80) for _ in range(8)]
+    texts = [f"{own[0]}\n{long_}\n{own[1]}", f"{own[2]} {long_} {own[3]}", f"{own[4]}\n{short}\n{own[5]}", f"{own[6]}\n{short}\n{own[7]}"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert cut == {0: f"{own[0]}\n\n{own[1]}", 1: f"{own[2]}  {own[3]}", 2: texts[2], 3: texts[3]}
