@@ -9,7 +9,8 @@ these into a score.  Texts are scored whole.
 Every labelled row is learnt from, and Spark does the passes: rows are dealt into
 shards by hash, in each epoch every shard is trained on its own from the common
 state, row after row, and the states are averaged by the shards' rows.  What reaches
-the driver is one state, whatever the number of rows.
+the driver is one state, whatever the number of rows; what is shuffled is the labelled
+rows and a state for each shard and epoch, so shards are large.
 
 A fifth of the labelled rows is kept out of training.  A slope and a shift fitted
 on it calibrate the score, and for each language a threshold is chosen that gives
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textbytes as tb
-from wardlight.llm.tables import tidy, written
+from wardlight.llm.tables import sifted, tidy, written
 
 WIDTHS = (1, 2, 3)
 #: Lengths in bytes of the stems embedded beside the whole word.
@@ -54,8 +55,9 @@ class Settings:
     epochs: int = 8
     batch: int = 32
     batch_words: int = 1 << 16  # smaller batches where texts are long
-    shard: int = 4_096  # rows trained on between two averages, at least
+    shard: int = 8_192  # rows trained on between two averages, at least
     shards: int = 1_024  # at most; beyond that, shards have more rows
+    sent: int = 16 << 20  # bytes of labels that may be broadcast; more are joined by a shuffle
     held: int = 1_024  # rows of a shard held and shuffled at once
     held_words: int = 1_000_000  # or about so many words
     seed: int = 11
@@ -329,6 +331,15 @@ def _unpacked(raw: bytes, n: int, s: Settings) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * PARTS * kind.itemsize, "zstd", asbytes=True), kind).reshape(-1, PARTS)
 
 
+def _labelled(docs: DataFrame, usable: DataFrame, key: str, s: Settings) -> DataFrame:
+    """``docs`` joined with ``usable``; hardly a text without a label is shuffled, and none where labels are few."""
+    usable = written(usable, "toxicity-labels")
+    size = usable.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 24)).first()[0] or 0
+    if size <= s.sent:
+        return docs.join(F.broadcast(usable), key)
+    return sifted(docs, key, usable).where("_maybe").drop("_maybe").join(usable, key)
+
+
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on all documents that have a label.
 
@@ -338,8 +349,8 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
     """
     usable = labels.select(key, F.col(label).cast("double").alias("y")).where(f"{key} is not null and y in (0, 1)")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang")).join(usable, key)
-    rows = rows.withColumn("place", F.xxhash64(key, "text", F.lit("place")))
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    rows = _labelled(rows, usable, key, s).withColumn("place", F.xxhash64(key, "text", F.lit("place")))
 
     def work(data, offsets):
         words, bounds = words_of(data, offsets, s.buckets)
