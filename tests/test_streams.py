@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import correlate, ingest, normalize, rules
+from wardlight.plans.catalog import QUERIES
 from wardlight.sources import telemetry as t
 from wardlight.streaming import jobs, state, store
 
@@ -316,3 +317,28 @@ def test_an_arrival_is_read_by_many_tasks(spark, folder, tmp_path, monkeypatch):
     samples.arrive(spark, f"{folder}/events.parquet", str(tmp_path / "stream"))
     (file,) = (tmp_path / "stream").glob("*.parquet")
     assert pq.ParquetFile(file).num_row_groups > 1
+
+
+@pytest.mark.parametrize("parts", [1, 120])
+def test_a_table_in_parts_streams_whole(spark, folder, tmp_path, parts):
+    """A table may be a folder of any number of parts, in no order of time; all of it is one micro-batch."""
+    t.table(spark, folder, "events").repartition(parts, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("entity_state", "stream_dedup"):
+        assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, folder)) != []
+
+
+def test_partial_matches_of_nothing(spark, folder, tmp_path):
+    t.table(spark, folder, "events").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["entity_state"](spark, str(tmp_path)).isEmpty()
+
+
+def test_moments_are_folded(spark):
+    """Rows of a rule, entity and millisecond become one; ids that are missing do not count."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in state._MOMENT.split(", ")]
+    given = [("r", "a", 10, 0, 5, 5000, 1, "f2", None), ("r", "a", 10, 0, 5, 5001, 1, "f1", None), ("r", "a", 10, 0, 6, 6000, 0, None, "s")]
+    (found,) = state._moments(iter([pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in given])]))
+    assert sorted(tuple(row[n] for n in names) for row in found.to_pylist()) == [
+        ("r", "a", 10, 0, 5, 5001, 2, "f1", None), ("r", "a", 10, 0, 6, 6000, 0, None, "s")
+    ]
