@@ -219,3 +219,69 @@ def test_upload_rest_is_written_once(spark):
     row = mapped.collect()[0]
     assert row.was_cut and row.CommandLine == "x" * 65536 and json.loads(row.UnmappedFields)["_bytes"] == 300_011
     assert mapped.count() == 1 and "_rest" in mapped._jdf.queryExecution().analyzed().toString()
+
+
+def test_upload_texts_are_not_written_out(spark):
+    """Typed text is taken as it is; other values and the rest are written once each, a rest beyond its bound once more."""
+    record = {"CommandLine": "a\n\"é\u0000😀" * 9, "HostName": 12.50, "ServiceName": None, "TargetUserName": {"b": [1, "x"]}, "DstPort": 7, "EventID": "4624", "SubjectUserName": True, "more": "\t"}
+    texts = [json.dumps(record), json.dumps({"CommandLine": "c"}), "{}"]
+    frame = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "n int, payload string").repartition(1).select(
+        "n", normalize.parse_fields(F.col("payload")).alias("fields"), F.lit("t").alias("ProvenanceTag"), F.current_timestamp().alias("IngestTimestamp")
+    )
+    mapped = normalize.map_upload(frame)
+    full, short, empty = mapped.orderBy("n").collect()
+    assert (full.CommandLine, full.HostName, full.ServiceName) == (record["CommandLine"], "12.5", "")
+    assert (json.loads(full.TargetUserName), full.DstPort, full.EventID, full.SubjectUserName) == ({"b": [1, "x"]}, 7, 4624, "true")
+    assert json.loads(full.UnmappedFields) == {"more": "\t"}
+    assert (short.CommandLine, short.UnmappedFields, short.had_unmapped) == ("c", "", False) and empty.CommandLine == empty.UnmappedFields == ""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        assert mapped._jdf.queryExecution().analyzed().toString().count("to_json(") == 3
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_long_texts_are_searched_by_bytes(spark):
+    """Where an object ends and a second begins is found without counting characters, also beside wide ones."""
+    good = ['{"a":1}', '{"a":"' + "é" * 100 + '"}', '{"a":{"b":"😀{"}}' + " " * 70 + "\n", '{"a":"}{"}']
+    bad = ["", "é{}", '{"a":1} {"b":2}', '{"a":"' + "é" * 100 + '"},{}', '{"a":1}' + " " * 70 + "é", "[1]", None]
+    frame = spark.createDataFrame([(x, x in good) for x in [*good, *bad]], "p string, good boolean").repartition(1)
+    read = frame.select("p", "good", normalize.parse_fields(F.col("p")).isNotNull().alias("reads"))
+    assert [r.p for r in read.collect() if r.reads != r.good] == []
+    plan = read._jdf.queryExecution().analyzed().toString().lower()
+    assert "locate(" not in plan and "right(" not in plan
+
+
+@pytest.mark.parametrize("limit", range(1, 12))
+def test_a_cut_reads_bytes(spark, limit):
+    texts = ["", "abc", "é" * 8, "a😀b😀c😀", "日本語テキスト", "x" * 11]
+    cut = spark.createDataFrame([(x,) for x in texts], "t string").repartition(1).select("t", c.truncate_bytes(F.col("t"), limit).alias("cut"))
+    assert all(r.cut == r.t.encode()[:limit].decode(errors="ignore") for r in cut.collect())
+    assert "encode(" not in cut._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_long_records_are_what_repeated_texts_would_be(spark):
+    from wardlight.plans import samples
+
+    texts = ["", "a\nb", 'q"\\/\u0000 \x7f', "é😀", "[\"x\"]", "{}"]
+    docs = spark.createDataFrame([(n, x) for k in (0, 1) for n, x in enumerate(texts, k)], "doc_id long, text string")
+    note = F.repeat("text", F.when(F.col("doc_id") % 2 == 0, 200).otherwise(0))
+    record = F.to_json(F.struct(F.repeat("text", F.lit(40)).alias("CommandLine"), F.lit("h").alias("HostName"), note.alias("note")))
+    want = docs.select("doc_id", record.alias("record"), F.octet_length("text").alias("size"))
+    made = samples.long_records(docs)
+    assert sorted(made.collect()) == sorted(want.collect())
+    assert made._jdf.queryExecution().analyzed().toString().count("to_json(") == 1
+
+
+def test_values_of_any_length_are_read(spark):
+    """A value beyond the parser's bound of 20,000,000 characters does not lose its record; what is no object stays refused."""
+    value = F.repeat(F.lit("y"), F.lit(20_000_001))
+    ends = [('{"CommandLine":"c","note":"', '"}', True), ('{"CommandLine":"', '"}', True), ('{"note":1,"note":"', '"}', False), ("{'note':'", "'}", False), ('{"note":"', '"} {}', False)]
+    frame = spark.createDataFrame([(n, *x) for n, x in enumerate(ends)], "n int, a string, z string, good boolean").repartition(1)
+    frame = frame.select("n", "good", F.concat("a", value, "z").alias("payload")).select(
+        "n", "good", normalize.parse_fields(F.col("payload")).alias("fields"), F.lit("t").alias("ProvenanceTag"), F.current_timestamp().alias("IngestTimestamp")
+    )
+    kept = normalize.map_upload(frame).select("n", "good", "was_cut", "had_unmapped", F.octet_length("CommandLine").alias("size"))
+    found = [tuple(r) for r in kept.orderBy("n").collect()]
+    assert found[:2] == [(0, True, True, True, 1), (1, True, True, False, 65536)]
+    assert [r[1:3] for r in found[2:]] == [(False, False)] * 3
